@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -203,16 +204,22 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     Null and empty texts leak nothing and items without text match nothing. Repeated document rows are each
     searched; an empty table on either side gives no rows. Only the benchmark reaches the driver, block by block.
     """
+    docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    parts = [_search(docs, items) for items in _blocks(benchmark, item_col, item_text)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark's items, at most about ``BLOCK_CHARS`` characters at a time; its size is summed first."""
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t"))
     chars = items.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
     blocks = -(-chars // BLOCK_CHARS) or 1
-    docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    out = None
     for b in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b)
-        part = _search(docs, [(r["item"], r["t"]) for r in own.collect()])
-        out = part if out is None else out.unionByName(part)
-    return out
+        yield [(r["item"], r["t"]) for r in own.collect()]
 
 
 def _search(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
@@ -231,8 +238,19 @@ def leak_report(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_windows"), F.min("edits").alias("edits"), F.min("start").alias("start"), F.max("end").alias("end"))
 
 
-def drop_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents without a leak, all columns. Judged by (id, text), so rows that repeat an id with another text are judged alone; null ids too."""
-    keyed = documents.withColumn("__th", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    bad = find_leaks(keyed, benchmark, "__th", text_col).select(F.col("doc_id").alias("__bad")).distinct()
-    return keyed.join(bad, F.col("__th") == F.col("__bad"), "left_anti").drop("__th")
+def drop_leaks(documents: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows whose text leaks nothing, all columns as they are; no row moves. Null and empty texts stay."""
+    at, out = documents.columns.index(text_col), documents
+    for items in _blocks(benchmark, "item_id", "text"):
+        shared = documents.sparkSession.sparkContext.broadcast(build_index(items))
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                for k in range(0, batch.num_rows, 512):
+                    part = batch.slice(k, 512)
+                    clean = np.ones(part.num_rows, dtype=bool)
+                    clean[[x[0] for x in leaks(shared.value, [t or "" for t in part.column(at).to_pylist()])]] = False
+                    yield part.filter(pa.array(clean))
+
+        out = out.mapInArrow(run, documents.schema)
+    return out

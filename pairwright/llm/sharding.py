@@ -81,3 +81,23 @@ def write_shards(df: DataFrame, key: str, path: str, shards: tuple[str, ...] = S
     out = assign_shards(df, key, shards, size)
     out = out.withColumn("__salt", F.col("slot") % files_per_shard)
     out.repartition(len(shards) * files_per_shard, "shard", "__salt").drop("__salt").write.partitionBy("shard").parquet(path)
+
+
+def oracle_sql(shards: tuple[str, ...] = SHARDS, size: int = TABLE_SIZE) -> str:
+    """DuckDB's statement of the placement of ``documents``. Turns cannot be told in plain SQL, so the claims are spelled out by a slower rule.
+
+    Here each slot is asked which shards want it: turn by turn, a shard's claim is the first entry of its full
+    preference list that is not in the set of slots taken.
+    """
+    lists = [iter([(o + i * s) % size for i in range(size)]) for o, s in (preference(x, size) for x in shards)]
+    owner: dict[int, int] = {}
+    while len(owner) < size:
+        for k, wants in enumerate(lists):
+            if (slot := next((x for x in wants if x not in owner), None)) is not None:
+                owner[slot] = k
+    names = ", ".join(f"'{x}'" for x in shards)
+    places = ",".join(str(owner[i] + 1) for i in range(size))
+    return f"""
+SELECT doc_id, slot, ([{names}])[([{places}])[slot + 1]] AS shard
+FROM (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % {size} AS slot FROM documents)
+"""
