@@ -108,7 +108,10 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     held = each.filter(F.col("x").isNotNull()).select(F.col("x.hash").alias("hash"), "owner", "doc_id").distinct()
     by_owner = held.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
     by_hash = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
-    told = each.join(by_hash, F.col("x.hash") == F.col("hash"), "left")
+    # rows without a candidate take no part in the join, where their null key would gather them in one task
+    told = each.filter(F.col("x").isNotNull()).join(by_hash, F.col("x.hash") == F.col("hash")).select("row", "doc_id", "x", "owners", "repositories")
+    none = rows.select("doc_id", "row", F.lit(None).cast(told.schema["x"].dataType).alias("x"), F.lit(None).cast("bigint").alias("owners"), F.lit(None).cast("bigint").alias("repositories"))
+    told = told.unionByName(none)
     span = F.struct("x.start", "x.rank", "x.stop", "x.kind", "x.hash", "owners", "repositories", (F.col("owners") < copied_owners).alias("live"))
     out = told.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.when(F.col("x").isNotNull(), span))).alias("spans"))
     return out.select("doc_id", "spans")
@@ -128,3 +131,44 @@ def digests(scanned: DataFrame) -> DataFrame:
         F.size(F.filter("spans", lambda x: x["live"])).cast("bigint").alias("n_live"),
         F.size(F.filter("spans", lambda x: ~x["live"])).cast("bigint").alias("n_copied"),
     )
+
+
+def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", kinds: tuple[Kind, ...] = KINDS, copied_owners: int = COPIED_OWNERS, mask: str = "[SECRET]") -> DataFrame:
+    """The table with each live candidate of its texts replaced by ``mask``; copied examples stay, and so do all rows and columns.
+
+    Overlapping spans are replaced as one. A column ``n_chars`` follows the new text where the text changed. Rows
+    without a candidate pass as they are; the others meet their spans by (id, hash of the text), equal rows once.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    hit = text.rlike("|".join(f"(?:{k.pattern.removesuffix('+') + '{32,}' if k.name == 'hex' else k.pattern})" for k in kinds))
+    keyed = documents.withColumn("__id", F.col(id_col).cast("bigint")).withColumn("__th", F.when(hit, F.xxhash64(text)))
+    plain, some = keyed.filter(F.col("__th").isNull()), keyed.filter(F.col("__th").isNotNull())
+    source = some.select(F.struct("__id", "__th").alias("__key"), F.col(text_col).alias("__t"), F.col(owner_col).alias("__o"))
+    ids = source.withColumn("__row", F.xxhash64("__key"))
+    live = F.transform(F.filter("spans", lambda x: x["live"]), lambda x: F.struct(x["start"], x["stop"]))
+    spans = scan(ids, "__row", "__t", "__o", kinds, copied_owners).groupBy(F.col("doc_id").alias("__at")).agg(F.first(live).alias("__spans"))
+    joined = some.withColumn("__at", F.xxhash64(F.struct("__id", "__th"))).join(spans, "__at", "left")
+    merged = F.aggregate("__spans", F.array().cast("array<struct<start:bigint,stop:bigint>>"), _merge)
+    joined = joined.withColumn("__spans", F.coalesce(merged, F.array().cast("array<struct<start:bigint,stop:bigint>>")))
+    gaps = F.transform(F.sequence(F.lit(0), F.size("__spans")), lambda i: _between(F.col(text_col), F.col("__spans"), i))
+    changed = F.when(F.size("__spans") > 0, F.array_join(gaps, mask)).otherwise(F.col(text_col))
+    out = joined.withColumn(text_col, changed)
+    if "n_chars" in documents.columns:
+        kind = documents.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length(text_col).cast(kind)).otherwise(F.col("n_chars")))
+    return plain.select(documents.columns).unionByName(out.select(documents.columns))
+
+
+def _merge(done: Column, x: Column) -> Column:
+    """Spans come by their start: one that begins before the last ends joins it."""
+    last = F.get(done, F.size(done) - 1)
+    joins = (F.size(done) > 0) & (x["start"] < last["stop"])
+    longer = F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"))
+    return F.when(joins, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(F.struct(x["start"].alias("start"), x["stop"].alias("stop")))))
+
+
+def _between(text: Column, spans: Column, i: Column) -> Column:
+    """The text between span i - 1 and span i."""
+    a = F.coalesce(F.get(spans, i - 1)["stop"], F.lit(0))
+    b = F.coalesce(F.get(spans, i)["start"], F.length(text))
+    return F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))

@@ -185,9 +185,14 @@ def features(text: str, hits: list, cues: dict[str, float], quoted_weight: float
     return [1.0, float(weighed >= 0.5), np.log1p(whole), np.log1p(stems), np.log1p(weighed), np.log1p(len(terms))]
 
 
+#: A stretch of one line between quotation marks.
+_QUOTED = re.compile(f"[{_QUOTES.replace('’', '')}][^{_QUOTES}\\n]{{1,300}}[{_QUOTES.replace('‘', '')}]")
+
+
 def _terms(text: str) -> set[tuple[str, bool]]:
+    """Words and stems of a text outside quotation marks, so that a term stays telling where clean texts quote it."""
     out = set()
-    for w in set(_WORD.findall(text.lower())):
+    for w in set(_WORD.findall(_QUOTED.sub(" ", text.lower()))):
         if len(w) >= 3 and not w.isdigit():
             out.add((w, False))
             out.update((w[:n], True) for n in STEM_LENGTHS if n < len(w))
