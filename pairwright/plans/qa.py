@@ -75,16 +75,20 @@ def build_task(pairs: DataFrame, task: str, use_descriptions: bool = True, mode:
 def with_ids(records: DataFrame, seed: int | None = None) -> DataFrame:
     """Ids from 0 within each task and step, in source order or shuffled by ``seed``; source_index stays.
 
-    Ranks come from counts by range of the source index, so no window orders a whole task in one place.
+    All records are numbered in one distributed sort, and a group's first number is taken off; there are ten groups at most.
     """
     from ..schemas import with_row_index
 
+    rows = with_row_index(records, ["task", "step", "source_index"], "__global")
+    first = rows.groupBy("task", "step").agg(F.min("__global").alias("__first"))
+    rows = rows.join(F.broadcast(first), ["task", "step"]).withColumn("id", F.col("__global") - F.col("__first")).drop("__global", "__first")
+    if seed is None:
+        return rows
     out = None
-    for r in sorted((r["task"], r["step"]) for r in records.select("task", "step").distinct().collect()):  # ten at most
-        part = with_row_index(records.filter((F.col("task") == r[0]) & (F.col("step") == r[1])), ["source_index"], "id")
-        part = seeded_shuffle(part, seed) if seed is not None else part
+    for task, step in sorted(tuple(r) for r in first.select("task", "step").collect()):
+        part = seeded_shuffle(rows.filter((F.col("task") == task) & (F.col("step") == step)), seed)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else records.withColumn("id", F.lit(None).cast("bigint"))
+    return rows if out is None else out
 
 
 def skipped(pairs: DataFrame) -> DataFrame:

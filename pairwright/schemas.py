@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,16 +34,26 @@ def project(df: DataFrame, columns: tuple[str, ...], tolerant: bool = False) ->
     return df.select(*[c for c in columns if c in df.columns])
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in spark.checkpoint.dir, or in a temporary folder where that is unset."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-", dir=os.environ.get("TMPDIR"))
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
+
+
 def with_row_index(df: DataFrame, order: list[str] | None = None, name: str = "row_idx") -> DataFrame:
     """Row numbers from 0 in the order given, or in read order.
 
     Rows are numbered inside each partition and shifted by the sizes of the partitions before it, so no task sees
-    more than its own rows. A given order is a distributed sort.
+    more than its own rows. A given order is a distributed sort; as a second run of it could part the rows
+    elsewhere, partitions and numbers are written once.
     """
     from pyspark.sql import Window
 
     own = df.orderBy(*order) if order else df
-    own = own.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    own = cut(own.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     sizes = own.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
     return own.join(F.broadcast(sizes.select("__p", before.alias("__before"))), "__p").withColumn(name, F.col("__before") + F.col("__i")).drop("__p", "__i", "__n", "__before")
