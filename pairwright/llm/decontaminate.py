@@ -30,8 +30,9 @@ BUDGET = 0.08
 BLOCK_CHARS = 16_000_000
 #: Characters of text that are filtered at a time.
 CHUNK = 1_000_000
+#: Regions that are aligned at a time.
+REGIONS = 512
 _BITS = 22
-_SPACE = re.compile(r"\s+")
 _ODD = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(Q)], dtype=np.uint64)
 
 
@@ -40,7 +41,7 @@ def normal(text: str) -> str:
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    return _SPACE.sub(" ", low).strip()
+    return " ".join(low.split())
 
 
 def codes(text: str) -> np.ndarray:
@@ -134,32 +135,36 @@ def regions(index: Index, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pair[0], pair[1]
 
 
-def align(pattern: np.ndarray, code: np.ndarray, low: int, width: int) -> tuple[int, int, int]:
-    """Least edits of the whole pattern against any stretch of ``code`` on diagonals low .. low + width, with the stretch's start and end.
+def align(patterns: list[np.ndarray], code: np.ndarray, start: np.ndarray, end: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least edits of each whole pattern against any stretch of code[start:end] on diagonals low .. low + width, with the stretch's start and end.
 
-    Cell (i, k) of the band stands for i characters of the pattern and position i + low + k of the text. Moves along
-    the text inside a row are resolved by a running minimum. Starts are carried as the low part of the cell.
+    All regions are aligned at once, row by row. Cell (i, k) of a band stands for i characters of the pattern and
+    position i + low + k of the text. Moves along the text inside a row are resolved by a running minimum. Starts are
+    carried as the low part of a cell; all positions count from the text's start.
     """
-    n, m, far = len(code), len(pattern), 1 << 20
+    n, size, big = len(patterns), np.array([len(p) for p in patterns]), 1 << 52
+    letters = np.zeros((int(size.max()), n), dtype=np.uint32)
+    for r, p in enumerate(patterns):
+        letters[: len(p), r] = p
     k = np.arange(width + 1)
-    inside = lambda at: (at >= 0) & (at <= n)
-    big = far << 32
-    at = low + k
-    cell = np.where(inside(at), np.maximum(at, 0), big)  # (edits << 32) + start
-    step = k << 32
-    for i in range(1, m + 1):
-        at = i + low + k
-        ok = inside(at)
-        same = ok & (at >= 1)
-        char = np.zeros(width + 1, dtype=np.int64)
-        char[same] = code[at[same] - 1]
-        diagonal = np.where(same, cell + ((char != pattern[i - 1]).astype(np.int64) << 32), big)
-        skip = np.append(cell[1:], big) + (1 << 32)
+    step, last = k << 32, np.full((n, 1), big)
+    first, limit = start[:, None], end[:, None]
+    at = low[:, None] + k
+    cell = np.where((at >= first) & (at <= limit), at - first, big)  # (edits << 32) + start
+    out = np.zeros((3, n), dtype=np.int64)
+    for i in range(1, len(letters) + 1):
+        at = at + 1
+        ok = (at >= first) & (at <= limit)
+        wrong = (code[np.clip(at - 1, 0, len(code) - 1)] != letters[i - 1][:, None]).astype(np.int64) << 32
+        diagonal = np.where(ok & (at > first), cell + wrong, big)
+        skip = np.concatenate([cell[:, 1:], last], axis=1) + (1 << 32)
         best = np.where(ok, np.minimum(diagonal, skip), big)
-        cell = np.minimum.accumulate(best - step) + step
-        cell = np.where(ok, cell, big)
-    k = int(cell.argmin())
-    return int(cell[k] >> 32), int(cell[k] & 0xFFFFFFFF), m + low + k
+        cell = np.where(ok, np.minimum.accumulate(best - step, axis=1) + step, big)
+        if (done := np.flatnonzero(size == i)).size:
+            j = cell[done].argmin(axis=1)
+            value = cell[done, j]
+            out[:, done] = value >> 32, value & 0xFFFFFFFF, at[done, j] - start[done]
+    return out[0], out[1], out[2]
 
 
 def leaks(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
@@ -186,16 +191,23 @@ def _chunk(index: Index, chunk: list[tuple[int, str]]) -> Iterator[tuple[int, in
     if not len(whole):
         return
     half = int(index.edits.max(initial=0)) + 1
-    done = set()
-    for w, d in zip(*regions(index, whole), strict=True):
-        pattern, e = index.text[w], int(index.edits[w])
-        # the band's hits tell the document: its middle diagonal, at the middle of the pattern
-        for doc in {int(np.searchsorted(starts, min(max(d + x, 0), len(whole) - 1), "right")) - 1 for x in (len(pattern) // 2, len(pattern) // 2 + 2 * half)}:
-            edits, start, end = align(pattern, parts[doc], int(d - starts[doc]) - e, 2 * half + 2 * e)
-            key = (doc, int(w), start, end)
-            if edits <= e and key not in done:
+    window, band = regions(index, whole)
+    if not len(window):
+        return
+    # a band's stretch lies in the document at its middle, seen from either edge of the band
+    size = np.array([len(t) for t in index.text])[window]
+    middle = [np.searchsorted(starts, np.clip(band + size // 2 + x, 0, len(whole) - 1), "right") - 1 for x in (0, 2 * half)]
+    todo = np.unique(np.stack([np.tile(window, 2), np.tile(band, 2), np.concatenate(middle)]), axis=1)
+    most, done = int(index.edits.max()), set()
+    for k in range(0, todo.shape[1], REGIONS):
+        w, d, doc = todo[:, k : k + REGIONS]
+        begin, stop = starts[doc], starts[doc] + np.array([len(parts[x]) for x in doc])
+        edits, start, end = align([index.text[x] for x in w], whole, begin, stop, d - most, 2 * half + 2 * most)
+        for r in np.flatnonzero(edits <= index.edits[w]):
+            key = (int(doc[r]), int(w[r]), int(start[r]), int(end[r]))
+            if key not in done:
                 done.add(key)
-                yield chunk[doc][0], int(index.item[w]), edits, start, end
+                yield chunk[key[0]][0], int(index.item[w[r]]), int(edits[r]), key[2], key[3]
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:

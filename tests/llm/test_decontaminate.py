@@ -61,8 +61,8 @@ def test_same_as_full_programme():
 
 def test_align_finds_the_stretch():
     p, t = D.codes("hello world again"), D.codes("xxxx hello wrld again yyy")
-    edits, a, b = D.align(p, t, 0, 12)
-    assert (edits, a, b) == (1, 5, 21)
+    edits, a, b = D.align([p, p[:5]], t, np.array([0, 0]), np.array([len(t)] * 2), np.array([0, 0]), 12)
+    assert (edits[0], a[0], b[0]) == (1, 5, 21) and (edits[1], a[1], b[1]) == (0, 5, 10)
 
 
 def test_chunks_do_not_matter(monkeypatch):
