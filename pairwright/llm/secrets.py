@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -142,7 +144,8 @@ def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     hit = text.rlike("|".join(f"(?:{k.pattern.removesuffix('+') + '{32,}' if k.name == 'hex' else k.pattern})" for k in kinds))
     keyed = documents.withColumn("__id", F.col(id_col).cast("bigint")).withColumn("__th", F.when(hit, F.xxhash64(text)))
-    plain, some = keyed.filter(F.col("__th").isNull()), keyed.filter(F.col("__th").isNotNull())
+    # the few rows with a candidate are written once: patterns are costly and these rows are read several times
+    plain, some = keyed.filter(F.col("__th").isNull()), cut(keyed.filter(F.col("__th").isNotNull()))
     source = some.select(F.struct("__id", "__th").alias("__key"), F.col(text_col).alias("__t"), F.col(owner_col).alias("__o"))
     ids = source.withColumn("__row", F.xxhash64("__key"))
     live = F.transform(F.filter("spans", lambda x: x["live"]), lambda x: F.struct(x["start"], x["stop"]))
