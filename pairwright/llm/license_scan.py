@@ -6,16 +6,15 @@ weights are a table of n-grams. Paragraphs are scored by joining their n-grams w
 is calibrated on families left out in turn, so a license of no known family comes out as 'unknown'. The prediction is
 confirmed by comparison with the family's templates: the share of the paragraph's word pairs that the nearest one has.
 
-The n-grams that can count all lie in paragraphs with an anchor word: the anchors are chosen so that every template
-paragraph has one, and confirmation asks for one, so other paragraphs need not be scored.
+Every paragraph that can have a row is scored. Those without an anchor word are left out first: the anchors are chosen
+from the weights so that whatever else a paragraph without one holds, other prose stays the likelier class.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import lru_cache, reduce
-from operator import or_
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,11 +118,13 @@ UNKNOWN, NONE = "unknown", "none"
 #: Least share of a paragraph's word pairs in a template, and least probability of a family, for a confirmed prediction.
 LEAST_SIMILARITY, LEAST_PROBABILITY = 0.5, 0.5
 VARIATIONS, BLANKS, SEED = 12, 150, 5
+#: Words of the pieces, each half over the one before, into which templates are cut for training as wrapped lines cut them.
+PIECES = (6, 12)
 #: Families count alike in training, and other prose, which is much commoner, this much more.
 NONE_WEIGHT = 4.0
-#: Words that are anchors in any case.
-CUES = ("license", "licensed", "licence", "licenced", "copyright")
 _COMMON = OTHER[-1].split()
+#: Function words, which tell nothing where they stand alone or out of order.
+LOOSE = (*_COMMON, *"an any are be been but can do has have he her his if it its may no not only or our out she so such than that their them these they this those up was we were what where which who will you your".split())
 
 _SPLIT = r"[^\p{L}\p{N}]+"
 _TOKEN = re.compile(r"[^\W_]+")
@@ -191,16 +192,29 @@ def _margin(w: np.ndarray, b: np.ndarray, vocabulary: dict[str, int], bags: list
     return np.log(top / (1 - top))
 
 
-def choose_anchors(paragraphs: list[str]) -> tuple[str, ...]:
-    """Few words such that every paragraph has one: the cues, then again and again the word in most of those left; words of other prose count much less."""
-    left, out = [s for p in paragraphs if not (s := set(tokens(p))) & set(CUES)], [*CUES]
-    prose = [w for p in OTHER for w in tokens(p)]
-    while left:
-        words = {w for s in left for w in s if len(w) >= 5} or {w for s in left for w in s}
-        best = max(sorted(words), key=lambda w: (sum(w in s for s in left) / (1 + 5 * prose.count(w)), len(w)))
-        out.append(best)
-        left = [s for s in left if best not in s]
-    return tuple(sorted(out))
+def choose_anchors(grams: tuple[str, ...], weights: np.ndarray, bias: np.ndarray) -> tuple[str, ...]:
+    """Words and word pairs such that a paragraph without one is other prose for certain, whatever else it holds.
+
+    A family's logit over other prose is at most its intercept plus the sum of its m greatest positive weights over the
+    root of m, for some m, as a bag has at least as many n-grams as count. Words are left out of the anchors, function
+    words and short ones first, while they alone cannot lift the families together above one half; pairs of words left
+    out that lie in an n-gram that counts are anchors, so no longer n-gram of theirs is without one.
+    """
+    gain = np.maximum(weights - weights[:, -1:], 0)[:, :-1]
+    need = -np.log(np.exp((bias - bias[-1])[:-1]).sum()) - 1e-6
+    made = [g.split() for g in grams]
+    alone = {g: gain[i] for i, g in enumerate(grams) if len(made[i]) == 1}
+
+    def harmless(left: set[str]) -> bool:
+        own = -np.sort(-np.array([alone[w] for w in left if w in alone]).reshape(-1, gain.shape[1]), axis=0)
+        return (np.cumsum(own, axis=0) / np.sqrt(np.arange(1, len(own) + 1))[:, None]).max(initial=0.0) < need
+
+    words, left = {w for g in made for w in g}, set()
+    for w in sorted(words, key=lambda w: (w not in LOOSE, len(w), w)):
+        if harmless(left | {w}):
+            left.add(w)
+    pairs = {" ".join(g[i : i + 2]) for g in made for i in range(len(g) - 1) if set(g[i : i + 2]) <= left}
+    return tuple(sorted((words - left) | pairs))
 
 
 @lru_cache(maxsize=1)
@@ -216,6 +230,16 @@ def train() -> Model:
             for v in range(VARIATIONS if k < len(families) else 3):
                 bags.append(ngrams(words if v == 0 else _variation(rng, words, fillers)))
                 y.append(k)
+            for n in PIECES if k < len(families) else ():
+                for i in range(0, len(words) - n // 2, n // 2) if len(words) > n else ():
+                    bags.append(ngrams(words[i : i + n]))
+                    y.append(k)
+    for w in LOOSE:
+        bags.append({w})
+        y.append(len(families))
+    for _ in range(BLANKS):  # function words in any order
+        bags.append(ngrams([str(rng.choice(LOOSE)) for _ in range(int(rng.integers(1, 8)))]))
+        y.append(len(families))
     for _ in range(BLANKS):  # prose of words that no template has, among the commonest ones
         n = int(rng.integers(3, 40))
         bags.append(ngrams([f"{x}" if x % 3 else str(rng.choice(_COMMON)) for x in rng.integers(10**6, 10**7, n)]))
@@ -234,7 +258,7 @@ def train() -> Model:
         known += [0] * len(out) + [1] * len(out)
     x = np.stack([np.ones(len(logits)), np.array(logits)], axis=1)
     offset, slope = logistic.fit(x, np.array(known, dtype=float), l2=1e-2, free=1)
-    return Model((*families, NONE), tuple(grams), w, b, float(slope), float(offset), choose_anchors([p for t in TEMPLATES.values() for p in t]))
+    return Model((*families, NONE), tuple(grams), w, b, float(slope), float(offset), choose_anchors(tuple(grams), w, b))
 
 
 def weight_table(spark: SparkSession, model: Model) -> DataFrame:
@@ -254,15 +278,18 @@ def template_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(found.items()), "p string, hits array<struct<family:int,template:int>>").select(F.xxhash64("p").alias("pair"), "hits")
 
 
+def _words(line: Column) -> Column:
+    return F.filter(F.split(F.lower(line), _SPLIT), lambda w: w != "")
+
+
 def candidates(documents: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:
-    """row, doc_id, paragraph, line, words: the paragraphs with an anchor word, numbered from 0 in their text."""
-    has = lambda t: reduce(or_, [t.contains(a) for a in model.anchors])  # noqa: E731  a quick look before the words are taken apart
-    low = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    lines = F.transform(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1), lambda x, i: F.struct(i.alias("paragraph"), x.alias("line")))
-    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.when(has(low), F.filter(lines, lambda x: has(F.lower(x["line"])))).alias("some"))
-    each = rows.select("row", "doc_id", F.explode("some").alias("x")).select("row", "doc_id", "x.paragraph", "x.line")
-    each = each.withColumn("words", F.filter(F.split(F.lower("line"), _SPLIT), lambda w: w != ""))
-    return each.filter(F.arrays_overlap("words", F.array(*[F.lit(a) for a in model.anchors])))
+    """row, doc_id, paragraph, line, words: the paragraphs with an anchor, numbered from 0 in their text."""
+    # words are made before the lines are dealt out, so that no later expression takes a line apart again for each of its n-grams
+    lines = F.transform(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1), lambda x: F.struct(x.alias("line"), _words(x).alias("words")))
+    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row"), lines.alias("lines"))
+    each = rows.select("row", "doc_id", F.posexplode_outer("lines").alias("paragraph", "x")).select("row", "doc_id", "paragraph", "x.line", "x.words")
+    pairs = F.zip_with("words", F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b))  # null after the last word
+    return each.filter(F.arrays_overlap(F.concat("words", pairs), F.array(*[F.lit(a) for a in model.anchors])))
 
 
 def _grams(words: Column, n: int) -> Column:
@@ -281,13 +308,12 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     found = candidates(documents, id_col, text_col, model)
     key = ["row", "doc_id", "paragraph", "line"]
     grams = F.concat(*[_grams(F.col("words"), n) for n in (1, 2, 3)])
-    bags = found.select(*key, F.size(grams).alias("n"), F.size(_grams(F.col("words"), 2)).alias("pairs"), grams.alias("grams"), _grams(F.col("words"), 2).alias("two"))
+    # outer generators, whose input is not made a second time to filter it; what one makes is made once
+    made = found.select(*key, F.explode_outer(F.array(grams)).alias("grams"))
+    bags = made.select(*key, F.size("grams").alias("n"), F.array_intersect("grams", F.array(*[F.xxhash64(F.lit(g)) for g in model.grams])).alias("grams"))
     # both tables have a size fixed by the templates
-    scored = bags.select(*key, "n", F.explode("grams").alias("gram")).join(F.broadcast(weight_table(spark, model)), "gram")
+    scored = bags.select(*key, "n", F.explode_outer("grams").alias("gram")).join(F.broadcast(weight_table(spark, model)), "gram")
     sums = scored.groupBy(*key).agg(F.first("n").alias("n"), *[F.sum(F.get("w", F.lit(k))).alias(f"z{k}") for k in range(len(model.classes))])
-    near = bags.select("row", "paragraph", "pairs", F.explode("two").alias("pair")).join(F.broadcast(template_table(spark)), "pair").select("row", "paragraph", "pairs", F.explode("hits").alias("h"))
-    near = near.groupBy("row", "paragraph", "h.family", "h.template").agg((F.count(F.lit(1)) / F.first("pairs")).alias("s"))
-    near = near.groupBy("row", "paragraph").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "family", "template"), "s"))).alias("like"))
     logits = F.array(*[F.col(f"z{k}") / F.sqrt(F.col("n")) + F.lit(float(model.bias[k])) for k in range(len(model.classes))])
     z = sums.select(*key, logits.alias("z")).withColumn("top", F.array_max("z"))
     z = z.withColumn("e", F.transform("z", lambda x: F.exp(x - F.col("top")))).withColumn("total", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
@@ -296,6 +322,10 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     z = z.withColumn("none", F.get("e", F.lit(len(model.classes) - 1)) / F.col("total")).filter("none < 0.5")
     safe = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("best")))
     z = z.withColumn("probability", 1 / (1 + F.exp(-(model.slope * F.log(safe / (1 - safe)) + model.offset))))
+    two = z.select("row", "paragraph", _grams(_words(F.col("line")), 2).alias("two"))
+    near = two.select("row", "paragraph", F.size("two").alias("pairs"), F.explode("two").alias("pair")).join(F.broadcast(template_table(spark)), "pair").select("row", "paragraph", "pairs", F.explode("hits").alias("h"))
+    near = near.groupBy("row", "paragraph", "h.family", "h.template").agg((F.count(F.lit(1)) / F.first("pairs")).alias("s"))
+    near = near.groupBy("row", "paragraph").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "family", "template"), "s"))).alias("like"))
     z = z.join(near, ["row", "paragraph"], "left")
     own = F.map_values(F.map_filter("like", lambda name, _: F.substring_index(name, ":", 1) == F.col("k").cast("string")))
     z = z.withColumn("similarity", F.coalesce(F.array_max(own), F.lit(0.0)))

@@ -29,6 +29,25 @@ def test_license_lines(spark):
     assert got[n + 5]["family"] == "Apache-2.0"
 
 
+def test_wrapped_license_lines_are_scored(spark):
+    texts = ["Permission is hereby granted, free of charge, to any person obtaining a copy", "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell", "modification, are permitted provided that the following conditions are met:", "It and.", "This or that of the."]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    assert {n: r["family"] for n, r in got.items()} == {0: "MIT", 1: "MIT", 2: "BSD"}
+
+
+def test_lines_without_an_anchor_are_prose(spark):
+    """No n-grams of the model without an anchor, alone or any number of the best together, make a row."""
+    model = license_scan.train()
+    anchors = set(model.anchors)
+    free = [i for i, g in enumerate(model.grams) if not anchors & ({*(w := g.split())} | {" ".join(p) for p in zip(w, w[1:])})]
+    assert all(" " not in model.grams[i] for i in free)
+    for k in range(len(model.classes) - 1):
+        order = sorted(free, key=lambda i: model.weights[i, -1] - model.weights[i, k])
+        for m in range(1, len(order) + 1):
+            z = model.bias + model.weights[order[:m]].sum(axis=0) / m**0.5
+            assert license_scan._softmax(z[None])[0, -1] >= 0.5
+
+
 def test_license_score_is_the_models(spark):
     """The joined score against the plain dot product."""
     model = license_scan.train()
