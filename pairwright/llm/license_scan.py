@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -267,15 +267,9 @@ def weight_table(spark: SparkSession, model: Model) -> DataFrame:
     return spark.createDataFrame(rows, "g string, w array<double>").select(F.xxhash64("g").alias("gram"), "w")
 
 
-def template_table(spark: SparkSession) -> DataFrame:
-    """pair (hash), hits array<struct<family, template>>: the word pairs of the templates."""
-    found: dict[str, list] = {}
-    for k, texts in enumerate(TEMPLATES.values()):
-        for n, t in enumerate(texts):
-            words = tokens(t)
-            for p in {" ".join(words[i : i + 2]) for i in range(len(words) - 1)}:
-                found.setdefault(p, []).append((k, n))
-    return spark.createDataFrame(list(found.items()), "p string, hits array<struct<family:int,template:int>>").select(F.xxhash64("p").alias("pair"), "hits")
+def template_pairs() -> list[list[set[str]]]:
+    """The word pairs of each template of each family."""
+    return [[{" ".join(p) for p in zip(w, w[1:], strict=False)} for w in map(tokens, texts)] for texts in TEMPLATES.values()]
 
 
 def _words(line: Column) -> Column:
@@ -311,7 +305,7 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     # outer generators, whose input is not made a second time to filter it; what one makes is made once
     made = found.select(*key, F.explode_outer(F.array(grams)).alias("grams"))
     bags = made.select(*key, F.size("grams").alias("n"), F.array_intersect("grams", F.array(*[F.xxhash64(F.lit(g)) for g in model.grams])).alias("grams"))
-    # both tables have a size fixed by the templates
+    # a table of a size fixed by the templates
     scored = bags.select(*key, "n", F.explode_outer("grams").alias("gram")).join(F.broadcast(weight_table(spark, model)), "gram")
     sums = scored.groupBy(*key).agg(F.first("n").alias("n"), *[F.sum(F.get("w", F.lit(k))).alias(f"z{k}") for k in range(len(model.classes))])
     logits = F.array(*[F.col(f"z{k}") / F.sqrt(F.col("n")) + F.lit(float(model.bias[k])) for k in range(len(model.classes))])
@@ -322,13 +316,10 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     z = z.withColumn("none", F.get("e", F.lit(len(model.classes) - 1)) / F.col("total")).filter("none < 0.5")
     safe = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("best")))
     z = z.withColumn("probability", 1 / (1 + F.exp(-(model.slope * F.log(safe / (1 - safe)) + model.offset))))
-    two = z.select("row", "paragraph", _grams(_words(F.col("line")), 2).alias("two"))
-    near = two.select("row", "paragraph", F.size("two").alias("pairs"), F.explode("two").alias("pair")).join(F.broadcast(template_table(spark)), "pair").select("row", "paragraph", "pairs", F.explode("hits").alias("h"))
-    near = near.groupBy("row", "paragraph", "h.family", "h.template").agg((F.count(F.lit(1)) / F.first("pairs")).alias("s"))
-    near = near.groupBy("row", "paragraph").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "family", "template"), "s"))).alias("like"))
-    z = z.join(near, ["row", "paragraph"], "left")
-    own = F.map_values(F.map_filter("like", lambda name, _: F.substring_index(name, ":", 1) == F.col("k").cast("string")))
-    z = z.withColumn("similarity", F.coalesce(F.array_max(own), F.lit(0.0)))
+    z = z.withColumn("words", F.explode_outer(F.array(_words(F.col("line"))))).withColumn("two", F.explode_outer(F.array(_grams(F.col("words"), 2))))
+    like = lambda pairs: F.size(F.array_intersect("two", F.array(*[F.xxhash64(F.lit(p)) for p in sorted(pairs)]))) / F.greatest(F.size("two"), F.lit(1))
+    own = reduce(lambda rest, k: F.when(F.col("k") == k, F.array_max(F.array(*map(like, template_pairs()[k])))).otherwise(rest), range(len(TEMPLATES)), F.lit(0.0))
+    z = z.withColumn("similarity", own)
     z = z.withColumn("confirmed", (F.col("probability") >= LEAST_PROBABILITY) & (F.col("similarity") >= LEAST_SIMILARITY))
     name = F.get(F.array(*[F.lit(c) for c in model.classes]), F.col("k"))
     return z.select("doc_id", F.col("paragraph").cast("bigint").alias("paragraph"), F.when(F.col("confirmed"), name).otherwise(F.lit(UNKNOWN)).alias("family"), "probability", "similarity", "confirmed", "line")
