@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.oracle_sql(), "op4_chat_format": chat.ORACLE_SQL}
+    return {"op1_sharding": sharding.oracle_sql(), "op4_chat_format": chat.ORACLE_SQL, "op8_secrets": secrets.oracle_sql()}

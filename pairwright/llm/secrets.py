@@ -9,6 +9,7 @@ looks live. Added kinds are reported where they look live.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,28 +19,38 @@ from .common import cut
 
 @dataclass(frozen=True)
 class Kind:
-    """A kind of candidate: its pattern, the group that is the value, and the value's least length."""
+    """A kind of candidate: its pattern, the group that is the value, the value's least length, and a text that every match holds."""
 
     name: str
     pattern: str
     group: int = 0
     least: int = 1
+    holds: str = ""
+
+    def regex(self) -> str:
+        """The pattern; a run shorter than its least length can be neither a match nor part of one, if the whole match is the value."""
+        return self.pattern.removesuffix("+") + f"{{{self.least},}}" if self.group == 0 and self.least > 1 and self.pattern.startswith("[") else self.pattern
+
+    def in_text(self, text: Column) -> Column:
+        """Whether a text has a match; the plain search for what every match holds spares most texts the pattern."""
+        hit = text.rlike(self.regex())
+        return text.contains(self.holds) & hit if self.holds else hit
 
 
 BASE = (
     Kind("assign", r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8),
-    Kind("access", r"AKIA[A-Z0-9]+", 0, 16),
+    Kind("access", r"AKIA[A-Z0-9]+", 0, 16, "AKIA"),
     Kind("hex", r"[0-9a-f]+", 0, 32),
 )
 #: Public formats of issued credentials.
 ADDED = (
-    Kind("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    Kind("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Kind("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
-    Kind("google", r"AIza[A-Za-z0-9_-]{35}"),
-    Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Kind("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----"),
-    Kind("url", r"[a-z][a-z0-9+]*://[A-Za-z0-9._-]+:[A-Za-z0-9._%+-]{6,}@"),
+    Kind("github", r"gh[pousr]_[A-Za-z0-9]{36,}", holds="gh"),
+    Kind("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", holds="xox"),
+    Kind("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}", holds="k_live_"),
+    Kind("google", r"AIza[A-Za-z0-9_-]{35}", holds="AIza"),
+    Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", holds="eyJ"),
+    Kind("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----", holds="PRIVATE KEY-----"),
+    Kind("url", r"[a-z][a-z0-9+]*://[A-Za-z0-9._-]+:[A-Za-z0-9._%+-]{6,}@", holds="://"),
 )
 KINDS = BASE + ADDED
 #: A value that this many distinct owners hold is a copied example.
@@ -57,10 +68,9 @@ def _block(i: Column) -> Column:
 
 def _steps(rank: int, kind: Kind, text: Column) -> tuple[list[dict[str, Column]], Column]:
     """Columns that lead to the spans of one kind, step by step, and the spans."""
-    # A run shorter than its least length can be neither a match nor part of one, if the whole match is the value.
-    pattern = kind.pattern.removesuffix("+") + f"{{{kind.least},}}" if kind.name == "hex" else kind.pattern
+    pattern = kind.regex()
     found, value, gap, step, sums, before = (F.col(f"__{x}_{rank}") for x in ("found", "value", "gap", "step", "sums", "before"))
-    hit, none = text.rlike(pattern), F.array().cast("array<string>")
+    hit, none = kind.in_text(text), F.array().cast("array<string>")
     made = [
         {
             f"__found_{rank}": F.when(hit, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none),
@@ -106,17 +116,17 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"),
         F.monotonically_increasing_id().alias("row"),
     )
-    each = with_spans(rows, "t", "found", kinds).select("doc_id", "owner", "row", F.explode_outer("found").alias("x"))
-    held = each.filter(F.col("x").isNotNull()).select(F.col("x.hash").alias("hash"), "owner", "doc_id").distinct()
+    # written once with their row numbers: a second reading of a shuffled input could number its rows otherwise
+    own = cut(with_spans(rows, "t", "found", kinds).select("row", "doc_id", "owner", "found"))
+    each = own.select("row", "doc_id", "owner", F.explode("found").alias("x"))
+    held = each.select(F.col("x.hash").alias("hash"), "owner", "doc_id").distinct()
     by_owner = held.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
     by_hash = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
-    # rows without a candidate take no part in the join, where their null key would gather them in one task
-    told = each.filter(F.col("x").isNotNull()).join(by_hash, F.col("x.hash") == F.col("hash")).select("row", "doc_id", "x", "owners", "repositories")
-    none = rows.select("doc_id", "row", F.lit(None).cast(told.schema["x"].dataType).alias("x"), F.lit(None).cast("bigint").alias("owners"), F.lit(None).cast("bigint").alias("repositories"))
-    told = told.unionByName(none)
     span = F.struct("x.start", "x.rank", "x.stop", "x.kind", "x.hash", "owners", "repositories", (F.col("owners") < copied_owners).alias("live"))
-    out = told.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.when(F.col("x").isNotNull(), span))).alias("spans"))
-    return out.select("doc_id", "spans")
+    told = each.join(by_hash, F.col("x.hash") == F.col("hash")).groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(span)).alias("spans")).select("doc_id", "spans")
+    # rows without a candidate take no part in the join
+    none = own.filter(F.size("found") == 0).select("doc_id", F.array().cast(told.schema["spans"].dataType).alias("spans"))
+    return told.unionByName(none)
 
 
 def digests(scanned: DataFrame) -> DataFrame:
@@ -142,7 +152,7 @@ def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     without a candidate pass as they are; the others meet their spans by (id, hash of the text), equal rows once.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    hit = text.rlike("|".join(f"(?:{k.pattern.removesuffix('+') + '{32,}' if k.name == 'hex' else k.pattern})" for k in kinds))
+    hit = reduce(lambda a, k: a | k.in_text(text), kinds, F.lit(False))
     keyed = documents.withColumn("__id", F.col(id_col).cast("bigint")).withColumn("__th", F.when(hit, F.xxhash64(text)))
     # the few rows with a candidate are written once: patterns are costly and these rows are read several times
     plain, some = keyed.filter(F.col("__th").isNull()), cut(keyed.filter(F.col("__th").isNotNull()))
@@ -175,3 +185,32 @@ def _between(text: Column, spans: Column, i: Column) -> Column:
     a = F.coalesce(F.get(spans, i - 1)["stop"], F.lit(0))
     b = F.coalesce(F.get(spans, i)["start"], F.length(text))
     return F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
+
+
+def oracle_sql(kinds: tuple[Kind, ...] = KINDS, copied_owners: int = COPIED_OWNERS) -> str:
+    """DuckDB's statement of ``digests(scan(documents))``. Letters in either case are spelled out, as its patterns fold more than ASCII ones."""
+
+    def pattern(k: Kind) -> str:
+        p = k.pattern
+        if p.startswith("(?i)"):
+            head, tail = p[4:].split(")", 1)
+            p = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in head) + ")" + tail
+        return "'" + p.replace("'", "''") + "'"
+
+    parts = " UNION ALL ".join(f"SELECT r, doc_id, owner, {n} AS rank, '{k.name}' AS kind, {k.least} AS least, regexp_extract_all(t, {pattern(k)}) AS f, regexp_extract_all(t, {pattern(k)}, {k.group}) AS v, string_split_regex(t, {pattern(k)}) AS g FROM rows" for n, k in enumerate(kinds))
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k.name}') AS n_{k.name}" for k in BASE)
+    told = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank)"
+    return f"""
+WITH rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+found AS ({parts}),
+each AS (SELECT r, doc_id, owner, rank, kind, least, unnest(f) AS m, unnest(v) AS value, unnest(g[:len(f)]) AS gap, generate_subscripts(f, 1) AS i FROM found WHERE len(f) > 0),
+placed AS (SELECT *, sum(length(gap)) OVER w + sum(length(m)) OVER w - length(m) AS start, sum(length(gap)) OVER w + sum(length(m)) OVER w AS stop FROM each WINDOW w AS (PARTITION BY r, rank ORDER BY i)),
+kept AS (SELECT r, doc_id, owner, rank, kind, start::BIGINT AS start, stop::BIGINT AS stop, sha256(value) AS hash FROM placed WHERE length(value) >= least),
+held AS (SELECT hash, count(DISTINCT owner) < {copied_owners} AS live FROM kept GROUP BY hash),
+told AS (
+  SELECT r, {counts}, {told} FILTER (WHERE rank < {len(BASE)}) AS base, {told} FILTER (WHERE rank < {len(BASE)} OR live) AS spans,
+    count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_copied
+  FROM kept JOIN held USING (hash) GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM rows LEFT JOIN told USING (r)
+"""
