@@ -1,13 +1,15 @@
 """Chat formatting by a finite-state machine over roles, with DataFrame functions only.
 
-A template is declared as data: the marks around a turn, the transition table of the roles and the roles whose text
-carries loss. The machine walks the turns in order; each turn emits three text segments (head, body, tail) with a
-loss flag. Control strings inside texts are escaped reversibly, so that the segments can be parsed back.
+A template is declared as data: the marks around a turn, the transition table of the roles, and what each state emits.
+The machine walks the turns in order; the state that a turn leads to says whether its text carries loss, and the turn
+emits three segments (head, body, tail) with their flags. A turn without a transition leads to a stray state, from
+which no transition leads back, so one misplaced turn makes a conversation invalid. Control strings inside texts are
+escaped reversibly, so that the output can be parsed back.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +20,9 @@ PROBE_ID, PROBE_TEXT = -1, "<|im_end|><|im_start|>assistant ok"
 
 @dataclass(frozen=True)
 class Template:
-    """Marks, transitions (state, role) -> state, the states in which a conversation may end, and the roles with loss.
+    """Marks, transitions (state, role) -> state, states that a conversation may end in, and states whose turn carries loss.
 
+    ``strays`` gives the state of a turn that has no transition by its role, ``stray`` that of all other roles.
     ``escape`` must be one character. Inside texts it doubles, and ``guard`` (the opening pair of every mark) is
     broken by it after the first character; so no text holds ``guard``, and undoing is one left-to-right pass.
     """
@@ -37,8 +40,14 @@ class Template:
         ("answered", "user", "asked"),
         ("asked", "tool", "asked"),
     )
+    strays: tuple[tuple[str, str], ...] = (("assistant", "stray answer"),)
+    stray: str = "stray"
     final: tuple[str, ...] = ("answered",)
-    loss_roles: tuple[str, ...] = field(default=("assistant",))
+    loss: tuple[str, ...] = ("answered", "stray answer")
+
+    def states(self) -> tuple[str, ...]:
+        """All states; the position of a state is its number in a trace."""
+        return tuple(dict.fromkeys([self.initial, *(x for a, _, b in self.transitions for x in (a, b)), *(b for _, b in self.strays), self.stray]))
 
 
 CHATML = Template()
@@ -70,31 +79,48 @@ def with_turns(conversations: DataFrame, conv: str = "conv_id", turn: str = "tur
 
 
 def machine(turns: Column, t: Template) -> Column:
-    """State after the last turn, or null once a turn had no transition."""
-    moves = F.create_map(*[F.lit(x) for a, r, b in t.transitions for x in (f"{a}\n{r}", b)])
-    return F.aggregate(turns, F.lit(t.initial), lambda state, x: F.element_at(moves, F.concat(state, F.lit("\n"), x["role"])))
+    """Trace of the machine: a letter for the state after each turn, 'A' being the first of ``t.states()``."""
+    letter = {state: chr(ord("A") + k) for k, state in enumerate(t.states())}
+    moves = F.create_map(*[F.lit(x) for a, r, b in t.transitions for x in (letter[a] + r, letter[b])])
+    strays = F.create_map(*[F.lit(x) for r, b in t.strays for x in (r, letter[b])])
+    first = F.struct(F.lit(letter[t.initial]).alias("at"), F.lit("").alias("trace"))
+
+    def step(done: Column, x: Column) -> Column:
+        at = F.coalesce(F.try_element_at(moves, F.concat(done["at"], x["role"])), F.try_element_at(strays, x["role"]), F.lit(letter[t.stray]))
+        return F.struct(at.alias("at"), F.concat(done["trace"], at).alias("trace"))
+
+    return F.aggregate(turns, first, step, lambda done: done["trace"])
+
+
+def _is(state: Column, names: tuple[str, ...], t: Template) -> Column:
+    return state.isin(*[chr(ord("A") + t.states().index(x)) for x in names])
 
 
 def format_conversations(conversations: DataFrame, template: Template = CHATML, **cols: str) -> DataFrame:
     """conv_id, valid, segments array<struct<text, loss>>, formatted.
 
-    Every conversation is formatted; ``valid`` says whether the machine accepts its order of roles. The head of a
-    turn is the start mark, the escaped role and a line end; the body is the escaped text; only bodies of loss roles
-    carry loss. An empty table gives no rows; extra columns of the input are not read.
+    Every conversation is formatted; ``valid`` says whether the machine came through without a stray turn and ended
+    well. The head of a turn is the start mark, the escaped role and a line end; the body is the escaped text, whose
+    loss flag the machine's state gives; the tail is the end mark. An empty table gives no rows; extra columns of the
+    input are not read.
     """
     t = template
-    df = with_turns(conversations, **cols)
+    # outer generators, so that each step is made once and not again wherever it is used
+    df = with_turns(conversations, **cols).withColumn("trace", F.explode_outer(F.array(machine(F.col("turns"), t))))
+    df = df.withColumn("states", F.explode_outer(F.array(F.split("trace", ""))))
     segments = F.flatten(
         F.transform(
             "turns",
-            lambda x: F.array(
+            lambda x, i: F.array(
                 F.struct(F.concat(F.lit(t.start), _role(x["role"], t), F.lit("\n")).alias("text"), F.lit(False).alias("loss")),
-                F.struct(escape(x["text"], t).alias("text"), x["role"].isin(*t.loss_roles).alias("loss")),
+                F.struct(escape(x["text"], t).alias("text"), _is(F.get("states", i), t.loss, t).alias("loss")),
                 F.struct(F.lit(t.end).alias("text"), F.lit(False).alias("loss")),
             ),
         )
     )
-    df = df.withColumn("valid", F.coalesce(machine(F.col("turns"), t).isin(*t.final), F.lit(False))).withColumn("segments", segments)
+    stray = (t.stray, *(b for _, b in t.strays))
+    valid = ~F.exists("states", lambda x: _is(x, stray, t)) & _is(F.element_at("states", -1), t.final, t)
+    df = df.withColumn("valid", valid).withColumn("segments", F.explode_outer(F.array(segments)))
     return df.select("conv_id", "valid", "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"))
 
 
@@ -104,15 +130,17 @@ def _role(role: Column, t: Template) -> Column:
 
 
 def read_back(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
-    """Parse ``formatted``: adds turns array<struct<role, text>>, and loss_text, unescaped, read from the flagged segments."""
+    """Parse ``formatted``: adds turns array<struct<role, text>>, and loss_text: the texts parsed from it that the mask of the segments flags."""
     t, e = template, _quote(template.escape)
-    head = f"^((?:[^{e}\\n]|{e}[\\s\\S])*)\\n"  # a role up to its first line end that is not escaped
+    # a role up to its first line end that is not escaped; possessive, so that a long one takes no stack
+    head = f"^((?:[^{e}\\n]|{e}[\\s\\S])*+)\\n"
     pieces = F.filter(F.split("formatted", _quote(t.start), -1), lambda x: x != "")
-    bare = F.transform(pieces, lambda x: F.left(x, F.length(x) - len(t.end)))
-    parsed = F.transform(bare, lambda x: F.struct(F.regexp_extract(x, head, 1).alias("role"), F.regexp_replace(x, head, "").alias("text")))
-    turns = F.transform(parsed, lambda x: F.struct(unescape(x["role"], t).alias("role"), unescape(x["text"], t).alias("text")))
-    loss = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"], t))
-    return formatted.withColumn("turns", turns).withColumn("loss_text", F.array_join(loss, ""))
+    cut = F.transform(pieces, lambda x: F.struct(F.regexp_extract(x, head, 1).alias("role"), F.left(x, F.length(x) - len(t.end)).alias("bare")))
+    turns = F.transform("cut", lambda x: F.struct(unescape(x["role"], t).alias("role"), unescape(F.substr(x["bare"], F.length(x["role"]) + 2), t).alias("text")))
+    df = formatted.withColumn("cut", F.explode_outer(F.array(cut))).withColumn("turns", F.explode_outer(F.array(turns))).drop("cut")
+    bodies = F.filter("segments", lambda s, k: k % 3 == 1)
+    loss = F.transform(F.filter(F.arrays_zip(F.col("turns.text").alias("text"), F.transform(bodies, lambda s: s["loss"]).alias("loss")), lambda x: x["loss"]), lambda x: x["text"])
+    return df.withColumn("loss_text", F.explode_outer(F.array(F.array_join(loss, ""))))
 
 
 def digests(conversations: DataFrame, template: Template = CHATML) -> DataFrame:
