@@ -1,9 +1,11 @@
 """Sharding, chat formatting, fingerprints, secrets: against brute-force versions on small tables."""
 
+import dataclasses
 import hashlib
 import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from pairwright.llm import chat, order_minhash, registry, secrets, sharding
@@ -87,6 +89,28 @@ def test_chat_round_trip(spark):
     assert {c: r["valid"] for c, r in got.items()} == {1: True, 2: False, 3: False, 4: False, 5: True}
 
 
+def test_chat_long_roles_and_many_turns(spark):
+    """A role or text of a million characters takes no stack, and neither do many turns."""
+    rows = [(1, 0, "r\\\n" * 350_000, "x"), (1, 1, "assistant", "y\\<|" * 300_000), *[(2, i, "user" if i % 2 == 0 else "assistant", str(i)) for i in range(5000)]]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {r["conv_id"]: r for r in chat.digests(df).collect()}
+    for c in (1, 2):
+        own = [r for r in rows if r[0] == c]
+        loss = "".join(t for _, _, r, t in own if r == "assistant")
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in own).encode()).hexdigest()
+        assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert got[c]["valid"] == (c == 2)
+
+
+def test_chat_machine_drives_loss(spark):
+    """Loss follows the states that the template names, not the roles."""
+    quiet = dataclasses.replace(chat.CHATML, loss=("stray answer",))
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "assistant", "again"), (1, 3, "user", "b")], "conv_id bigint, turn bigint, role string, text string")
+    row = chat.read_back(chat.format_conversations(df, quiet), quiet).collect()[0]
+    assert row["loss_text"] == "again" and not row["valid"]
+    assert chat.read_back(chat.format_conversations(df)).collect()[0]["loss_text"] == "aagain"
+
+
 def test_chat_table_and_empty(spark, data):
     df = chat.with_probe(spark.read.parquet(f"{data}/conversations.parquet"))
     out = chat.digests(df).filter("conv_id = -1").collect()
@@ -97,10 +121,84 @@ def test_chat_table_and_empty(spark, data):
 # fingerprints
 
 
-def slow_steps(text):
-    """Numbered k-mers in the order of their hashes is not repeated here; only what must hold of it."""
-    words = text.split()
-    return max(1, len(words) - order_minhash.K + 1) if words else 0
+def spark_hash(*values):
+    """xxhash64 of longs (``(value, 8)``), ints (``(value, 4)``) and texts, as Spark chains them; nulls are passed over."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else (v[0] & (1 << 8 * v[1]) - 1).to_bytes(v[1], "little")
+            seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed
+
+
+def slow_ranks(text):
+    """(rank, position) of the minimal numbered k-mer under each order; every k-mer is ranked under every order."""
+    words, seen, best = text.split(), {}, {}
+    for pos in range(max(1, len(words) - order_minhash.K + 1) if words else 0):
+        h = spark_hash(*(words[pos : pos + 3] + [None] * 3)[:3])
+        seen[h] = seen.get(h, 0) + 1
+        x = spark_hash((h, 8), (seen[h], 8))
+        bits = [spark_hash((x, 8), (level, 4)) for level in range(order_minhash.LEVELS)]
+        for j in range(order_minhash.M * order_minhash.L):
+            level = next((k for k, w in enumerate(bits) if not w >> j & 1), order_minhash.LEVELS)
+            rank = order_minhash.LEVELS - level << 58 | spark_hash((x, 8), (j + order_minhash.LEVELS, 4)) >> 6
+            best[j] = min(best.get(j, (rank, pos)), (rank, pos))
+    return best
+
+
+def slow_fingerprint(text):
+    best, out = slow_ranks(text), []
+    for c in range(order_minhash.M):
+        if not best:
+            out.append(order_minhash.BLANK)
+            continue
+        (a, pa), (b, pb) = best[2 * c], best[2 * c + 1]
+        told = spark_hash((0, 4), (a, 8), (b, 8)) if pa <= pb else spark_hash((1, 4), (b, 8), (a, 8))
+        out.append(f"{told & (1 << 4 * order_minhash.DIGITS) - 1:0{order_minhash.DIGITS}x}")
+    return "".join(out)
+
+
+def slow_likeness(a, b):
+    d = order_minhash.DIGITS
+    j = (sum(a[i : i + d] == b[i : i + d] for i in range(0, len(a), d)) / order_minhash.M) ** 0.5
+    return 2 * j / (1 + j)
+
+
+def test_whole_result_against_brute_force(spark, data):
+    """Every column of the result, on texts below and above the size from which k-mers must pass levels, in many buckets."""
+    own = spark.read.parquet(f"{data}/documents.parquet").filter("doc_id % 6 = 0").select("doc_id", "text")
+    more = [(10_001, ""), (10_002, None), (10_003, "one"), (10_004, "a b " * 200), (10_005, " x\n y\tz " + "a b c " * 40), (None, "null id here and there")]
+    df = own.unionByName(spark.createDataFrame(more, "doc_id bigint, text string"))
+    rows = sorted(((-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in df.collect()), reverse=True)
+    got = {-1 if r["doc_id"] is None else r["doc_id"]: r for r in order_minhash.fingerprints(df, rows_per_bucket=7).collect()}
+    assert len(got) == len(rows)
+    for k, (i, t) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        e = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        r, fp, efp = got[i], slow_fingerprint(t), slow_fingerprint(e)
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(e.encode()).hexdigest())
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (fp, efp), i
+        assert r["near_edited"] == pytest.approx(slow_likeness(fp, efp)) and r["near_next"] == pytest.approx(slow_likeness(fp, slow_fingerprint(following)))
+
+
+def test_any_ids(spark):
+    """Extreme, skewed, repeated and null ids: order and next text as in a plain sort, whatever the buckets."""
+    top = (1 << 63) - 1
+    lists = [[top, -top - 1], [-top - 1, 1], [0] * 40 + [5], [None] * 30 + [1, 2], [top - i for i in range(30)] + [-top], [7], [None], [3, 3, 3, None, None, top, top]]
+    for ids in lists:
+        df = spark.createDataFrame([(x, f"text {n}") for n, x in enumerate(ids)], "doc_id bigint, text string")
+        for per in (1, 4, 1000):
+            out = order_minhash.with_next(df, "doc_id", "text", rows_per_bucket=per).collect()
+            assert sorted(r["text"] for r in out) == sorted(r["next_text"] for r in out) == sorted(f"text {n}" for n in range(len(ids)))
+            falls = [(r["doc_id"], r["next_doc_id"]) for r in out]
+            key = lambda x: -top - 2 if x is None else x
+            assert sum(key(a) < key(b) for a, b in falls) == (len(set(ids)) > 1)  # only the last row is followed by a larger one
+            order, at = [], max(out, key=lambda r: (key(r["doc_id"]),))["text"]
+            after = {r["text"]: r["next_text"] for r in out}
+            while at not in order:
+                order.append(at)
+                at = after[at]
+            assert len(order) == len(ids)  # one ring
 
 
 def test_next_and_edit(spark, data):
@@ -192,6 +290,21 @@ def test_ownership(spark):
     assert shown[0] == "" and shown[3] == "github:0:40,github:41:81"
 
 
+@pytest.mark.parametrize("size", ["64k", "64m"])
+def test_secret_rows_of_shuffled_inputs(spark, size):
+    """An input that a shuffle makes gives one row for each of its rows, however its partitions are joined."""
+    rows = docs(spark, [f"text {i} token=abcdefgh{i % 7}" if i % 3 else f"plain {i}" for i in range(300)], {i: f"s{i % 9}" for i in range(300)})
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    try:
+        grouped = rows.repartition(16).groupBy("doc_id").agg(F.first("text").alias("text"), F.first("source").alias("source"))
+        got = secrets.digests(secrets.scan(grouped)).collect()
+        assert sorted(r["doc_id"] for r in got) == list(range(300))
+        assert {r["doc_id"]: r["n_assign"] for r in got} == {i: int(i % 3 > 0) for i in range(300)}
+        assert secrets.redact(grouped.select("doc_id", "text", "source")).count() == 300
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
 def test_secret_edges(spark):
     df = docs(spark, ["token=abcdefgh"] * 3).withColumn("doc_id", F.lit(7)).withColumn("source", F.lit(None).cast("string")).withColumn("hash", F.lit(1)).withColumn("row", F.lit(1))
     assert [r["n_assign"] for r in secrets.digests(secrets.scan(df)).collect()] == [1, 1, 1]
