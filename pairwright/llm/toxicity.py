@@ -10,6 +10,7 @@ learned. A logistic regression over the summed hits gives the score.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -21,15 +22,16 @@ from pyspark.sql import functions as F
 
 from . import logistic
 from .common import arrow_map, cut, held_out, spread
-from .shingles import shingle_set
+from .shingles import minhash, shingle_set
 
-#: Labelled rows, at most, from which a model is learned, and entries, at most, of its lexicon and cue list.
+#: Labelled rows, at most, from which a model is learned; they bound its lexicon and cue list too, as each entry stands in several of them.
 TOXIC_ROWS, CLEAN_ROWS = 3000, 6000
-LEXICON, CUES = 2000, 2000
 #: A term must stand in this share of the toxic texts (in three at least) and this many times as often there as elsewhere.
 SUPPORT, TIMES = 0.005, 20
-#: A term in this share of the toxic texts is known well enough to be matched with errors.
+#: A stem in this share of the toxic texts is known well enough to be matched with errors.
 FUZZY_SUPPORT = 0.02
+#: A word must stand in the windows of this many hits to be a cue, and this many clean hits must have been seen to weigh any.
+CUE_HITS, CLEAN_HITS = 5, 20
 STEM_LENGTHS = (4, 5, 6, 7)
 WINDOW = 6
 
@@ -153,14 +155,26 @@ class Matcher:
         return [(m.start(), m.end(), self.hits[m.group()]) for m in _WORD.finditer(text) if m.group() in self.hits]
 
 
-def window(text: str, start: int, end: int) -> tuple[bool, list[str]]:
-    """Whether the hit stands between quotation marks of its line, and the words around it."""
-    a = text.rfind("\n", 0, start) + 1
-    b = text.find("\n", end)
-    b = len(text) if b < 0 else b
-    left, right = text[max(a, start - 400) : start], text[end : min(b, end + 400)]
-    quoted = len(_QUOTE.findall(left)) % 2 == 1 and _QUOTE.search(right) is not None
-    return quoted, _WORD.findall(left)[-WINDOW:] + _WORD.findall(right)[:WINDOW]
+class Windows:
+    """The surroundings of any hit of a text, from one pass over its words, line ends and quotation marks."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.ends = [m.start() for m in re.finditer("\n", text)]
+        self.marks = [m.start() for m in _QUOTE.finditer(text)]
+        self.words = [m.span() for m in _WORD.finditer(text)]
+        self.starts = [a for a, _ in self.words]
+
+    def around(self, start: int, end: int) -> tuple[bool, list[str]]:
+        """Whether the hit stands between quotation marks of its line, and the ``WINDOW`` words of the line on either side."""
+        line = bisect_left(self.ends, start)
+        a = self.ends[line - 1] + 1 if line else 0
+        b = self.ends[line] if line < len(self.ends) else len(self.text)
+        before = bisect_left(self.marks, start) - bisect_left(self.marks, a)
+        after = bisect_left(self.marks, b) - bisect_left(self.marks, end)
+        at = bisect_left(self.starts, start)
+        near = [*range(max(0, at - WINDOW), at), *range(at + 1, min(len(self.words), at + 1 + WINDOW))]
+        return before % 2 == 1 and after > 0, [self.text[x:y] for x, y in (self.words[k] for k in near) if a <= x < b]
 
 
 #: Measures of a text that ``features`` gives.
@@ -174,8 +188,9 @@ def features(text: str, hits: list, cues: dict[str, float], quoted_weight: float
     """
     whole = stems = 0
     weighed, terms = 0.0, set()
+    windows = Windows(text) if hits else None
     for a, b, (term, stem, _) in hits:
-        quoted, around = window(text, a, b)
+        quoted, around = windows.around(a, b)
         abuse = 1 / (1 + np.exp(-(2.0 + quoted_weight * quoted + sum(cues.get(w, 0.0) for w in around))))
         weighed += abuse
         if abuse >= 0.5:
@@ -186,7 +201,7 @@ def features(text: str, hits: list, cues: dict[str, float], quoted_weight: float
 
 
 #: A stretch of one line between quotation marks.
-_QUOTED = re.compile(f"[{_QUOTES.replace('’', '')}][^{_QUOTES}\\n]{{1,300}}[{_QUOTES.replace('‘', '')}]")
+_QUOTED = re.compile(f"[{_QUOTES.replace('’', '')}][^{_QUOTES}\\n]+[{_QUOTES.replace('‘', '')}]")
 
 
 def _terms(text: str) -> set[tuple[str, bool]]:
@@ -238,11 +253,23 @@ def training_rows(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id
     rows = texts.join(F.broadcast(some), "id")  # the sample's bound bounds the broadcast
 
     def key(ids: list, labels_: list, texts_: list) -> dict:
-        sets = [shingle_set(t) for t in texts_]
-        return {"id": ids, "toxic": labels_, "text": texts_, "key": [int(s[0] >> np.uint64(1)) if len(s) else 0 for s in sets]}
+        near = [minhash(shingle_set(t))[:2] for t in texts_]  # copies at 0.8 agree in both more often than not, unlike texts hardly ever
+        return {"id": ids, "toxic": labels_, "text": texts_, "key": [int(a) << 31 ^ int(b) for a, b in near]}
 
     keyed = arrow_map(rows.select("id", "toxic", "text"), key, "id bigint, toxic int, text string, key bigint", rows=256)
-    return cut(keyed.dropDuplicates(["key", "toxic"]).select("text", "toxic"))
+    # the row of the least id stands for its group, so that every run learns from the same rows
+    return cut(keyed.groupBy("key", "toxic").agg(F.min(F.struct("id", "text")).alias("first")).select("first.text", "toxic"))
+
+
+def may_err(stem: bool, support: int, toxic: int, clean: int, n_toxic: int, n_clean: int) -> bool:
+    """Whether a term is matched with errors: by the measured rates of its near misses outside quotation marks.
+
+    A term whose near misses no clean row has may err, a stem only with ``FUZZY_SUPPORT``, as many words begin alike.
+    One with some may if its near misses are ``TIMES`` as frequent in toxic rows as in clean ones.
+    """
+    if stem and support < FUZZY_SUPPORT * n_toxic:
+        return False
+    return clean == 0 or (toxic + 0.5) / (n_toxic + 1) >= TIMES * (clean + 0.5) / (n_clean + 1)
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -254,18 +281,19 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         return Model([], frozenset(), {}, 0.0, np.array([-3.0] + [0.0] * (N_FEATURES - 1)))
     rate = (F.col("toxic") + 0.5) / (n_toxic + 1) / ((F.col("clean") + 0.5) / (n_clean + 1))
     telling = term_counts(train).filter((F.col("toxic") >= max(3, SUPPORT * n_toxic)) & (rate >= TIMES))
-    rows = telling.orderBy(F.desc("toxic"), "term", "stem").limit(LEXICON).collect()
+    rows = telling.orderBy(F.desc("toxic"), "term", "stem").collect()  # each in SUPPORT of the sample's toxic rows
     terms = choose_terms([(r["term"], r["stem"], r["toxic"], r["clean"]) for r in rows])
 
-    def wrong(texts: list) -> dict:
+    def wrong(texts: list, toxic: list) -> dict:
+        """Near misses of the terms outside quotation marks, once a text."""
         matcher = Matcher(terms)
-        found = [h[2] for t in texts for h in matcher.find(t.lower()) if h[2][2]]
-        return {"term": [t for t, _, _ in found], "stem": [s for _, s, _ in found]}
+        found = [(h, bool(y)) for t, y in zip(texts, toxic, strict=True) for h in {x[2][:2] for x in matcher.find(_QUOTED.sub(" ", t.lower())) if x[2][2]}]
+        return {"term": [t for (t, _), _ in found], "stem": [s for (_, s), _ in found], "toxic": [y for _, y in found]}
 
-    # a rare term, and one whose near misses are ordinary words elsewhere, takes no errors
-    rare = {(r["term"], r["stem"]) for r in rows if r["toxic"] < FUZZY_SUPPORT * n_toxic}
-    ordinary = arrow_map(train.filter("toxic = 0").select("text"), wrong, "term string, stem boolean").distinct().collect()
-    strict = frozenset(rare | {(r["term"], r["stem"]) for r in ordinary})  # at most LEXICON
+    missed = arrow_map(train.select("text", "toxic"), wrong, "term string, stem boolean, toxic boolean").groupBy("term", "stem").agg(F.count_if("toxic").alias("toxic"), F.count_if(~F.col("toxic")).alias("clean"))
+    near_misses = {(r["term"], r["stem"]): (r["toxic"], r["clean"]) for r in missed.collect()}  # of the lexicon's terms
+    support = {(r["term"], r["stem"]): r["toxic"] for r in rows}
+    strict = frozenset(x for x in terms if not may_err(x[1], support[x], *near_misses.get(x, (0, 0)), n_toxic, n_clean))
 
     def near(texts: list, toxic: list) -> dict:
         """Windows around hits: (toxic, quoted, words)."""
@@ -273,8 +301,10 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         count: Counter = Counter()
         for t, y in zip(texts, toxic, strict=True):
             low = t.lower()
-            for a, b, _ in matcher.find(low):
-                quoted, around = window(low, a, b)
+            hits = matcher.find(low)
+            windows = Windows(low) if hits else None
+            for a, b, _ in hits:
+                quoted, around = windows.around(a, b)
                 count.update({(y, w) for w in around} | {(y, "\n")} | ({(y, '"')} if quoted else set()))
         for (y, w), n in count.items():
             out["toxic"].append(y)
@@ -283,11 +313,11 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         return out
 
     seen = arrow_map(train.select("text", "toxic"), near, "toxic int, word string, n bigint").groupBy("word").agg(F.sum(F.when(F.col("toxic") != 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
-    frequent = seen.filter((F.col("a") + F.col("c") >= 5) | F.col("word").isin("\n", '"')).orderBy(F.desc(F.col("a") + F.col("c")), "word").limit(CUES).collect()
+    frequent = seen.filter((F.col("a") + F.col("c") >= CUE_HITS) | F.col("word").isin("\n", '"')).collect()  # words near hits of the sample
     count = {r["word"]: (r["a"], r["c"]) for r in frequent}
     total_a, total_c = count.get("\n", (0, 0))
     odds = lambda w: float(np.clip(np.log((count.get(w, (0, 0))[0] + 1) / (total_a + 2)) - np.log((count.get(w, (0, 0))[1] + 1) / (total_c + 2)), -3, 3))
-    enough = total_c >= 20  # too few hits outside abuse teach nothing about context
+    enough = total_c >= CLEAN_HITS  # too few hits outside abuse teach nothing about context
     cues = {w: odds(w) for w in count if enough and w not in ("\n", '"') and abs(odds(w)) > 1}
     quoted = odds('"') if enough else -1.0
     model = Model(terms, strict, cues, quoted, np.zeros(N_FEATURES))
