@@ -73,6 +73,47 @@ def test_chunks_do_not_matter(monkeypatch):
     assert sorted(D.leaks(index, docs)) == want
 
 
+def test_long_texts_in_slices(monkeypatch):
+    """A text that is searched slice by slice gives the rows that it gives whole, at a slice's edge too."""
+    rng = random.Random(9)
+    items = [(1, words(rng, 60)), (2, words(rng, 12))]
+    index = D.build_index(items)
+    parts = []
+    for k in range(40):
+        parts += [words(rng, rng.randint(20, 60)), damage(rng, items[k % 2][1], k % 5)]
+    text = " ".join(parts)
+    want = sorted(D.leaks(index, [text, text[::-1], text]))
+    assert len({x[0] for x in want}) == 2 and len(want) > 100
+    for core, margin in ((500, 400), (1111, 300), (90, 400)):
+        monkeypatch.setattr(D, "CHUNK", core)
+        monkeypatch.setattr(D, "MARGIN", margin)
+        assert sorted(D.leaks(index, [text, text[::-1], text])) == want
+
+
+def test_common_grams_are_counted_in_bounded_steps(monkeypatch):
+    """Texts and items full of the same q-grams: the same regions whatever number of hits is counted at a time."""
+    rng = random.Random(5)
+    items = [(1, "ab " * 60), (2, "a" * 150), (3, words(rng, 40))]
+    index = D.build_index(items)
+    docs = ["ab " * 150 + words(rng, 20), "a" * 400, items[2][1] + "ab " * 50, words(rng, 100)]
+    want = sorted(D.leaks(index, docs))
+    assert {(x[0], x[1]) for x in want} == {(0, 1), (1, 2), (2, 3), (2, 1)}
+    for hits in (7, 1000):
+        monkeypatch.setattr(D, "HITS", hits)
+        assert sorted(D.leaks(index, docs)) == want
+    assert {x[0] for x in D.leaks(index, docs, first_only=True)} == {0, 1, 2}
+
+
+def test_verbatim_runs_are_found():
+    """Any run of WINDOW + STEP - 1 characters of an item is a leak, wherever in the item it lies."""
+    rng = random.Random(8)
+    item = D.normal(words(rng, 80))
+    index = D.build_index([(7, item)])
+    n = D.WINDOW + D.STEP - 1
+    docs = [f"{words(rng, 30)} {item[a : a + n]} {words(rng, 30)}" for a in range(0, len(item) - n + 1, 7)]
+    assert {x[0] for x in D.leaks(index, docs)} == set(range(len(docs)))
+
+
 def test_query(spark, data):
     docs, bench = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
     texts = {r["doc_id"]: D.normal(r["text"] or "") for r in docs.collect()}
@@ -89,8 +130,10 @@ def test_blocks_and_edges(spark, monkeypatch):
     df = spark.createDataFrame([*enumerate(docs), (0, None), (None, items[2][1]), (None, items[2][1])], "doc_id bigint, text string").withColumn("edits", F.lit(1))
     want = sorted(D.find_leaks(df, bench).collect(), key=str)
     assert sum(r["doc_id"] is None for r in want) == 2
+    kept = sorted(D.drop_leaks(df, bench).collect(), key=str)
     monkeypatch.setattr(D, "BLOCK_CHARS", 200)
     assert sorted(D.find_leaks(df, bench).collect(), key=str) == want
+    assert sorted(D.drop_leaks(df, bench).collect(), key=str) == kept and 0 < len(kept) < df.count()
     assert D.find_leaks(df.limit(0), bench).count() == 0 and D.find_leaks(df, bench.limit(0)).count() == 0
     assert D.drop_leaks(df, bench).columns == df.columns
     assert np.all(D.build_index([]).need >= 0)
