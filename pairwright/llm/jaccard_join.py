@@ -4,11 +4,12 @@ A document is the set of its word shingles, embedded as MinHash values at ``POSI
 a position with probability equal to their Jaccard index. Starting from all documents, each run picks one or two
 positions (1 / threshold on average) by a hash of the path so far, and splits on the value there, which is a sampled
 token that the members share. A bucket of at most ``LIMIT`` members is a leaf; a larger one is split again by new
-positions. A pair at the threshold survives a run with a known probability, so runs are repeated until the chance to
-miss it is under 1 - ``RECALL``. After the last level a bucket that will not split (near copies of one text) is
-compared block by block; no bucket is cut short.
+positions. A pair at the threshold survives a run with a probability that hangs on the number of positions it agrees
+in; all runs share the positions, so the chance to miss it is summed over these numbers, those that the filter below
+turns away among them, and runs are repeated until it is under 1 - ``RECALL``. After the last level a bucket that will
+not split (near copies of one text) is compared block by block; no bucket is cut short.
 
-Within a leaf, members whose MinHash values agree in ``SKETCH`` of positions or more (four standard deviations below
+Within a leaf, members whose MinHash values agree in ``SKETCH`` of positions or more (five standard deviations below
 the threshold) become candidates, kept as spanning edges, never as all pairs. Each component of candidates is then
 brute-forced once on whole shingle sets: exact Jaccard, link counts, and components of exact links. Components over
 ``BLOCK`` members are dealt out as pairs of blocks. Documents with equal shingle sets are one node throughout.
@@ -31,20 +32,33 @@ from .shingles import POSITIONS, minhash, set_digest, shingle_set
 THRESHOLD = (4, 5)
 RECALL = 0.9999
 DEPTH, LIMIT, BLOCK = 3, 256, 256
-SKETCH = 0.6
+SKETCH = 0.54
 
 
-def run_recall(jaccard: float, depth: int = DEPTH) -> float:
-    """Chance that a pair stays together on at least one path of a run through ``depth`` levels."""
-    two, alive = 1 / jaccard - 1, 1.0
+def run_recall(agreement: float, depth: int = DEPTH) -> float:
+    """Chance that a pair that agrees in this share of positions stays together on at least one path of a run through ``depth`` levels."""
+    two, alive = THRESHOLD[1] / THRESHOLD[0] - 1, 1.0
     for _ in range(depth):
-        miss = 1 - jaccard * alive
+        miss = 1 - agreement * alive
         alive = 1 - ((1 - two) * miss + two * miss * miss)
     return alive
 
 
-def runs_for(recall: float = RECALL, jaccard: float = THRESHOLD[0] / THRESHOLD[1]) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - run_recall(jaccard)))
+def miss(runs: int, jaccard: float = THRESHOLD[0] / THRESHOLD[1]) -> float:
+    """Chance that no run shows a pair, over the number of positions it agrees in; fewer than the filter asks for are a miss."""
+    need, total = math.ceil(SKETCH * POSITIONS), 0.0
+    for k in range(POSITIONS + 1):
+        share = math.comb(POSITIONS, k) * jaccard**k * (1 - jaccard) ** (POSITIONS - k)
+        total += share * (1.0 if k < need else (1 - run_recall(k / POSITIONS)) ** runs)
+    return total
+
+
+def runs_for(recall: float = RECALL) -> int:
+    """The least number of runs whose recall at the threshold is ``recall``."""
+    runs = next((n for n in range(1, 100) if miss(n) <= 1 - recall), None)
+    if runs is None:
+        raise ValueError(f"{POSITIONS} positions can't reach a recall of {recall}")
+    return runs
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -233,8 +247,21 @@ def linked(sets: list[np.ndarray]) -> np.ndarray:
     return THRESHOLD[1] * shared >= THRESHOLD[0] * (size[:, None] + size[None, :] - shared)
 
 
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """node, tokens (sorted 64-bit hashes, packed) of rows (node, text). A task gives a node once, so copies of a row that are read together are one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                new = [(n, t) for n, t in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True) if n not in done and not done.add(n)]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in new], type=pa.int64()), pa.array([shingle_set(t).tobytes() for _, t in new], type=pa.binary())], names=["node", "tokens"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, tokens binary")
+
+
 def verify(members: DataFrame) -> DataFrame:
-    """node, links, root, whole from rows (comp, i, j, blocks, own, node, weight, text): exact links of each pair of blocks.
+    """node, links, root, whole from rows (comp, i, j, blocks, own, node, weight, tokens): exact links of each pair of blocks.
 
     ``links`` is the weight of the linked nodes that this pair of blocks shows, ``root`` the least node among those it
     connects, and ``whole`` says that the component had one block, so that ``root`` is final.
@@ -247,8 +274,7 @@ def verify(members: DataFrame) -> DataFrame:
             rows = lo + np.unique(node[lo:hi], return_index=True)[1]  # a text that stands under one id twice counts once
             if len(rows) < 2:
                 continue
-            texts = table["text"].take(pa.array(rows)).to_pylist()
-            ok = linked([shingle_set(t) for t in texts])
+            ok = linked([np.frombuffer(x, dtype=np.uint64) for x in table["tokens"].take(pa.array(rows)).to_pylist()])
             label = _spread(ok)
             counted = ok & ~np.eye(len(rows), dtype=bool)
             if i[lo] != j[lo]:
@@ -277,22 +303,28 @@ def similarity_classes(documents: DataFrame, id_col: str = "doc_id", text_col: s
     base = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = cut(features(base, "doc_id", "text"))
     kept = F.min(F.struct("doc_id", "th"))
-    nodes = cut(rows.groupBy("node", "check").agg(F.min("doc_id").alias("least"), kept.alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    # sets are told apart by 128 bits; what follows knows them by numbers, which are written with them
+    digest = [F.col("node").alias("digest"), "check"]
+    sets = rows.select(*digest, "doc_id", "th", "n", "sig").groupBy("digest", "check").agg(F.min("doc_id").alias("least"), kept.alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    nodes = cut(sets.withColumn("node", F.monotonically_increasing_id()))
     edges = cut(candidate_edges(leaves(nodes, runs_for(recall)), nodes))
     comps = connected_components(edges)
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     members = nodes.select("node", "weight", "rep.doc_id", "rep.th").join(comps, "node").join(sizes, "comp")
     texts = base.withColumn("th", F.xxhash64("text"))
-    told = members.join(texts, members["doc_id"].eqNullSafe(texts["doc_id"]) & (members["th"] == texts["th"])).select("comp", "size", "node", "weight", "text")
-    found = cut(verify(in_blocks(told, "size", "node", BLOCK).select("comp", "i", "j", "blocks", "own", "node", "weight", "text")))
+    told = members.select("node", "doc_id", "th").join(texts, members["doc_id"].eqNullSafe(texts["doc_id"]) & (members["th"] == texts["th"])).select("node", "text")
+    # a member's set is made once and shipped to its blocks; its text goes no further than this
+    tokens = cut(shingle_sets(told))
+    dealt = in_blocks(members.select("comp", "size", "node", "weight"), "size", "node", BLOCK).join(tokens, "node")
+    found = cut(verify(dealt.select("comp", "i", "j", "blocks", "own", "node", "weight", "tokens")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"), F.min(F.when(F.col("whole"), F.col("root"))).alias("root"))
     wide = found.filter(~F.col("whole"))
     if not wide.isEmpty():
         far = connected_components(wide.select(F.col("node").alias("a"), F.col("root").alias("b")))
         links = links.join(far.select("node", F.col("comp").alias("far")), "node", "left").select("node", "links", F.coalesce("root", "far").alias("root"))
-    told = nodes.join(links, "node", "left").select("node", "check", "least", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
+    told = nodes.join(links, "node", "left").select("digest", "check", "least", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
     names = told.groupBy("root").agg(F.min("least").alias("class_id"))
-    told = told.join(names, "root").select("node", "check", "root", "class_id", (F.col("weight") - 1 + F.col("links")).alias("n_links"))
+    told = told.join(names, "root").select(F.col("digest").alias("node"), "check", "root", "class_id", (F.col("weight") - 1 + F.col("links")).alias("n_links"))
     return rows.select("doc_id", "th", "node", "check").join(told, ["node", "check"]).select("doc_id", "th", "root", "class_id", "n_links")
 
 

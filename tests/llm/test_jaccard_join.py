@@ -81,6 +81,14 @@ def test_documents(spark, data):
     assert got(spark, rows) == slow_classes(rows)
 
 
+def test_repeated_rows_are_one_member(spark):
+    """Many copies of one row beside its near copies: counted as rows, compared once."""
+    rng = random.Random(6)
+    texts = list(near_copies(rng, 4))
+    rows = [(1, texts[0])] * 50 + [(k + 2, t) for k, t in enumerate(texts[1:])] + [(9, texts[1])] * 20
+    assert got(spark, rows) == slow_classes(rows)
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 9), (None, "a b c d e f", 9), (None, "q r s t u v", 9), (None, None, 9), (2, "z", 9), (2, "y", 9)], "doc_id bigint, text string, node bigint")
     df = df.withColumn("th", F.lit(1)).withColumn("comp", F.lit(1))
@@ -93,7 +101,29 @@ def test_edges(spark):
 
 def test_runs_reach_the_recall():
     assert jaccard_join.run_recall(0.8, 1) == pytest.approx(0.75 * 0.8 + 0.25 * 0.96)
-    assert (1 - jaccard_join.run_recall(0.8)) ** jaccard_join.runs_for() <= 1 - jaccard_join.RECALL
+    assert jaccard_join.miss(jaccard_join.runs_for()) <= 1 - jaccard_join.RECALL < jaccard_join.miss(jaccard_join.runs_for() - 1)
+    with pytest.raises(ValueError, match="recall"):
+        jaccard_join.runs_for(1.0)
+
+
+def test_miss_rate_by_simulation():
+    """Paths of pairs whose 64 shared positions agree by chance, walked as the join walks them."""
+    rng, n, runs = np.random.default_rng(4), 4000, 2
+    missed = 0
+    for _ in range(n):
+        same = rng.random(shingles.POSITIONS) < 0.8
+        a = rng.integers(0, 1 << 32, shingles.POSITIONS, dtype=np.uint32)
+        sigs = np.stack([a, np.where(same, a, a + np.uint32(1))])
+        met = False
+        for root in rng.integers(1, 1 << 40, runs):
+            paths = {int(root)}
+            for _ in range(jaccard_join.DEPTH):
+                own = [{int(x) for x in jaccard_join.children(np.full(1, p), s[None])[1]} for p in paths for s in sigs]
+                paths = set().union(*(x & y for x, y in zip(own[::2], own[1::2], strict=True))) if own else set()
+            met |= bool(paths)
+        missed += not (met and same.sum() >= np.ceil(jaccard_join.SKETCH * shingles.POSITIONS))
+    want = jaccard_join.miss(runs)
+    assert abs(missed / n - want) < 5 * (want * (1 - want) / n) ** 0.5
 
 
 def test_common_counts():
