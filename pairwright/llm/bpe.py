@@ -13,9 +13,9 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map
@@ -118,17 +118,30 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-@lru_cache(maxsize=4)
-def load(path: str, pattern: str) -> ByteBPE:
-    """One codec for each worker and vocabulary."""
-    return ByteBPE(read_ranks(path), pattern)
+class Shared:
+    """A vocabulary that travels to the workers by broadcast, as they may not see the driver's files; each builds its codec once."""
+
+    def __init__(self, spark: SparkSession, path: str, pattern: str):
+        self.key, self.tokens, self.pattern = uuid4().hex, spark.sparkContext.broadcast(read_ranks(path)), pattern
+
+    def codec(self) -> ByteBPE:
+        if self.key not in _CODECS:
+            _CODECS.clear()
+            _CODECS[self.key] = ByteBPE(self.tokens.value, self.pattern)
+        return _CODECS[self.key]
+
+
+#: The codec that this worker has built last.
+_CODECS: dict[str, ByteBPE] = {}
 
 
 def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<bigint> of every whole text. A null text is the empty text: no ids. Row by row: repeated rows stay."""
 
+    shared = Shared(df.sparkSession, path, pattern)
+
     def run(ids: list, texts: list) -> dict:
-        codec = load(path, pattern)
+        codec = shared.codec()
         return {id_col: ids, "ids": [codec.encode(t or "") for t in texts]}
 
     return arrow_map(_pair(df, id_col, text_col), run, f"{id_col} bigint, ids array<bigint>", rows=256)
@@ -137,8 +150,10 @@ def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_
 def decode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id, decoded binary of every row of ids; null ids give no bytes."""
 
+    shared = Shared(df.sparkSession, path, pattern)
+
     def run(keys: list, rows: list) -> dict:
-        codec = load(path, pattern)
+        codec = shared.codec()
         return {id_col: keys, "decoded": [codec.decode_bytes(r or []) for r in rows]}
 
     return arrow_map(df.select(F.col(id_col).cast("bigint").alias(id_col), F.col(ids_col)), run, f"{id_col} bigint, decoded binary", rows=256)
@@ -151,8 +166,10 @@ def round_trip_digest(df: DataFrame, path: str, pattern: str, id_col: str = "doc
     texts and repeated rows are as in ``encode_documents``.
     """
 
+    shared = Shared(df.sparkSession, path, pattern)
+
     def run(keys: list, texts: list) -> Iterator[dict]:
-        codec = load(path, pattern)
+        codec = shared.codec()
         n, digests, decoded = [], [], []
         for t in texts:
             packed = codec.encode_packed(t or "")

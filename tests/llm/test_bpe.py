@@ -7,6 +7,7 @@ import struct
 
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 from pairwright.llm import bpe, registry
 
@@ -25,7 +26,7 @@ def odd_texts():
 def test_same_ids_as_the_library():
     for name in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"):
         path = public_tokenizers.path(name)
-        codec, want = bpe.load(path, public_tokenizers.PATTERN), reference(path)
+        codec, want = bpe.ByteBPE(bpe.read_ranks(path), public_tokenizers.PATTERN), reference(path)
         for t in odd_texts():
             ids = codec.encode(t)
             assert ids == want.encode_ordinary(t)
@@ -59,3 +60,15 @@ def test_edges(spark):
     dec = bpe.decode_documents(enc, registry.RANKS, public_tokenizers.PATTERN)
     assert sorted(bytes(r["decoded"]) for r in dec.collect()) == [b"", b"", b"a b", b"a b"]
     assert bpe.encode_documents(df.limit(0), registry.RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_edges_through_spark(spark):
+    """Null, empty, repeated and very long texts, an empty table, and columns with the result's names."""
+    want, texts = reference(registry.RANKS), [None, "", "a b", "a b", "long words and more " * 60_000, "x" * 200_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("ids", F.lit(1)).withColumn("n_tokens", F.lit("n"))
+    got = {r["doc_id"]: r for r in bpe.round_trip_digest(df, registry.RANKS, public_tokenizers.PATTERN).collect()}
+    for i, t in enumerate(texts):
+        ids = want.encode_ordinary(t or "")
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"]) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
+        assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+    assert bpe.round_trip_digest(df.limit(0), registry.RANKS, public_tokenizers.PATTERN).count() == 0
