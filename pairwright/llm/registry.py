@@ -15,7 +15,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,11 +63,12 @@ def assign_shards(df: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, siz
     """Every row of ``df`` with its slot and shard; no row moves (broadcast of ``size`` pairs, no shuffle).
 
     Nulls: a null key is placed as the empty text. Repeated rows and equal keys get the same shard. An empty table
-    gives an empty result. Columns of ``df`` named like the two new ones are replaced.
+    gives an empty result. Columns of ``df`` named like the two new ones are replaced; any other name may stand in it.
     """
-    lookup = slot_table(df.sparkSession, shards, size).select(F.col("slot").alias("__slot"), F.col("shard").alias("__shard"))
-    slotted = df.drop(slot_col, shard_col).withColumn("__slot", slot_of(F.col(key), size))
-    return slotted.join(F.broadcast(lookup), "__slot").withColumnsRenamed({"__slot": slot_col, "__shard": shard_col})
+    lookup = slot_table(df.sparkSession, shards, size).toDF("own_slot", "own_shard")
+    row = df.select(F.struct(*df.columns).alias("row"), slot_of(F.col(key), size).alias("at"))
+    joined = row.join(F.broadcast(lookup), F.col("at") == F.col("own_slot"))
+    return joined.select(*[F.col("row")[c].alias(c) for c in df.columns if c not in (slot_col, shard_col)], F.col("own_slot").alias(slot_col), F.col("own_shard").alias(shard_col))
 
 
 def shard_report(assigned: DataFrame, bytes_col: str | None = None, shard_col: str = "shard") -> DataFrame:
@@ -98,6 +99,6 @@ def oracle_sql(shards: tuple[str, ...] = SHARDS, size: int = TABLE_SIZE) -> str:
     names = ", ".join(f"'{x}'" for x in shards)
     places = ",".join(str(owner[i] + 1) for i in range(size))
     return f"""
-SELECT doc_id, slot, ([{names}])[([{places}])[slot + 1]] AS shard
-FROM (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % {size} AS slot FROM documents)
+SELECT doc_id, text, lang, source, n_chars, slot, ([{names}])[([{places}])[slot + 1]] AS shard
+FROM (SELECT *, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % {size} AS slot FROM documents)
 """

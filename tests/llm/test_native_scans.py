@@ -65,6 +65,9 @@ def test_sharding_edges(spark):
         want = int(hashlib.md5(("" if r["k"] is None else str(r["k"])).encode()).hexdigest()[:8], 16) % sharding.TABLE_SIZE
         assert r["slot"] == want and r["shard"] == sharding.SHARDS[table[want]]
     assert sharding.assign_shards(df.limit(0), "k").count() == 0
+    odd = df.withColumns({c: F.lit(1) for c in ("row", "at", "own_slot", "own_shard", "__slot", "__shard")})
+    placed = sharding.assign_shards(odd, "k")
+    assert set(placed.columns) == {*odd.columns, "shard"} and placed.count() == 3 and placed.filter("row = 1 AND __slot = 1").count() == 3
 
 
 # chat
