@@ -22,8 +22,10 @@ def text_of(name: str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir. Only where that is unset (tests, one machine) a temporary folder takes its place."""
+    """The session's spark.checkpoint.dir. Only on a local master may that be unset; a temporary folder takes its place there."""
     if (folder := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()) is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="checkpoint-", dir=os.environ.get("TMPDIR"))
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)

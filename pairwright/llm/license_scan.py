@@ -117,6 +117,8 @@ OTHER = (
 UNKNOWN, NONE = "unknown", "none"
 #: Least share of a paragraph's word pairs in a template, and least probability of a family, for a confirmed prediction.
 LEAST_SIMILARITY, LEAST_PROBABILITY = 0.5, 0.5
+#: Families, at most, that share a word which tells each of them.
+TELLING = 3
 VARIATIONS, BLANKS, SEED = 12, 150, 5
 #: Words of the pieces, each half over the one before, into which templates are cut for training as wrapped lines cut them.
 PIECES = (6, 12)
@@ -272,6 +274,16 @@ def template_pairs() -> list[list[set[str]]]:
     return [[{" ".join(p) for p in zip(w, w[1:], strict=False)} for w in map(tokens, texts)] for texts in TEMPLATES.values()]
 
 
+def telling_words() -> list[list[str]]:
+    """For each family the words that tell it: of two letters or more, no function words, in templates of ``TELLING`` families at most.
+
+    A license of a family that is not known shares its phrases with known ones but hardly such a word, so a
+    prediction without one is not confirmed.
+    """
+    own = [{w for t in texts for w in tokens(t)} for texts in TEMPLATES.values()]
+    return [sorted(w for w in words if len(w) > 1 and w not in LOOSE and not w.isdigit() and sum(w in x for x in own) <= TELLING) for words in own]
+
+
 def _words(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), _SPLIT), lambda w: w != "")
 
@@ -294,8 +306,8 @@ def _grams(words: Column, n: int) -> Column:
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """doc_id, paragraph, family, probability, similarity, confirmed, line: one row for each paragraph that reads as a license.
 
-    ``family`` is 'unknown' where the paragraph is license text but no family is likely enough and like enough to a
-    template. Paragraphs of ordinary prose have no row, so null and empty texts have none. Repeated rows each have
+    ``family`` is 'unknown' where the paragraph is license text but no family is likely enough, like enough to a
+    template and named by a word that tells it. Paragraphs of ordinary prose have no row, so null and empty texts have none. Repeated rows each have
     theirs. An empty table gives no rows.
     """
     spark, model = documents.sparkSession, model or train()
@@ -320,6 +332,7 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     like = lambda pairs: F.size(F.array_intersect("two", F.array(*[F.xxhash64(F.lit(p)) for p in sorted(pairs)]))) / F.greatest(F.size("two"), F.lit(1))
     own = reduce(lambda rest, k: F.when(F.col("k") == k, F.array_max(F.array(*map(like, template_pairs()[k])))).otherwise(rest), range(len(TEMPLATES)), F.lit(0.0))
     z = z.withColumn("similarity", own)
-    z = z.withColumn("confirmed", (F.col("probability") >= LEAST_PROBABILITY) & (F.col("similarity") >= LEAST_SIMILARITY))
+    told = reduce(lambda rest, k: F.when(F.col("k") == k, F.arrays_overlap("words", F.array(*map(F.lit, telling_words()[k])))).otherwise(rest), range(len(TEMPLATES)), F.lit(False))
+    z = z.withColumn("confirmed", (F.col("probability") >= LEAST_PROBABILITY) & (F.col("similarity") >= LEAST_SIMILARITY) & told)
     name = F.get(F.array(*[F.lit(c) for c in model.classes]), F.col("k"))
     return z.select("doc_id", F.col("paragraph").cast("bigint").alias("paragraph"), F.when(F.col("confirmed"), name).otherwise(F.lit(UNKNOWN)).alias("family"), "probability", "similarity", "confirmed", "line")

@@ -1,6 +1,7 @@
 """License, quality and toxicity: held-out accuracy, matching against brute force, edge rows."""
 
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -59,6 +60,42 @@ def test_license_score_is_the_models(spark):
     assert row["probability"] == pytest.approx(1 / (1 + np.exp(-(model.slope * logit + model.offset))), abs=1e-6)
 
 
+def test_unknown_licenses_are_not_named(spark):
+    """Notices of families that the model has never seen are named after none."""
+    strange = ["Eclipse Public License - v 2.0", "Licensed under the Eclipse Public License, version 2.0.", "Licensed under the European Union Public Licence, version 1.2.", "Released under the Artistic License 2.0.", "Licensed under the Common Development and Distribution License, version 1.0.", "Released under the zlib License.", "Released under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: EPL-2.0"]
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(strange)), SCHEMA)).collect()
+    assert got and all(r["family"] == license_scan.UNKNOWN and not r["confirmed"] for r in got), [(r["line"], r["family"]) for r in got if r["confirmed"]]
+
+
+def test_license_rows_against_plain_scores(spark, data):
+    """The whole result on a whole table and on wrapped templates, from a dot product for every line: no line is left out before it is scored."""
+    model = license_scan.train()
+    place = {g: i for i, g in enumerate(model.grams)}
+    wrapped = [x for texts in license_scan.TEMPLATES.values() for t in texts for x in textwrap.wrap(t, 72)]
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()] + [(10**6, "\n".join(wrapped)), (10**6 + 1, None)]
+    pairs, telling, want = license_scan.template_pairs(), license_scan.telling_words(), {}
+    for d, text in docs:
+        for n, line in enumerate((text or "").split("\n")):
+            words = license_scan.tokens(line)
+            bag = license_scan.ngrams(words)
+            z = model.bias + sum((model.weights[place[g]] for g in bag if g in place), np.zeros(len(model.bias))) / np.sqrt(max(1, len(bag)))
+            p = license_scan._softmax(z[None])[0]
+            if p[-1] >= 0.5:
+                continue
+            k = int(p[:-1].argmax())
+            top = np.clip(p[k], 1e-9, 1 - 1e-9)
+            sure = 1 / (1 + np.exp(-(model.slope * np.log(top / (1 - top)) + model.offset)))
+            two = {" ".join(x) for x in zip(words, words[1:])}
+            like = max(len(two & t) for t in pairs[k]) / max(1, len(two))
+            named = sure >= license_scan.LEAST_PROBABILITY and like >= license_scan.LEAST_SIMILARITY and set(words) & set(telling[k])
+            want[d, n] = (model.classes[k] if named else license_scan.UNKNOWN, sure, like)
+    got = {(r["doc_id"], r["paragraph"]): r for r in license_scan.scan(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert set(got) == set(want) and sum(d == 10**6 for d, _ in got) > 0.6 * len(wrapped)
+    for key, (family, sure, like) in want.items():
+        assert got[key]["family"] == family, (key, got[key])
+        assert got[key]["probability"] == pytest.approx(sure, abs=1e-6) and got[key]["similarity"] == pytest.approx(like)
+
+
 def test_license_table_and_edges(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     want = docs.filter(F.col("text").rlike(r"(?m)^(Released under the MIT License\.|Licensed under the Apache License, Version 2\.0\.|Licensed under CC BY-NC 4\.0\.|This work is licensed under the GNU General Public License, version 3\.)$"))
@@ -162,6 +199,44 @@ def test_misspelled_and_quoted(spark):
     assert kept.columns == ["doc_id", "text", "score"] and kept.count() == sum(r["predicted"] == 0 for r in toxicity.score_documents(docs, model).collect())
 
 
+def test_toxicity_of_the_tables(spark):
+    """Held-out accuracy on labelled documents; twice the same model, however the rows come."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    rows = toxicity.score_documents(docs, model).join(labels, "doc_id").filter(held_out(F.col("doc_id"))).collect()
+    toxic = [r["predicted"] for r in rows if r["toxic"]]
+    clean = [r["predicted"] for r in rows if not r["toxic"]]
+    assert len(toxic) > 50 and sum(toxic) / len(toxic) > 0.8 and sum(clean) / len(clean) < 0.04
+    again = toxicity.fit(docs.repartition(7), labels.repartition(3))
+    assert (again.terms, again.strict, again.cues, again.quoted) == (model.terms, model.strict, model.cues, model.quoted)
+    assert np.allclose(again.weights, model.weights)
+
+
+def test_toxicity_edges(spark):
+    """Repeated rows teach once and are scored each; an empty table, long texts, nulls and clashing names have defined results."""
+    rows = list(corpus(random.Random(4), 200))
+    docs = spark.createDataFrame([r[:2] for r in rows] + [rows[0][:2]] * 30 + [(None, None), (500, ""), (501, "word " * 50_000 + "nincompoop nincompoop scallywag blatherskite"), (502, 'x "' * 5000)], SCHEMA)
+    docs = docs.withColumns({c: F.lit(3) for c in ("toxic", "score", "predicted", "key", "id", "term")})
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(r[0], r[2]) for r in rows[:9]] + [(None, 1), (7, None)], "doc_id bigint, toxic int").withColumn("text", F.lit("z"))
+    model = toxicity.fit(docs, labels)
+    out = toxicity.score_documents(docs, model).collect()
+    assert len(out) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in out)
+    got = {r["doc_id"]: r["predicted"] for r in out}
+    assert (got[None], got[500], got[501], got[502]) == (0, 0, 1, 0)
+    assert toxicity.score_documents(docs.limit(0), model).count() == 0
+    assert toxicity.fit(docs.limit(0), labels).terms == []
+    kept = toxicity.keep_clean(docs, model)
+    assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] == 0 for r in out)
+
+
+def test_windows_by_hand():
+    text = 'one two "three four" five\nsix "seven eight nine ten eleven twelve thirteen fourteen'
+    w = toxicity.Windows(text)
+    at = lambda x: w.around(text.index(x), text.index(x) + len(x))
+    assert at("three") == (True, ["one", "two", "four", "five"]) and at("five") == (False, ["one", "two", "three", "four"])
+    assert at("seven") == (False, ["six", "eight", "nine", "ten", "eleven", "twelve", "thirteen"])
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, None)], SCHEMA)
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id bigint, toxic int"))

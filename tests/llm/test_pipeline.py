@@ -80,3 +80,5 @@ def test_edges_pass_through(spark, data, tmp_path):
             docs = spark.read.parquet(f"{tmp_path}/{n}-{k}")
             assert docs.columns == df.columns
         assert docs.count() == (4 if n else 0)
+        coded = pipeline.STAGES[-1][1](spark, docs, data).collect()
+        assert sorted(r["decoded_sha256"] for r in coded) == sorted(hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in docs.collect())
