@@ -6,7 +6,7 @@ import hashlib
 import math
 from itertools import pairwise
 
-from .smiles import Mol, SmilesError, parse, ranks, write
+from .smiles import Mol, SmilesError, atom_text, parse, ranks, write
 
 #: Monoisotopic masses.
 MASS = {
@@ -149,6 +149,6 @@ def scaffold_text(text: str) -> str | None:
     """Scaffold of a SMILES text: '' for an acyclic one, None for one that is blank or doesn't parse."""
     try:
         part = scaffold(parse(text))
-        return write(part, ranks(part)) if part.atoms else ""
+        return write(part, ranks(part), texts={i: atom_text(part, i) for i in range(len(part.atoms))}) if part.atoms else ""  # without hands
     except SmilesError:
         return None

@@ -1,4 +1,8 @@
-"""Molecular graphs from SMILES text, and text from graphs. Follows the public SMILES grammar; stereo marks are read and dropped."""
+"""Molecular graphs from SMILES text, and text from graphs. Follows the public SMILES grammar.
+
+The hand of a tetrahedral centre is kept where its four neighbours are of different classes of the graph, so mirror
+images have texts of their own; marks of double bonds, and of centres that only other centres tell apart, are dropped.
+"""
 
 from __future__ import annotations
 
@@ -26,6 +30,9 @@ class Atom:
     isotope: int | None = None
     number: int | None = None
     bonds: dict[int, float] = field(default_factory=dict)
+    #: '@' or '@@' of a centre, as seen along the neighbours in ``around``; -1 is its hydrogen.
+    hand: str | None = None
+    around: list = field(default_factory=list)
 
 
 @dataclass
@@ -83,7 +90,8 @@ class Mol:
     def keep(self, ids: list[int]) -> Mol:
         """The part of these atoms."""
         place = {old: new for new, old in enumerate(ids)}
-        return Mol([Atom(a.symbol, a.aromatic, a.charge, a.hydrogens, a.isotope, a.number, {place[j]: o for j, o in a.bonds.items() if j in place}) for a in (self.atoms[i] for i in ids)])
+        whole = lambda a: a.hand and all(j in place for j in a.bonds)
+        return Mol([Atom(a.symbol, a.aromatic, a.charge, a.hydrogens, a.isotope, a.number, {place[j]: o for j, o in a.bonds.items() if j in place}, a.hand if whole(a) else None, [place.get(j, -1) for j in a.around] if whole(a) else []) for a in (self.atoms[i] for i in ids)])
 
 
 def parse(text: str) -> Mol:
@@ -101,18 +109,23 @@ def parse(text: str) -> Mol:
             atoms.append(_atom(bracket) if bracket else Atom(organic.capitalize() if organic in AROMATIC else organic, organic in AROMATIC))
             if last is not None:
                 _join(atoms, last, len(atoms) - 1, bond)
+                atoms[last].around.append(len(atoms) - 1)
+                atoms[-1].around.insert(0, last)
             last, bond = len(atoms) - 1, None
         elif ring:
             if last is None:
                 raise SmilesError("ring label before an atom")
             n = int(ring.strip("%"))
             if n in open_rings:
-                other_end, earlier = open_rings.pop(n)
+                other_end, earlier, spot = open_rings.pop(n)
                 if other_end == last or other_end in atoms[last].bonds or (bond and earlier and ORDER[bond] != ORDER[earlier]):
                     raise SmilesError(f"bad ring {n}")
                 _join(atoms, other_end, last, bond or earlier)
+                atoms[other_end].around[spot] = last
+                atoms[last].around.append(other_end)
             else:
-                open_rings[n] = (last, bond)
+                open_rings[n] = (last, bond, len(atoms[last].around))
+                atoms[last].around.append(None)  # a ring's neighbour stands where its label does
             bond = None
         elif mark:
             bond = mark
@@ -136,19 +149,30 @@ def parse(text: str) -> Mol:
         if a.aromatic and i not in ring_atoms:
             raise SmilesError("aromatic atom outside a ring")
         mol.hydrogens(i)
+    if any(a.hand for a in atoms):
+        group = _refined(mol, _invariants(mol))
+        for a in atoms:
+            if a.hand and (len(a.around) != 4 or len({-1 if j < 0 else group[j] for j in a.around}) != 4):
+                a.hand = None
     return mol
 
 
+def _odd(a: list[int], b: list[int]) -> bool:
+    """Whether an odd number of swaps turns one order into the other."""
+    at = [a.index(x) for x in b]
+    return sum(at[i] > at[j] for i in range(len(at)) for j in range(i + 1, len(at))) % 2 == 1
+
+
 def _atom(bracket: str) -> Atom:
     m = _BRACKET.fullmatch(bracket)
     if not m:
         raise SmilesError(f"bad atom {bracket}")
-    isotope, symbol, _, h, charge, number = m.groups()
+    isotope, symbol, hand, h, charge, number = m.groups()
     q = 0
     if charge:
         q = int(charge) if len(charge) > 1 and charge[1].isdigit() else (1 if charge[0] == "+" else -1) * len(charge)
     aromatic = symbol[0].islower()
-    return Atom(symbol.capitalize() if aromatic else symbol, aromatic, q, 0 if not h else int(h[1:] or 1), int(isotope) if isotope else None, int(number) if number else None)
+    return Atom(symbol.capitalize() if aromatic else symbol, aromatic, q, 0 if not h else int(h[1:] or 1), int(isotope) if isotope else None, int(number) if number else None, hand=hand or None, around=[-1] if h else [])
 
 
 def _join(atoms: list[Atom], i: int, j: int, mark: str | None) -> None:
@@ -156,37 +180,42 @@ def _join(atoms: list[Atom], i: int, j: int, mark: str | None) -> None:
     atoms[i].bonds[j] = atoms[j].bonds[i] = order
 
 
-def ranks(mol: Mol) -> list[int]:
-    """Canonical ranks: invariants are refined by neighbours until stable; ties are broken one at a time."""
-    n = len(mol.atoms)
+def _dense(k: list) -> list[int]:
+    place = {x: r for r, x in enumerate(sorted(set(k)))}
+    return [place[x] for x in k]
+
+
+def _invariants(mol: Mol) -> list[int]:
     ring = {i for b in mol.rings() for i in b}
-    keys: list = [(a.symbol, a.aromatic, a.charge, len(a.bonds), mol.hydrogens(i), i in ring, a.isotope or 0) for i, a in enumerate(mol.atoms)]
+    return _dense([(a.symbol, a.aromatic, a.charge, len(a.bonds), mol.hydrogens(i), i in ring, a.isotope or 0) for i, a in enumerate(mol.atoms)])
 
-    def dense(k: list) -> list[int]:
-        place = {x: r for r, x in enumerate(sorted(set(k)))}
-        return [place[x] for x in k]
 
-    rank = dense(keys)
+def _refined(mol: Mol, rank: list[int]) -> list[int]:
+    """Ranks told apart by the neighbours' ranks until that changes nothing."""
     while True:
-        while True:
-            new = dense([(rank[i], tuple(sorted((rank[j], o) for j, o in a.bonds.items()))) for i, a in enumerate(mol.atoms)])
-            if len(set(new)) == len(set(rank)):
-                break
-            rank = new
-        if len(set(rank)) == n:
+        new = _dense([(rank[i], tuple(sorted((rank[j], o) for j, o in a.bonds.items()))) for i, a in enumerate(mol.atoms)])
+        if len(set(new)) == len(set(rank)):
             return rank
+        rank = new
+
+
+def ranks(mol: Mol) -> list[int]:
+    """Canonical ranks: invariants are refined by neighbours until stable; ties are broken one at a time."""
+    rank = _refined(mol, _invariants(mol))
+    while len(set(rank)) < len(mol.atoms):
         tied = min(r for r in rank if rank.count(r) > 1)
         first = rank.index(tied)
-        rank = dense([(r, i != first) if r == tied else (r, False) for i, r in enumerate(rank)])
+        rank = _refined(mol, _dense([(r, i != first) if r == tied else (r, False) for i, r in enumerate(rank)]))
+    return rank
 
 
-def atom_text(mol: Mol, i: int) -> str:
+def atom_text(mol: Mol, i: int, hand: str = "") -> str:
     a = mol.atoms[i]
     symbol = a.symbol.lower() if a.aromatic else a.symbol
     if a.symbol == "*" and not (a.charge or a.isotope or a.number):
         return "*"
     h = mol.hydrogens(i)
-    if a.symbol in VALENCES and not a.charge and a.isotope is None and a.number is None:
+    if a.symbol in VALENCES and not hand and not a.charge and a.isotope is None and a.number is None:
         bare = Atom(a.symbol, a.aromatic, bonds=a.bonds)
         try:
             if Mol([*mol.atoms[:i], bare, *mol.atoms[i + 1 :]]).hydrogens(i) == h:
@@ -194,7 +223,7 @@ def atom_text(mol: Mol, i: int) -> str:
         except SmilesError:
             pass
     charge = "" if not a.charge else ("+" if a.charge > 0 else "-") + (str(abs(a.charge)) if abs(a.charge) > 1 else "")
-    return f"[{a.isotope or ''}{symbol}{'H' + (str(h) if h > 1 else '') if h else ''}{charge}{':' + str(a.number) if a.number else ''}]"
+    return f"[{a.isotope or ''}{symbol}{hand}{'H' + (str(h) if h > 1 else '') if h else ''}{charge}{':' + str(a.number) if a.number else ''}]"
 
 
 def bond_text(mol: Mol, i: int, j: int) -> str:
@@ -207,15 +236,14 @@ def label(n: int) -> str:
 
 
 def write(mol: Mol, rank: list[int] | None = None, extra: dict[int, list[str]] | None = None, texts: dict[int, str] | None = None) -> str:
-    """Text of the graph, longer components first; ``extra`` labels follow their atom, and ``texts`` stand for atoms. Deep graphs need no recursion."""
+    """Text of the graph, longer components first; ``extra`` labels follow their atom, and ``texts`` stand for atoms, without their hands. Deep graphs need no recursion."""
     rank = rank or ranks(mol)
-    texts = texts or {i: atom_text(mol, i) for i in range(len(mol.atoms))}
     seen: set[int] = set()
     parts = [_component(mol, rank, start, seen, extra or {}, texts) for start in sorted(range(len(mol.atoms)), key=rank.__getitem__) if start not in seen]
     return ".".join(sorted(parts, key=lambda p: (-len(p), p)))
 
 
-def _component(mol: Mol, rank: list[int], start: int, seen: set[int], extra: dict[int, list[str]], texts: dict[int, str]) -> str:
+def _component(mol: Mol, rank: list[int], start: int, seen: set[int], extra: dict[int, list[str]], texts: dict[int, str] | None) -> str:
     children: dict[int, list[int]] = {}
     back: dict[int, list[int]] = {}
     parent = {start: -1}
@@ -253,7 +281,11 @@ def _component(mol: Mol, rank: list[int], start: int, seen: set[int], extra: dic
             out.append(x)
             continue
         p = parent[x]
-        out.append((bond_text(mol, p, x) if p >= 0 else "") + texts[x])
+        if texts is None:
+            a = mol.atoms[x]
+            written = [*([p] if p >= 0 else []), *([-1] if -1 in a.around else []), *(b[0] if b[1] == x else b[1] for b in back.get(x, [])), *children.get(x, [])]
+            hand = "" if not a.hand else a.hand if not _odd(a.around, written) else {"@": "@@", "@@": "@"}[a.hand]
+        out.append((bond_text(mol, p, x) if p >= 0 else "") + (atom_text(mol, x, hand) if texts is None else texts[x]))
         for b in back.get(x, []):
             other = b[0] if b[1] == x else b[1]
             out.append((bond_text(mol, x, other) if place[other] > place[x] else "") + label(names[b]))

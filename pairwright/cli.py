@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chem.base import describe, load_backend
 from .operators import fragments, outliers, split
-from .plans import cliffs, qa, scoring
-from .schemas import DESCRIPTORS
+from .plans import cliffs, inference, qa, scoring
+from .schemas import DESCRIPTORS, cut
 from .sources import files
 
 
@@ -27,7 +28,10 @@ def parser() -> argparse.ArgumentParser:
     add("drop-outliers", *io, ("--descriptors", {"default": ",".join(DESCRIPTORS)}))
     add("safe-pipeline", *io, ("--mapping", {}), ("--skip-outliers", {"action": "store_true"}))
     add("split", *io, ("--smiles-col", {}))
-    add("qa", *io, ("--tasks", {"default": "task1,task2,task3"}), ("--no-desc", {"action": "store_true"}), ("--seed", {"type": int}))
+    routes = [(f"--{x}-input", {}) for x in ("train", "test", "unseen")]
+    add("qa", *io, ("--tasks", {"default": "task1,task2,task3"}), ("--no-desc", {"action": "store_true"}), ("--seed", {"type": int}), ("--split", {"choices": ("train", "test", "all")}), ("--unseen", {"action": "store_true"}), ("--qa-set", {}), *routes)
+    numbers = [("--num-samples", {"type": int, "default": 0}), ("--batch-size", {"type": int, "default": 8}), ("--retries", {"type": int, "default": 3}), ("--sleep", {"type": float, "default": 0.25}), ("--temperature", {"type": float, "default": 0.7})]
+    add("infer", *io, ("--model", {"required": True}), ("--client", {"required": True, "help": "module:function that makes a client"}), ("--task", {"required": True}), ("--step", {"default": "single"}), ("--rows", {}), ("--reset", {"action": "store_true"}), *numbers)
     add("evaluate", *io, ("--task", {"required": True}), ("--step", {"default": "single"}), ("--rows", {}))
     return p
 
@@ -67,9 +71,9 @@ def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
             files.write_csv(both.filter(F.col("split") == side).orderBy("row_idx").drop("split", "row_idx"), f"{a.output}/{side}")
         return both
     elif a.command == "qa":
-        out = qa.build_all(read(a.input, index=True), a.tasks, not a.no_desc, a.seed)
-        files.write_jsonl(out, a.output, ("task", "step"))
-        return out
+        return _build_questions(read, a)
+    elif a.command == "infer":
+        return _infer(spark, a, backend, read(a.rows, index=True) if a.rows else None)
     else:
         step = files.normal_step(a.step)
         rows = read(a.rows, index=True) if a.rows else None
@@ -81,6 +85,35 @@ def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
     return out
 
 
+def _build_questions(read, a: argparse.Namespace) -> DataFrame:
+    """Question files in a folder for each split, or in one if no split is named; the input of a split wins over the common one."""
+    root = f"{a.output}/{files.bundle_name(a.qa_set, not a.no_desc)}" if a.qa_set else a.output
+    paths = {"common": a.input} | {x: p for x in ("train", "test", "unseen") if (p := getattr(a, f"{x}_input"))}
+    out = None
+    for folder, path in qa.route(a.split, a.unseen, paths) if a.split or a.unseen else [("", a.input)]:
+        made = qa.build_all(read(path, index=True), a.tasks, not a.no_desc, a.seed)
+        files.write_jsonl(made, f"{root}/{folder}".rstrip("/"), ("task", "step"))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+RECORDS = "model string, task string, step string, id bigint, dataset_name string, endpoint string, source_index bigint, gold string, pred string, correct int, raw string"
+
+
+def _infer(spark: SparkSession, a: argparse.Namespace, backend, rows: DataFrame | None) -> DataFrame:
+    """Answers of the questions that the output has no answer to yet, added to it; ``--reset`` starts anew."""
+    module, _, name = a.client.partition(":")
+    factory = getattr(importlib.import_module(module), name)
+    questions = files.read_jsonl(spark, a.input, "id bigint, question string, answer string, dataset_name string, endpoint string, source_index bigint")
+    before = files.read_jsonl(spark, a.output, RECORDS, allow_missing=True)
+    have = 0 if a.reset else before.count()
+    options = inference.Options(a.retries, a.sleep, a.batch_size, a.temperature)
+    out = inference.run_inference(questions, factory, a.model, a.task, files.normal_step(a.step), before if have else None, a.num_samples, options, backend, rows)
+    out = cut(out)  # answers are asked for once, before the output that they are added to changes
+    files.write_jsonl(out, a.output, mode=files.append_or_reset(have, a.reset, have > 0))
+    return out
+
+
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     run(SparkSession.builder.appName("pairwright").getOrCreate(), a)

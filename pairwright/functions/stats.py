@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import finite
+from .text import finite, str_or_empty
 
 
 def quartiles(x: Column) -> Column:
@@ -18,11 +18,21 @@ def number(c: Column) -> Column:
     return finite(c.try_cast("double"))
 
 
+def upper_fences(df: DataFrame, wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+    """One row with a column for each (values, fallback): q3 + 1.5 iqr, or the fallback with fewer than 4 values or no spread. One pass for all."""
+    a = df.select(*[number(x).alias(c) for c, (x, _) in wanted.items()])
+    a = a.agg(*[f for c in wanted for f in (quartiles(F.col(c)).alias(f"{c}__q"), F.count(c).alias(f"{c}__n"))])
+
+    def fence(c: str, fallback: float) -> Column:
+        q1, q3 = F.get(f"{c}__q", F.lit(0)), F.get(f"{c}__q", F.lit(1))
+        return F.when((F.col(f"{c}__n") < 4) | (q3 - q1 <= 0) | (q3 - q1).isNull(), F.lit(float(fallback))).otherwise(q3 + 1.5 * (q3 - q1)).alias(c)
+
+    return a.select(*[fence(c, fallback) for c, (_, fallback) in wanted.items()])
+
+
 def upper_fence(df: DataFrame, x: Column, fallback: float) -> DataFrame:
-    """One row (fence): q3 + 1.5 iqr, or the fallback with fewer than 4 values or no spread."""
-    a = df.select(number(x).alias("x")).agg(quartiles(F.col("x")).alias("q"), F.count("x").alias("n"))
-    iqr = F.get("q", F.lit(1)) - F.get("q", F.lit(0))
-    return a.select(F.when((F.col("n") < 4) | (iqr <= 0) | iqr.isNull(), F.lit(float(fallback))).otherwise(F.get("q", F.lit(1)) + 1.5 * iqr).alias("fence"))
+    """One row (fence) of ``upper_fences``."""
+    return upper_fences(df, {"fence": (x, fallback)})
 
 
 def two_sided_fences(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -46,3 +56,10 @@ def with_accuracy_twins(df: DataFrame, means: list[str]) -> DataFrame:
     """For each mean of an exact-match kind (EM, *_EM, exact_match) a column <name>_Acc in per cent."""
     twins = [m for m in means if m in ("EM", "exact_match") or m.endswith("_EM")]
     return df.withColumns({f"{m}_Acc": F.col(m) * 100.0 for m in twins})
+
+
+def missing_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, n_missing, n_rows: rows whose value is null, blank or the text nan; one pass for all columns."""
+    a = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(str_or_empty(F.col(c), nan_words=True) == "").alias(f"__{c}") for c in columns])
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"__{c}").alias("n_missing"), F.col("n").alias("n_rows")) for c in columns]))
+    return a.select(rows.alias("r")).select("r.*")

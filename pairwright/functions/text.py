@@ -122,9 +122,25 @@ def extract_answer(c: Column) -> Column:
     return strip(F.coalesce(lenient_json(s, "answer string")["answer"], s))
 
 
+#: Characters that a quoted text shows by their number: controls, unassigned ones and all separators but the space.
+_HIDDEN = r"[\p{C}\p{Z}&&[^ ]]"
+
+
+def _escaped(c: Column) -> Column:
+    """One hidden character as Python escapes it."""
+    code = F.ascii(c)
+    digits = lambda n: F.lpad(F.lower(F.hex(code)), n, "0")
+    short = F.when(c == "\n", "\\n").when(c == "\r", "\\r").when(c == "\t", "\\t")
+    return short.when(code < 0x100, F.concat(F.lit("\\x"), digits(2))).when(code < 0x10000, F.concat(F.lit("\\u"), digits(4))).otherwise(F.concat(F.lit("\\U"), digits(8)))
+
+
 def python_repr(c: Column) -> Column:
-    """Quoted as Python quotes a text without control characters: single quotes, double ones if it holds only single ones."""
-    s = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    """Quoted as Python quotes a text: single quotes, double ones if it holds only single ones; hidden characters by their number.
+
+    Line ends, by far the commonest, are replaced at once; only texts with other hidden characters are taken apart.
+    """
+    s = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    s = F.when(s.rlike(_HIDDEN), F.array_join(F.transform(F.split(s, ""), lambda x: F.when(x.rlike(_HIDDEN), _escaped(x)).otherwise(x)), "")).otherwise(s)
     double = c.contains("'") & ~c.contains('"')
     return F.when(double, F.concat(F.lit('"'), s, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(s, F.lit("'"), F.lit("\\'")), F.lit("'")))
 

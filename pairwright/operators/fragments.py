@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.text import diff_json, fragment_diff, fragment_set
-from ..schemas import COMPARED_COLUMNS, project, require_columns
+from ..schemas import COMPARED_COLUMNS, cut, project, require_columns
 
 MAX_LENGTH, MAX_COUNT = 28, 4
 
@@ -54,32 +54,60 @@ def exclusive_fragments() -> Column:
     return F.concat(fragment_set(F.col("only_toxic_safe_fragments")), fragment_set(F.col("only_nontoxic_safe_fragments")))
 
 
+def exclusive_lengths(df: DataFrame) -> Column:
+    """Lengths of the exclusive fragments of both sides: the column ``only_lengths`` of pairs made by ``common_pairs``, or from the texts."""
+    return F.col("only_lengths") if "only_lengths" in df.columns else F.transform(exclusive_fragments(), F.length)
+
+
+def fragment_facts(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` without its text, with ``items``: (hash, length) of each distinct fragment. Written once; what follows reads no text."""
+    items = F.transform(fragment_set(F.col(text)), lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n")))
+    return cut(docs.select(*[c for c in docs.columns if c != text], items.alias("items")))
+
+
+def common_pairs(toxic: DataFrame, nontoxic: DataFrame, group: list[str], key: str) -> DataFrame:
+    """toxic_id, nontoxic_id, the group, n_common_safe, n_only_toxic_safe, n_only_nontoxic_safe, only_lengths of all pairs of one group with a fragment in common.
+
+    Both sides are ``fragment_facts``. They meet by (group, fragment hash), which collects what a pair has in common,
+    so the comparison costs the join alone: hashes and lengths travel, never texts.
+    """
+    sides = [side.select(*group, F.col(key).alias(name), F.explode("items").alias("item")) for side, name in ((toxic, "toxic_id"), (nontoxic, "nontoxic_id"))]
+    met = sides[0].join(sides[1], [*group, "item"]).groupBy("toxic_id", "nontoxic_id").agg(F.collect_list("item").alias("common"))
+    a, b = toxic.select(F.col(key).alias("toxic_id"), *group, F.col("items").alias("a")), nontoxic.select(F.col(key).alias("nontoxic_id"), F.col("items").alias("b"))
+    pairs = met.join(a, "toxic_id").join(b, "nontoxic_id")
+    only = F.concat(F.array_except("a", "common"), F.array_except("b", "common"))
+    n = F.size("common")
+    return pairs.select("toxic_id", "nontoxic_id", *group, n.alias("n_common_safe"), (F.size("a") - n).alias("n_only_toxic_safe"), (F.size("b") - n).alias("n_only_nontoxic_safe"), F.transform(only, lambda x: x["n"]).alias("only_lengths"))
+
+
 def fixed_thresholds(df: DataFrame, length: int = MAX_LENGTH, count: int = MAX_COUNT) -> DataFrame:
     """Without pairs that have an exclusive fragment of ``length`` characters or more, or more than ``count`` on a side."""
-    long = F.exists(exclusive_fragments(), lambda x: F.length(x) >= length)
+    long = F.exists(exclusive_lengths(df), lambda n: n >= length)
     return df.filter(~long & (F.col("n_only_toxic_safe") <= count) & (F.col("n_only_nontoxic_safe") <= count))
 
 
 def token_lengths(df: DataFrame) -> DataFrame:
     """x: lengths of all exclusive fragments of all rows and both sides."""
-    return df.select(F.explode(exclusive_fragments()).alias("f")).select(F.length("f").alias("x"))
+    return df.select(F.explode(exclusive_lengths(df)).alias("x"))
 
 
-def tukey_length(df: DataFrame, fallback: int = MAX_LENGTH) -> DataFrame:
-    """Without pairs that have an exclusive fragment longer than the upper fence of all lengths."""
+def tukey_length(df: DataFrame, fallback: int = MAX_LENGTH, keep_fence: bool = False) -> DataFrame:
+    """Without pairs that have an exclusive fragment longer than the upper fence of all lengths. The rows are read twice: ``cut`` them first."""
     fence = stats.upper_fence(token_lengths(df), F.col("x"), fallback - 1)
-    return df.crossJoin(F.broadcast(fence)).filter(~F.exists(exclusive_fragments(), lambda x: F.length(x) > F.col("fence"))).drop("fence")
+    out = df.crossJoin(F.broadcast(fence)).filter(~F.exists(exclusive_lengths(df), lambda n: n > F.col("fence")))  # one row
+    return out if keep_fence else out.drop("fence")
 
 
 def tukey_counts(df: DataFrame, fallback: int = MAX_COUNT) -> DataFrame:
-    """Pairs whose exclusive counts are within the upper fence of either side's counts."""
-    a = stats.upper_fence(df, F.col("n_only_toxic_safe"), fallback).withColumnRenamed("fence", "__fa")
-    b = stats.upper_fence(df, F.col("n_only_nontoxic_safe"), fallback).withColumnRenamed("fence", "__fb")
-    out = df.crossJoin(F.broadcast(a)).crossJoin(F.broadcast(b))  # one row each
+    """Pairs whose exclusive counts are within the upper fence of either side's counts, both from one pass. The rows are read twice."""
+    fences = stats.upper_fences(df, {"__fa": (F.col("n_only_toxic_safe"), fallback), "__fb": (F.col("n_only_nontoxic_safe"), fallback)})
+    out = df.crossJoin(F.broadcast(fences))  # one row
     return out.filter((F.col("n_only_toxic_safe") <= F.col("__fa")) & (F.col("n_only_nontoxic_safe") <= F.col("__fb"))).drop("__fa", "__fb")
 
 
 def filter_pairs(df: DataFrame, fixed: bool = False, length: int = MAX_LENGTH, count: int = MAX_COUNT) -> DataFrame:
-    """Core filter, then lengths, then counts: each fence is taken after the filter before it."""
+    """Core filter, then lengths, then counts: each fence is taken after the filter before it, over rows that are written once."""
     core = conserved_core(df)
-    return fixed_thresholds(core, length, count) if fixed else tukey_counts(tukey_length(core, length), count)
+    if fixed:
+        return fixed_thresholds(core, length, count)
+    return tukey_counts(cut(tukey_length(cut(core), length)), count)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions import text as T
 from ..operators import fragments, lookup, outliers, similarity, split
-from ..schemas import with_row_index
+from ..schemas import cut, with_row_index
 from ..sources import files
 from . import qa, scoring
 
@@ -84,6 +84,23 @@ def compared(spark: SparkSession, d: str) -> DataFrame:
     return fragments.compare(labelled_pairs(spark, d))
 
 
+def counted(spark: SparkSession, d: str) -> DataFrame:
+    """The same pairs with counts and lengths alone, for filters that need no text."""
+    labels = table(spark, d, "labels").select("doc_id", "toxic")
+    facts = fragments.fragment_facts(table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "lang", "text").join(labels, "doc_id"), "text")
+    pairs = fragments.common_pairs(facts.filter("toxic = 1"), facts.filter("toxic = 0"), ["lang"], "doc_id")
+    return pairs.withColumnsRenamed({"toxic_id": "toxic_smiles", "nontoxic_id": "nontoxic_smiles"})
+
+
+def with_texts(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
+    """Pairs that are left, in the shape of pair rows with their texts."""
+    docs = table(spark, d, "documents")
+    left = docs.select(F.col("doc_id").alias("toxic_smiles"), F.col("text").alias("toxic_safe"))
+    right = docs.select(F.col("doc_id").alias("nontoxic_smiles"), F.col("text").alias("nontoxic_safe"))
+    out = pairs.select(F.lit("documents").alias("dataset_name"), F.col("lang").alias("endpoint"), "toxic_smiles", "nontoxic_smiles").join(left, "toxic_smiles").join(right, "nontoxic_smiles")
+    return out.withColumns({c: F.col(c).cast("string") for c in ("toxic_smiles", "nontoxic_smiles")})
+
+
 def _ids() -> list[Column]:
     return [F.col("toxic_smiles").cast("bigint").alias("toxic_id"), F.col("nontoxic_smiles").cast("bigint").alias("clean_id")]
 
@@ -106,12 +123,13 @@ def fragment_diff_json(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH " + _FRAGS + "SELECT toxic_id, clean_id FROM core")
 def conserved_core(spark: SparkSession, d: str) -> DataFrame:
-    return fragments.conserved_core(compared(spark, d)).select(*_ids())
+    return fragments.conserved_core(counted(spark, d)).select(*_ids())
 
 
-@query("WITH " + _FRAGS + "SELECT toxic_id, clean_id FROM core WHERE len(list_filter(list_concat(only_a, only_b), lambda x: length(x) >= 28)) = 0 AND len(only_a) <= 4 AND len(only_b) <= 4")
+@query("WITH " + _FRAGS + "SELECT toxic_id, clean_id FROM core WHERE len(list_filter(list_concat(only_a, only_b), lambda x: length(x) >= 300)) = 0 AND len(only_a) <= 40 AND len(only_b) <= 40")
 def filter_fixed(spark: SparkSession, d: str) -> DataFrame:
-    return fragments.filter_pairs(compared(spark, d), fixed=True).select(*_ids())
+    """The limits are parameters; the fragments here are sentences, longer and more than the molecules' that the defaults are for."""
+    return fragments.filter_pairs(compared(spark, d), fixed=True, length=300, count=40).select(*_ids())
 
 
 _FENCE = "(SELECT CASE WHEN count(x) < 4 OR quantile_cont(x::DOUBLE, 0.75) - quantile_cont(x::DOUBLE, 0.25) <= 0 THEN {F} ELSE quantile_cont(x::DOUBLE, 0.75) + 1.5::DOUBLE * (quantile_cont(x::DOUBLE, 0.75) - quantile_cont(x::DOUBLE, 0.25)) END AS fence FROM {S})"
@@ -120,14 +138,13 @@ _LENGTH = ", lens AS (SELECT length(unnest(list_concat(only_a, only_b))) AS x FR
 
 @query("WITH " + _FRAGS + _LENGTH + " SELECT toxic_id, clean_id, fence FROM kept, long")
 def filter_tukey_length(spark: SparkSession, d: str) -> DataFrame:
-    core = fragments.conserved_core(compared(spark, d))
-    fence = stats.upper_fence(fragments.token_lengths(core), F.col("x"), fragments.MAX_LENGTH - 1)
-    return fragments.tukey_length(core).select(*_ids()).crossJoin(F.broadcast(fence))
+    core = cut(fragments.conserved_core(counted(spark, d)))
+    return fragments.tukey_length(core, keep_fence=True).select(*_ids(), "fence")
 
 
 @query("WITH " + _FRAGS + _LENGTH + ", ca AS " + _FENCE.replace("{F}", "4.0::DOUBLE").replace("{S}", "(SELECT len(only_a) AS x FROM kept)") + ", cb AS " + _FENCE.replace("{F}", "4.0::DOUBLE").replace("{S}", "(SELECT len(only_b) AS x FROM kept)") + " SELECT toxic_id, clean_id FROM kept, ca, cb WHERE len(only_a) <= ca.fence AND len(only_b) <= cb.fence")
 def filter_tukey_counts(spark: SparkSession, d: str) -> DataFrame:
-    return fragments.filter_pairs(compared(spark, d)).select(*_ids())
+    return fragments.filter_pairs(counted(spark, d)).select(*_ids())
 
 
 @query("WITH " + _FRAGS + "SELECT toxic_id, clean_id, CASE WHEN len(only_a) = 1 THEN 'single_step' ELSE 'multi_step' END AS step_one, CASE WHEN len(only_a) = 1 AND len(only_b) = 1 THEN 'single_step' ELSE 'multi_step' END AS step_two FROM pairs")
@@ -173,11 +190,11 @@ def pair_union_distinct(spark: SparkSession, d: str) -> DataFrame:
 _BITS = "list_sum(list_transform(range(32), lambda i: CASE WHEN embedding[{0} + i + 1] > 0 THEN (1::BIGINT << i) ELSE 0 END))::BIGINT"
 
 
-@query(f"WITH v AS (SELECT vec_id, label, {_BITS.format(0)} AS a, {_BITS.format(32)} AS b FROM embeddings), p AS (SELECT x.vec_id AS l_id, y.vec_id AS r_id, bit_count(x.a & y.a)::BIGINT + bit_count(x.b & y.b) AS c, bit_count(x.a | y.a)::BIGINT + bit_count(x.b | y.b) AS u FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id) SELECT l_id, r_id FROM p WHERE u > 0 AND 10 * c >= 7 * u")
+@query(f"WITH v AS (SELECT vec_id, label, {_BITS.format(0)} AS a, {_BITS.format(32)} AS b FROM embeddings), p AS (SELECT x.vec_id AS l_id, y.vec_id AS r_id, bit_count(x.a & y.a)::BIGINT + bit_count(x.b & y.b) AS c, bit_count(x.a | y.a)::BIGINT + bit_count(x.b | y.b) AS u FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id) SELECT l_id, r_id FROM p WHERE u > 0 AND 10 * c >= 5 * u")
 def pair_by_bitmap_tanimoto(spark: SparkSession, d: str) -> DataFrame:
     word = lambda at: F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("bigint"), lambda n, i: n + F.when(F.get("embedding", i + at) > 0, F.pow(F.lit(2), i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
     v = table(spark, d, "embeddings").select("vec_id", "label", F.array(word(0), word(32)).alias("bits"))
-    pairs = similarity.similarity_join(v, v, ["label"], [similarity.BitRule("bits", 7)])
+    pairs = similarity.similarity_join(v, v, ["label"], [similarity.BitRule("bits", 5)])
     return pairs.filter("l.vec_id < r.vec_id").select(F.col("l.vec_id").alias("l_id"), F.col("r.vec_id").alias("r_id"))
 
 
@@ -203,26 +220,33 @@ def property_deltas(spark: SparkSession, d: str) -> DataFrame:
     return outliers.add_deltas(pairs, props, "p_partkey", ("l_key", "r_key"), ("price", "size"), ("l", "r"))
 
 
-_LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-_QS = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", quantile_cont({c}::DOUBLE, 0.25) AS q1, quantile_cont({c}::DOUBLE, 0.75) AS q3 FROM lineitem" for c in _LINE)
+_LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "per_unit"]
+#: A skewed measure beside the even ones, so that rows fall outside the fences.
+_PER_UNIT = "l_extendedprice / (l_quantity * l_quantity)"
+_ITEMS = f"(SELECT *, {_PER_UNIT} AS per_unit FROM lineitem)"
+_QS = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", quantile_cont({c}::DOUBLE, 0.25) AS q1, quantile_cont({c}::DOUBLE, 0.75) AS q3 FROM {_ITEMS}" for c in _LINE)
+
+
+def items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").withColumn("per_unit", F.expr(_PER_UNIT))
 
 
 @query(f'SELECT "column" AS descriptor, "column", q1, q3, q3 - q1 AS iqr, q1 - 1.5::DOUBLE * (q3 - q1) AS lower_fence, q3 + 1.5::DOUBLE * (q3 - q1) AS upper_fence FROM ({_QS})')
 def outlier_thresholds(spark: SparkSession, d: str) -> DataFrame:
-    return outliers.thresholds(table(spark, d, "lineitem"), _LINE)
+    return outliers.thresholds(items(spark, d), _LINE)
 
 
 _OUT = " OR ".join(f"{c} < (SELECT q1 - 1.5::DOUBLE * (q3 - q1) FROM q WHERE \"column\" = '{c}') OR {c} > (SELECT q3 + 1.5::DOUBLE * (q3 - q1) FROM q WHERE \"column\" = '{c}')" for c in _LINE)
 
 
-@query(f"WITH q AS ({_QS}) SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE {_OUT}")
+@query(f"WITH q AS ({_QS}) SELECT l_orderkey, l_linenumber, l_extendedprice FROM {_ITEMS} WHERE {_OUT}")
 def outlier_dropped(spark: SparkSession, d: str) -> DataFrame:
-    return outliers.split_outliers(table(spark, d, "lineitem"), _LINE)[1].select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return outliers.split_outliers(items(spark, d), _LINE)[1].select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
-@query(f"WITH q AS ({_QS}) SELECT l_returnflag, count(*) AS n_rows FROM lineitem WHERE NOT ({_OUT}) GROUP BY l_returnflag")
+@query(f"WITH q AS ({_QS}) SELECT l_returnflag, count(*) AS n_rows FROM {_ITEMS} WHERE NOT ({_OUT}) GROUP BY l_returnflag")
 def outlier_kept(spark: SparkSession, d: str) -> DataFrame:
-    return outliers.split_outliers(table(spark, d, "lineitem"), _LINE)[0].groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n_rows"))
+    return outliers.split_outliers(items(spark, d), _LINE)[0].groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 # lookups
@@ -265,10 +289,10 @@ def positional_lookup(spark: SparkSession, d: str) -> DataFrame:
     return lookup.positional(events, rows).select("event_id", "o_orderkey")
 
 
-@query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+@query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND user_id % 3 > 0)")
 def resume_anti_join(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events").withColumn("id", F.col("user_id"))
-    done = events.select("id", F.when(F.col("event_type") == "purchase", F.lit("x")).alias("pred"))
+    done = events.select("id", F.when((F.col("event_type") == "purchase") & (F.col("user_id") % 3 > 0), F.lit("x")).alias("pred"))
     return lookup.resume(events, done).select("event_id")
 
 
@@ -302,7 +326,7 @@ def group_split_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def qa_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Filtered pairs with row numbers, named after an endpoint of the Tox21 panel."""
-    kept = fragments.filter_pairs(compared(spark, d))
+    kept = fragments.compare(with_texts(spark, d, fragments.filter_pairs(counted(spark, d))))
     return with_row_index(kept.withColumn("endpoint", F.lit("tox21_NR-AR")), ["toxic_smiles", "nontoxic_smiles"])
 
 
@@ -323,7 +347,8 @@ quoted AS (SELECT *, trim(ta, {WS}) AS sa, trim(tb, {WS}) AS sb FROM final)
 
 def _qa_sql(task: str) -> str:
     lit = lambda s: "'" + s.replace("'", "''") + "'"
-    rep = lambda c: f"(CASE WHEN contains({c}, '''') AND NOT contains({c}, '\"') THEN '\"' || replace({c}, '\\', '\\\\') || '\"' ELSE '''' || replace(replace({c}, '\\', '\\\\'), '''', '\\''') || '''' END)"
+    hidden = lambda c: f"replace(replace(replace(replace({c}, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
+    rep = lambda c: f"(CASE WHEN contains({c}, '''') AND NOT contains({c}, '\"') THEN '\"' || {hidden(c)} || '\"' ELSE '''' || replace({hidden(c)}, '''', '\\''') || '''' END)"
     told = descriptions_text()
     body = f"{lit(qa.FRAGMENTS + qa.CONTEXT + qa.PRESERVE + told + ' ')} || 'Toxic molecule: SMILES = ' || {rep('toxic_id::VARCHAR')} || ', SAFE = ' || {rep('sa')} || '. ' || {lit(qa.ASK[task])}"
     stepwise = task == "task3_stepwise_cot_safe_generation"
@@ -346,19 +371,52 @@ for _n, _task in enumerate(qa.ASK, 1):
     query(_qa_sql(_task))(_f)
 
 
-@query("SELECT c.c_custkey, coalesce(CASE WHEN c.c_mktsegment = 'BUILDING' THEN 'segment ' || c.c_mktsegment END, CASE WHEN n.n_regionkey = 1 THEN 'nation ' || n.n_name END, CASE WHEN r.r_name <> 'ASIA' THEN 'region ' || r.r_name END, '') AS told FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey LEFT JOIN region r ON r.r_regionkey = n.n_regionkey")
+def _named() -> tuple[list[str], list[str]]:
+    """Endpoints and datasets that reach every level of the cascade, known names and others, as written and in another case."""
+    from .descriptions import AS_DATASET, AS_ENDPOINT, SIDER, TOX21
+
+    endpoints = [*(f"tox21_{k}" for k in TOX21), "TOX21_NR-AR", "tox21_other", *TOX21, *SIDER, "cardiac disorders", *AS_ENDPOINT, "AMES", "other", ""]
+    return endpoints, [*AS_DATASET, "HERG", "tox21", "Tox21", "sider", "sider_train", "sider_test", "metabolism", "", "other"]
+
+
+def _described_sql() -> str:
+    from . import descriptions as D
+
+    endpoints, datasets = _named()
+    lit = lambda s: "'" + s.replace("'", "''") + "'"
+    names = lambda xs: "[" + ", ".join(map(lit, xs)) + "]"
+    known = lambda keys, made, c: "CASE " + c + " " + " ".join(f"WHEN {lit(k)} THEN {lit(made(k))}" for k in keys) + " END"
+    panel = lambda c: f"coalesce({known(D.TOX21, lambda k: D._TOX21.format(D.TOX21[k]), c)}, {lit(D._TOX21_ANY)})"
+    effect = lambda keys, c: known(keys, lambda k: D._EFFECT.format(D.EFFECTS[k]), c)
+    side = "replace(" + lit(D._SIDER) + ", '{}', e)"
+    return f"""
+WITH n AS (SELECT c_custkey, {names(endpoints)}[c_custkey % {len(endpoints)} + 1] AS e, {names(datasets)}[c_custkey // 3 % {len(datasets)} + 1] AS d FROM customer)
+SELECT c_custkey, coalesce(CASE
+  WHEN starts_with(lower(e), 'tox21_') THEN {panel("replace(e, 'tox21_', '')")}
+  WHEN list_contains({names([x.lower() for x in D.SIDER])}, lower(e)) THEN {side}
+  WHEN list_contains({names(D.AS_ENDPOINT)}, lower(e)) THEN {effect(D.AS_ENDPOINT, "lower(e)")}
+  WHEN list_contains({names(D.AS_DATASET)}, lower(d)) THEN {effect(D.AS_DATASET, "lower(d)")}
+  WHEN lower(d) = 'tox21' THEN {panel("e")}
+  WHEN lower(d) IN ('sider', 'sider_train', 'sider_test') THEN CASE WHEN e = '' THEN {lit(D._SIDER.replace(" of the class '{}'", ""))} ELSE {side} END
+  WHEN lower(d) = 'metabolism' THEN {lit(D._METABOLISM)} END, '') AS told
+FROM n"""
+
+
+@query(_described_sql())
 def description_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """First level that knows the key, by precedence: three dimension lookups and one coalesce."""
-    nation, region = table(spark, d, "nation"), table(spark, d, "region")
-    out = table(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    levels = [F.when(F.col("c_mktsegment") == "BUILDING", F.concat(F.lit("segment "), "c_mktsegment")), F.when(F.col("n_regionkey") == 1, F.concat(F.lit("nation "), "n_name")), F.when(F.col("r_name") != "ASIA", F.concat(F.lit("region "), "r_name"))]
-    return out.select("c_custkey", F.coalesce(*levels, F.lit("")).alias("told"))
+    from . import descriptions
+
+    endpoints, datasets = _named()
+    pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at % len(names) + 1).cast("int"))
+    key = F.col("c_custkey")
+    named = table(spark, d, "customer").select("c_custkey", pick(endpoints, key).alias("endpoint"), pick(datasets, F.floor(key / 3)).alias("dataset_name"))
+    return descriptions.with_description(named).select("c_custkey", F.col("description").alias("told"))
 
 
 # scores: a conversation's turn as gold, the next one as prediction
 
 _TURNS = """
-WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g') AS gold, lead(regexp_replace(text, '[^ -~]', '', 'g')) OVER (PARTITION BY conv_id ORDER BY turn) AS pred FROM conversations),
+WITH t AS (SELECT conv_id, turn, text AS gold, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS pred FROM conversations),
 p AS (SELECT conv_id, turn, trim(gold, {WS}) AS gold, trim(pred, {WS}) AS pred FROM t WHERE pred IS NOT NULL),
 k AS (SELECT *, list_filter(string_split(replace(gold, ' ', ''), '.'), lambda x: x <> '') AS g, list_filter(string_split(replace(pred, ' ', ''), '.'), lambda x: x <> '') AS q,
       replace(gold, ' ', '') AS gc, replace(pred, ' ', '') AS pc FROM p)
@@ -368,7 +426,7 @@ k AS (SELECT *, list_filter(string_split(replace(gold, ' ', ''), '.'), lambda x:
 def turns(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    own = table(spark, d, "conversations").withColumn("gold", F.regexp_replace("text", "[^ -~]", ""))
+    own = table(spark, d, "conversations").withColumn("gold", F.col("text"))
     out = own.withColumn("pred", F.lead("gold").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("pred IS NOT NULL")
     return out.select("conv_id", "turn", "gold", "pred")
 
@@ -385,7 +443,7 @@ def em_f1_scores(spark: SparkSession, d: str) -> DataFrame:
     return turns(spark, d).select("conv_id", "turn", scoring.fragment_scores(g, p)["fragment_EM"].alias("em"), s["precision"].alias("prec"), s["recall"].alias("rec"), s["f1"].alias("f1"))
 
 
-@query(_TURNS + "SELECT conv_id, turn, CASE WHEN len(g) = 0 OR len(q) = 0 THEN levenshtein(gold, pred)::DOUBLE ELSE list_sum(list_transform(q, lambda x: list_min(list_transform(g, lambda y: levenshtein(x, y)))))::DOUBLE / len(q) END AS edit FROM k")
+@query()  # DuckDB's levenshtein counts bytes; tests hold this against a plain programme
 def fragment_lev(spark: SparkSession, d: str) -> DataFrame:
     return turns(spark, d).select("conv_id", "turn", T.fragment_edit_mean(F.col("gold"), F.col("pred")).alias("edit"))
 
@@ -402,10 +460,10 @@ def normalized_edit(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("l_key", "r_key", T.edit_distance(F.col("a"), F.col("b")).alias("distance"), T.edit_similarity(F.col("a"), F.col("b")).alias("similarity"))
 
 
-@query(_TURNS + "SELECT conv_id, turn, list_transform(range(1, greatest(length(gc) - 1, 0)), lambda i: substr(gc, i::INT, 3))[1:5] AS head, greatest(length(gc) - 2, 0) AS n FROM k")
+@query(_TURNS + "SELECT conv_id, turn, sha256(array_to_string(list_transform(range(1, greatest(length(gc) - 1, 1)), lambda i: substr(gc, i::INT, 3)), '|')) AS grams_sha, greatest(length(gc) - 2, 0) AS n FROM k")
 def char_ngrams(spark: SparkSession, d: str) -> DataFrame:
     grams = T.char_ngrams(F.col("gold"), 3)
-    return turns(spark, d).select("conv_id", "turn", F.slice(grams, 1, 5).alias("head"), F.size(grams).alias("n"))
+    return turns(spark, d).select("conv_id", "turn", F.sha2(F.array_join(grams, "|"), 256).alias("grams_sha"), F.size(grams).alias("n"))
 
 
 @query("SELECT a.p_partkey AS l_key, round(exp(-abs(a.p_retailprice - b.p_retailprice)), 9) AS exponential, round(greatest(0.0, 1 - abs(a.p_retailprice - b.p_retailprice)), 9)::DOUBLE AS linear, round(1 / (1 + abs(a.p_retailprice - b.p_retailprice)), 9) AS reciprocal FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
@@ -415,20 +473,19 @@ def prs_score(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("l_key", *[F.round(T.prs(F.col("a"), F.col("b"), kind), 9).alias(kind) for kind in ("exponential", "linear", "reciprocal")])
 
 
-_KEYS = "coalesce(props::JSON ->> '$.k', props)"
-
-
-@query(f"SELECT event_id, {_KEYS} AS answer FROM events WHERE props IS NOT NULL")
+@query("SELECT event_id, CASE event_id % 4 WHEN 3 THEN '{\"answer\": ' || event_type ELSE event_type END AS answer FROM events")
 def json_extract(spark: SparkSession, d: str) -> DataFrame:
-    events = table(spark, d, "events").filter("props IS NOT NULL")
-    return events.select("event_id", F.coalesce(F.get_json_object("props", "$.k"), "props").alias("answer"))
+    """Answers in an object, in an object amid prose, bare, and in an object that is broken, which stays as it is."""
+    kind, whole = F.col("event_id") % 4, F.concat(F.lit('{"answer": "'), "event_type", F.lit(' "}'))
+    raw = F.when(kind == 0, whole).when(kind == 1, F.concat(F.lit("Sure: "), whole, F.lit(" done."))).when(kind == 2, F.concat(F.lit("  "), "event_type", F.lit("\n"))).otherwise(F.concat(F.lit('{"answer": '), "event_type"))
+    return table(spark, d, "events").select("event_id", T.extract_answer(raw).alias("answer"))
 
 
-@query(f"SELECT event_id, {_KEYS} AS answer FROM events WHERE props IS NOT NULL")
+@query("SELECT event_id, props::JSON ->> '$.k' AS answer FROM events WHERE props IS NOT NULL")
 def json_lenient(spark: SparkSession, d: str) -> DataFrame:
-    """The same object with prose around it: found between its first and last brace."""
+    """An object with prose around it: found between its first and last brace."""
     events = table(spark, d, "events").filter("props IS NOT NULL").withColumn("raw", F.concat(F.lit("Sure: "), "props", F.lit(" done.")))
-    return events.select("event_id", F.coalesce(T.lenient_json(F.col("raw"), "k string")["k"], "props").alias("answer"))
+    return events.select("event_id", T.lenient_json(F.col("raw"), "k string")["k"].alias("answer"))
 
 
 @query("SELECT event_type, count(*) AS total, avg(value) FILTER (WHERE isfinite(value)) AS mean_value, sum((value > 50)::INT) AS correct, sum((value > 50)::INT)::DOUBLE / greatest(count(*), 1) AS accuracy FROM events GROUP BY event_type")
@@ -455,10 +512,9 @@ def ring_digit_parity(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", T.unpaired_rings(F.col("p_brand")).alias("odd"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN contains(text, '''') AND NOT contains(text, '\"') THEN '\"' || replace(text, '\\', '\\\\') || '\"' ELSE '''' || replace(replace(text, '\\', '\\\\'), '''', '\\''') || '''' END AS quoted FROM conversations WHERE NOT contains(text, chr(10))")
+@query("SELECT conv_id, turn, CASE WHEN contains(text, '\'\'') AND NOT contains(text, '\"') THEN '\"' || s || '\"' ELSE '\'\'' || replace(s, '\'\'', '\\\'\'') || '\'\'' END AS quoted FROM (SELECT *, replace(replace(replace(replace(text, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') AS s FROM conversations)")
 def python_repr(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "conversations").filter(~F.col("text").contains("\n"))
-    return own.select("conv_id", "turn", T.python_repr(F.col("text")).alias("quoted"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.python_repr(F.col("text")).alias("quoted"))
 
 
 @query("SELECT doc_id, coalesce(nullif(trim(CASE WHEN quality = 1 THEN ' ' ELSE lang END, {WS}), ''), trim(source, {WS}), '') AS name, (lower(lang) = 'en' OR quality = 1) AS named FROM documents LEFT JOIN labels USING (doc_id) WHERE lang IS NOT NULL")
@@ -480,7 +536,38 @@ def row_index(spark: SparkSession, d: str) -> DataFrame:
     return with_row_index(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"])
 
 
-@query()
+_ITEM = "concat_ws(' ', p_name, lower(p_brand), lower(p_type), 'size' || (p_size % 3))"
+_COUNTS = {"MW": "length({0})", "RotB": "len(string_split({0}, ' '))"} | {k: "length({0}) - length(replace({0}, '" + c + "', ''))" for k, c in (("logP", "a"), ("TPSA", "e"), ("HBD", "i"), ("HBA", "o"))}
+_DELTAS = ", ".join(f"abs(({x.format('ts')}) - ({x.format('ns')}))::DOUBLE AS {k}" for k, x in _COUNTS.items())
+_BOUNDS = ", ".join(f"quantile_cont({k}, 0.25) AS {k}1, quantile_cont({k}, 0.75) AS {k}3" for k in _COUNTS)
+_INSIDE = " AND ".join(f"{k} >= {k}1 - 1.5::DOUBLE * ({k}3 - {k}1) AND {k} <= {k}3 + 1.5::DOUBLE * ({k}3 - {k}1)" for k in _COUNTS)
+_CHAIN = f"""
+WITH mol AS (SELECT DISTINCT p_type AS endpoint, p_size <= 25 AS toxic, {_ITEM} AS s FROM part),
+pairs AS (SELECT DISTINCT a.endpoint, a.s AS ts, b.s AS ns, list_sort(list_distinct(string_split(a.s, ' '))) AS fa, list_sort(list_distinct(string_split(b.s, ' '))) AS fb
+  FROM mol a JOIN mol b ON a.endpoint = b.endpoint AND a.toxic AND NOT b.toxic WHERE 10 * levenshtein(a.s, b.s) <= greatest(length(a.s), length(b.s))),
+diff AS (SELECT *, list_sort(list_intersect(fa, fb)) AS common, list_filter(fa, lambda x: NOT list_contains(fb, x)) AS only_a, list_filter(fb, lambda x: NOT list_contains(fa, x)) AS only_b FROM pairs),
+core AS (SELECT * FROM diff WHERE len(common) > 0 AND len(only_a) + len(only_b) > 0)
+""" + _LENGTH + ", ca AS " + _FENCE.replace("{F}", "4.0::DOUBLE").replace("{S}", "(SELECT len(only_a) AS x FROM kept)") + ", cb AS " + _FENCE.replace("{F}", "4.0::DOUBLE").replace("{S}", "(SELECT len(only_b) AS x FROM kept)") + f"""
+, even AS (SELECT kept.* FROM kept, ca, cb WHERE len(only_a) <= ca.fence AND len(only_b) <= cb.fence),
+deltas AS (SELECT *, {_DELTAS} FROM even), bounds AS (SELECT {_BOUNDS} FROM deltas)
+SELECT 'parts' AS dataset_name, endpoint, ts AS toxic_smiles, ns AS nontoxic_smiles, replace(ts, ' ', '.') AS toxic_safe, replace(ns, ' ', '.') AS nontoxic_safe,
+  array_to_string(common, '.') AS common_safe_fragments, array_to_string(only_a, '.') AS only_toxic_safe_fragments, array_to_string(only_b, '.') AS only_nontoxic_safe_fragments
+FROM deltas, bounds WHERE {_INSIDE}
+"""
+
+
+@query(_CHAIN)
+def cliffs_from_words(spark: SparkSession, d: str) -> DataFrame:
+    """The whole chain, every stage of it, on a chemistry of plain words."""
+    from ..chem.words import WordBackend
+    from . import cliffs
+
+    backend = WordBackend()
+    molecules = table(spark, d, "part").select(F.lit("parts").alias("dataset"), F.col("p_type").alias("endpoint"), F.when(F.col("p_size") <= 25, "toxic").otherwise("nontoxic").alias("label"), F.expr(_ITEM).alias("smiles"))
+    return cliffs.build_cliffs(cliffs.mine_pairs(molecules, backend), backend)
+
+
+@query()  # fingerprints have no SQL form; ``cliffs_from_words`` holds the same chain against SQL
 def cliffs_from_molecules(spark: SparkSession, d: str) -> DataFrame:
     """The whole chain on SMILES made from the parts' names: pairs, fragments, filters, properties, final columns."""
     from ..chem.base import PureBackend
@@ -492,3 +579,89 @@ def cliffs_from_molecules(spark: SparkSession, d: str) -> DataFrame:
     molecules = table(spark, d, "part").select(F.lit("parts").alias("dataset"), F.col("p_type").alias("endpoint"), F.when(F.col("p_size") <= 25, "toxic").otherwise("nontoxic").alias("label"), smiles.alias("smiles"))
     backend = PureBackend()
     return cliffs.build_cliffs(cliffs.mine_pairs(molecules, backend), backend)
+
+
+# sources, re-scores and other stages
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, which driver and executors share."""
+    from uuid import uuid4
+
+    from ..schemas import checkpoint_folder
+
+    return f"{checkpoint_folder(spark)}/files-{uuid4().hex}"
+
+
+@query("SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey, c_mktsegment || ', \"' || chr(10) || 'x\"' AS note FROM customer")
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Written and read again: all text, with quotes, commas and line ends inside a cell."""
+    path = _folder(spark)
+    note = F.concat("c_mktsegment", F.lit(', "\nx"'))
+    files.write_csv(table(spark, d, "customer").withColumn("note", note), path, ("c_custkey", "c_name", "c_nationkey", "note"))
+    return files.read_csv(spark, path, required=("c_custkey", "note"))
+
+
+@query("SELECT doc_id, lang, md5(text) AS text_md5 FROM documents WHERE lang IS NOT NULL")
+def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Written by folders of one column and read again, as JSON Lines."""
+    path = _folder(spark)
+    files.write_jsonl(table(spark, d, "documents").filter("lang IS NOT NULL").select("doc_id", "text", F.col("lang").alias("code"), "lang"), path, ("lang",))
+    return files.read_jsonl(spark, f"{path}/*", "doc_id bigint, text string, code string").select("doc_id", F.col("code").alias("lang"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("SELECT r_regionkey::VARCHAR AS r_regionkey, r_name, NULL::VARCHAR AS n_name FROM region UNION ALL SELECT NULL, NULL, n_name FROM nation")
+def shard_glob(spark: SparkSession, d: str) -> DataFrame:
+    """CSV shards that a glob finds, joined by column name."""
+    path = _folder(spark)
+    files.write_csv(table(spark, d, "region").select("r_regionkey", "r_name").coalesce(1), f"{path}/a")
+    files.write_csv(table(spark, d, "nation").select("n_name").coalesce(1), f"{path}/b")
+    return files.read_shards(spark, f"{path}/*/*.csv")
+
+
+@query(_TURNS + "SELECT conv_id * 1000 + turn AS id, CASE WHEN turn % 3 = 0 THEN 0.25::DOUBLE WHEN gold = '' THEN 0.0::DOUBLE ELSE (list_sort(g) = list_sort(q))::INT::DOUBLE END AS fragment_EM, CASE WHEN turn % 3 = 0 THEN 0.75::DOUBLE WHEN len(g) = 0 AND len(q) = 0 THEN 1.0::DOUBLE WHEN len(g) = 0 OR len(q) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(g, q)) / (len(list_distinct(g)) + len(list_distinct(q))) END AS fragment_F1 FROM k")
+def rescored(spark: SparkSession, d: str) -> DataFrame:
+    """Stored metrics where a row has all of them; a row that lacks one is scored anew as a whole."""
+    own = turns(spark, d).withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    stored = own.select("id", F.when(F.col("turn") % 3 < 2, 0.25).alias("fragment_EM"), F.when(F.col("turn") % 3 == 0, 0.75).alias("fragment_F1"))
+    keys = scoring.metric_keys("task1", "multi_step")
+    return scoring.rescore(stored, scoring.score_predictions(own, "task1", "multi_step"), keys).select("id", *keys)
+
+
+@query(f"SELECT a.p_type AS endpoint, count(*) AS n_pairs FROM {_SIDES} WHERE {_SET} GROUP BY a.p_type")
+def pairs_per_group(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of each group before repeated texts are removed."""
+    pairs = similarity.similarity_join(*_sides(spark, d), ["p_type"], [similarity.SetRule("words", 5)])
+    return similarity.pair_counts(pairs.select(F.col("l.p_type").alias("endpoint")), ["endpoint"])
+
+
+_ORPHANS = _SPLIT.replace("FROM orders GROUP BY 1", "FROM o GROUP BY 1").replace("FROM orders o LEFT JOIN c", "FROM o LEFT JOIN c").replace("WITH g AS", "WITH o AS (SELECT o_orderkey, CASE WHEN o_custkey % 4 > 0 THEN o_custkey END AS o_custkey FROM orders),\ng AS").replace("FROM o GROUP BY 1", "FROM o WHERE o_custkey IS NOT NULL GROUP BY 1")
+
+
+@query(_ORPHANS + "SELECT o_orderkey, split FROM s")
+def split_with_orphans(spark: SparkSession, d: str) -> DataFrame:
+    """Rows without a group go to the training side and count towards its tenth."""
+    rows = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 4 > 0, F.col("o_custkey")).alias("o_custkey"))
+    return split.grouped_split(rows, "o_custkey", "o_orderkey").select("o_orderkey", "split")
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'task1' ELSE 'task2' END AS task, row_number() OVER (PARTITION BY c_mktsegment = 'BUILDING' ORDER BY c_custkey) - 1 AS id FROM customer")
+def record_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids from 0 within each task and step, in source order."""
+    rows = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", "task1").otherwise("task2").alias("task"), F.lit("single_step").alias("step"), F.col("c_custkey").alias("source_index"))
+    return qa.with_ids(rows).select("c_custkey", "task", "id")
+
+
+@query("SELECT p_type AS task, count(*) AS inference_samples, round(12.34567, 3)::DOUBLE AS inference_time_seconds, round(12.34567 / count(*), 6)::DOUBLE AS inference_seconds_per_sample, avg((p_size > 25)::INT)::DOUBLE AS em, 100 * avg((p_size > 25)::INT)::DOUBLE AS em_acc FROM part GROUP BY p_type")
+def summary_records(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries as they are stored: means in a map, timings rounded."""
+    hit = (F.col("p_size") > 25).cast("int")
+    scored = table(spark, d, "part").select(F.col("p_type").alias("task"), hit.alias("correct"), hit.cast("double").alias("fragment_EM"))
+    out = scoring.summary_record(scoring.summarize(scored, ("fragment_EM",)), ("fragment_EM",), 12.34567, "p")
+    return out.select("task", "inference_samples", "inference_time_seconds", "inference_seconds_per_sample", F.col("metrics_mean")["fragment_EM"].alias("em"), F.col("metrics_mean")["fragment_EM_Acc"].alias("em_acc"))
+
+
+@query("SELECT 'lang' AS \"column\", sum((trim(coalesce(lang, ''), {WS}) = '')::INT)::BIGINT AS n_missing, count(*) AS n_rows FROM documents UNION ALL SELECT 'source', sum((trim(coalesce(source, ''), {WS}) = '')::INT)::BIGINT, count(*) FROM documents UNION ALL SELECT 'toxic', count(*) - count(toxic), count(*) FROM documents LEFT JOIN labels USING (doc_id)")
+def missing_values(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source").join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    return stats.missing_counts(docs, ["lang", "source", "toxic"])

@@ -9,6 +9,7 @@ from ..functions import stats
 from ..functions import text as T
 from ..operators.lookup import latest, positional
 
+#: Metric names.
 TASK3 = ("exact_match", "bleu", "levenshtein", "rdk_fts", "maccs_fts", "morgan_fts", "validity", "prs_property_score")
 #: Metrics by task and step.
 METRICS = {
@@ -61,6 +62,15 @@ def molecule_scores(df: DataFrame, gold: str, pred: str, backend, decode: bool =
     return out.withColumns(score).drop(*[f"__{k}" for k in keys])
 
 
+def safe_validity(df: DataFrame, column: str, backend, out: str = "validity") -> DataFrame:
+    """Adds 1.0 where a SAFE text decodes to a molecule, else 0.0; each distinct text is decoded once."""
+    from ..chem.base import describe
+
+    text = F.coalesce(F.col(column), F.lit(""))
+    facts = describe(df.select(text.alias("__x")).distinct(), "__x", backend, decode=True).select("__x", "valid")
+    return df.join(facts, text == F.col("__x"), "left").withColumn(out, F.coalesce(F.col("valid"), F.lit(False)).cast("double")).drop("__x", "valid")
+
+
 def score_predictions(predictions: DataFrame, task: str, step: str, backend=None, rows: DataFrame | None = None) -> DataFrame:
     """Adds the metrics of a task: gold and pred may be JSON objects with ``answer`` or bare text. ``rows`` is the split's pair table by row_idx."""
     df = predictions.withColumn("__g", T.extract_answer(F.col("gold"))).withColumn("__p", T.extract_answer(F.col("pred")))

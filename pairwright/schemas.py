@@ -5,11 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAIRS = "dataset_name string, endpoint string, toxic_smiles string, nontoxic_smiles string"
 PAIRS_SAFE = PAIRS + ", toxic_safe string, nontoxic_safe string"
+#: Columns of the stages' tables, and descriptors.
 COMPARED_COLUMNS = (
     "dataset_name", "endpoint", "toxic_smiles", "nontoxic_smiles", "toxic_safe", "nontoxic_safe", "toxic_safe_fragments", "nontoxic_safe_fragments", "common_safe_fragments", "only_toxic_safe_fragments",
     "only_nontoxic_safe_fragments", "n_common_safe", "n_only_toxic_safe", "n_only_nontoxic_safe", "has_safe_diff", "unique_safe",
@@ -34,12 +35,20 @@ def project(df: DataFrame, columns: tuple[str, ...], tolerant: bool = False) ->
     return df.select(*[c for c in columns if c in df.columns])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in spark.checkpoint.dir, or in a temporary folder where that is unset."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; on a local master it may be unset, and a temporary folder takes its place."""
+    if (folder := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()) is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-", dir=os.environ.get("TMPDIR"))
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-", dir=os.environ.get("TMPDIR"))
         spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

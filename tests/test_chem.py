@@ -113,3 +113,15 @@ def test_describe(spark):
     assert not got["C("]["valid"] and not got[""]["valid"] and got[None]["MW"] is None
     decoded = describe(spark.createDataFrame([("CC5.O5",)], "x string"), "x", PureBackend(), decode=True).collect()[0]
     assert decoded["decoded"] == canonical("CCO")
+
+
+def test_hands_of_centres():
+    """One text for each mirror image, however it is written; hands that say nothing are dropped."""
+    left = ["C[C@H](N)C(=O)O", "N[C@@H](C)C(=O)O", "OC(=O)[C@@H](N)C", "[C@H](C)(C(=O)O)N"]
+    texts = {canonical(x) for x in left}
+    assert len(texts) == 1 and canonical("C[C@@H](N)C(=O)O") not in texts and canonical("CC(N)C(=O)O") not in texts
+    assert canonical("C[C@H]1CCCO1") == canonical("O1CCC[C@@H]1C") != canonical("C[C@@H]1CCCO1")
+    assert canonical("C[C@H](C)O") == canonical("CC(C)O")
+    for x in [*left, "F[C@@](Cl)(Br)I", "C[C@H]1CCCO1"]:
+        assert canonical(canonical(x)) == canonical(x)
+    assert "@" not in properties.scaffold_text("C[C@H]1CCCO1")

@@ -159,6 +159,79 @@ def test_filters(spark):
         fragments.conserved_core(pairs)
 
 
+def test_filters_by_counts_and_by_texts(spark):
+    """Pairs from hashes and lengths alone pass the same filters as pairs whose texts are compared."""
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, rng.choice("xy"), i % 3 == 0, ".".join(rng.choice("abcdefgh") * rng.choice((1, 1, 1, 2, 9)) for _ in range(rng.randint(1, 7)))) for i in range(60)], "id bigint, g string, bad boolean, text string")
+    facts = fragments.fragment_facts(docs, "text")
+    short = fragments.common_pairs(facts.filter("bad"), facts.filter("NOT bad"), ["g"], "id")
+    a, b = docs.filter("bad").select("g", F.col("id").alias("toxic_id"), F.col("text").alias("toxic_safe")), docs.filter("NOT bad").select("g", F.col("id").alias("nontoxic_id"), F.col("text").alias("nontoxic_safe"))
+    texts = a.join(b, "g").select(F.lit("d").alias("dataset_name"), F.col("g").alias("endpoint"), F.col("toxic_id").cast("string").alias("toxic_smiles"), F.col("nontoxic_id").cast("string").alias("nontoxic_smiles"), "toxic_safe", "nontoxic_safe")
+    long = fragments.compare(texts)
+    ids = lambda df: sorted((int(r[0]), int(r[1])) for r in df.collect())
+    for f in (fragments.conserved_core, lambda d: fragments.filter_pairs(d), lambda d: fragments.filter_pairs(d, fixed=True, length=3, count=2), lambda d: fragments.tukey_length(fragments.conserved_core(d))):
+        want = ids(f(long).select("toxic_smiles", "nontoxic_smiles"))
+        assert ids(f(short).select("toxic_id", "nontoxic_id")) == want and want
+
+
+def test_texts_against_python(spark):
+    """Quoting and edit means on any text, against Python."""
+    odd = ["a'b\\", "tab\tline\r\nend", "\x00\x1f\x7f\x85\xa0é漢🙂", "zero\u200bwidth \u2028 sep", "'\"", "", "plain"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string")
+    assert {r["i"]: r["q"] for r in df.select("i", T.python_repr(F.col("t")).alias("q")).collect()} == {i: repr(t) for i, t in enumerate(odd)}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    tokens = lambda t: [x for x in t.strip().replace(" ", "").split(".") if x]
+    pairs = [("é.b", "b.e"), ("", "ab"), ("ab", ""), ("漢字.ab.c", " 漢子 . abc"), ("a.b", "a.b")]
+    got = spark.createDataFrame(pairs, "g string, p string").select("g", "p", T.fragment_edit_mean(F.col("g"), F.col("p")).alias("x")).collect()
+    for r in got:
+        g, p = tokens(r["g"]), tokens(r["p"])
+        assert r["x"] == (sum(min(distance(x, y) for y in g) for x in p) / len(p) if g and p else distance(r["g"].strip(), r["p"].strip()))
+
+
+def test_query_without_sql_against_python(spark, data):
+    """fragment_lev on the whole table."""
+    from pairwright.plans import queries
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    turns = sorted((r["conv_id"], r["turn"], r["text"]) for r in spark.read.parquet(f"{data}/conversations.parquet").collect())
+    want, tokens = {}, lambda t: [x for x in t.strip().replace(" ", "").split(".") if x]
+    for (c, n, gold), (c2, _, pred) in zip(turns, turns[1:]):
+        if c == c2 and len(gold) + len(pred) < 600:
+            g, p = tokens(gold), tokens(pred)
+            want[c, n] = sum(min(distance(x, y) for y in g) for x in p) / len(p) if g and p else distance(gold.strip(), pred.strip())
+    got = {(r["conv_id"], r["turn"]): r["edit"] for r in queries.fragment_lev(spark, data).collect()}
+    assert len(want) > 5 and set(want) <= set(got)
+    assert all(got[k] == pytest.approx(x) for k, x in want.items())
+
+
+def test_pair_scores_and_missing(spark):
+    from pairwright.chem.base import PureBackend
+
+    rows = [("d", "e", "toxic", 0, "CCO"), ("d", "e", "toxic", 1, "c1ccccc1"), ("d", "e", "nontoxic", 0, "CCO"), ("d", "e", "nontoxic", 1, "C(")]
+    got = {(r["i"], r["j"]): r for r in cliffs.pair_scores(spark.createDataFrame(rows, "dataset string, endpoint string, label string, idx int, smiles string"), PureBackend()).collect()}
+    assert set(got) == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    assert got[0, 0]["circular_similarity"] == 1 and got[0, 0]["edit_similarity"] == 1 and got[0, 0]["scaffold_similarity"] is None and got[0, 1]["circular_similarity"] is None
+    df = spark.createDataFrame([("a", 1.0), (" ", float("nan")), (None, None)], "x string, y double")
+    assert {r["column"]: (r["n_missing"], r["n_rows"]) for r in stats.missing_counts(df, ["x", "y"]).collect()} == {"x": (2, 3), "y": (2, 3)}
+
+
 def test_descriptions(spark):
     rows = [("", "tox21_NR-AR"), ("", "TOX21_NR-AR"), ("x", "cardiac disorders"), ("x", "Cardiac disorders"), ("x", "AMES"), ("herg", ""), ("tox21", "SR-p53"), ("tox21", "zz"), ("sider", "q"), ("metabolism", "cyp1a2_veith"), ("", ""), ("zzz", "q")]
     got = [r["description"] for r in descriptions.with_description(spark.createDataFrame(rows, "dataset_name string, endpoint string")).collect()]
@@ -255,3 +328,33 @@ def test_cli_split(spark, tmp_path):
     files.write_csv(df.coalesce(1), f"{tmp_path}/in")
     both = cli.run(spark, cli.parser().parse_args(["split", "--input", f"{tmp_path}/in", "--output", f"{tmp_path}/out", "--backend", "pure"]))
     assert both.count() == 20 and files.read_csv(spark, f"{tmp_path}/out/train").count() == 20
+
+
+def test_cli_questions_and_answers(spark, tmp_path):
+    """Questions by split, answers from a client, and a second run that asks for nothing again."""
+    from pairwright import cli
+
+    client = tmp_path / "fixed_client.py"
+    client.write_text("class Client:\n    def complete(self, system, user, schema, temperature):\n        return '{\"answer\": \"O5\"}'\n")
+    spark.sparkContext.addPyFile(str(client))
+    rows = [("ames", "", "CCO", "CCN", "C5.O5", "C5.N5", "O5", "N5")] * 3
+    df = spark.createDataFrame(rows, "dataset_name string, endpoint string, toxic_smiles string, nontoxic_smiles string, toxic_safe string, nontoxic_safe string, only_toxic_safe_fragments string, only_nontoxic_safe_fragments string")
+    files.write_csv(df, f"{tmp_path}/all")
+    files.write_csv(df.limit(1), f"{tmp_path}/test")
+    run = lambda *args: cli.run(spark, cli.parser().parse_args([*args, "--backend", "pure"]))
+    made = run("qa", "--input", f"{tmp_path}/all", "--output", f"{tmp_path}/qa", "--tasks", "task1", "--split", "all", "--qa-set", "own", "--test-input", f"{tmp_path}/test")
+    assert made.count() == 4
+    questions = f"{tmp_path}/qa/own/train/task=task1/step=single_step"
+    args = ("infer", "--input", questions, "--output", f"{tmp_path}/out", "--model", "m", "--client", "fixed_client:Client", "--task", "task1", "--sleep", "0", "--retries", "1")
+    assert run(*args, "--num-samples", "2").count() == 2
+    assert run(*args).count() == 1 and run(*args).count() == 0
+    stored = files.read_jsonl(spark, f"{tmp_path}/out", cli.RECORDS)
+    assert sorted((r["id"], r["pred"], r["correct"]) for r in stored.collect()) == [(k, "O5", 1) for k in range(3)]
+    assert run(*args, "--reset").count() == 3
+
+
+def test_safe_validity(spark):
+    from pairwright.chem.base import PureBackend
+
+    df = spark.createDataFrame([(0, "CCO"), (1, "C5.O5"), (2, "C("), (3, ""), (4, None)], "i int, t string")
+    assert {r["i"]: r["validity"] for r in scoring.safe_validity(df, "t", PureBackend()).collect()} == {0: 1.0, 1: 1.0, 2: 0.0, 3: 0.0, 4: 0.0}

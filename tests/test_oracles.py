@@ -33,4 +33,5 @@ def test_query(spark, data, duck, name):
 
 
 def test_entry(spark):
-    assert __spark_entry__.entry(spark).count() >= 0
+    rows = __spark_entry__.entry(spark).collect()
+    assert rows and set(rows[0].asDict()) == {"dataset_name", "endpoint", "toxic_smiles", "nontoxic_smiles", "toxic_safe", "nontoxic_safe", "common_safe_fragments", "only_toxic_safe_fragments", "only_nontoxic_safe_fragments"}
