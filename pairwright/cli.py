@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chem.base import describe, load_backend
-from .operators import fragments, outliers, split
+from .operators import fragments, outliers, similarity, split
 from .plans import cliffs, inference, qa, scoring
 from .schemas import DESCRIPTORS, cut
 from .sources import files
@@ -20,7 +20,7 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     add = lambda name, *args: [c := sub.add_parser(name), *[c.add_argument(a, **k) for a, k in args]][0]
     io = [("--input", {"required": True}), ("--output", {"required": True}), ("--backend", {"default": "auto"})]
-    add("pair", *io, ("--no-canonicalize", {"action": "store_true"}))
+    add("pair", *io, ("--no-canonicalize", {"action": "store_true"}), ("--summary", {}), ("--scores", {"help": "folder for the scores of all pairs of each group, for small groups"}))
     add("attach-safe", *io, ("--mapping", {}))
     add("compare-safe", *io)
     add("filter-safe", *io, ("--fixed-thresholds", {"action": "store_true"}), ("--fallback-length", {"type": int, "default": 28}), ("--fallback-count", {"type": int, "default": 4}))
@@ -42,7 +42,12 @@ def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
     read = lambda path, **k: files.read_csv(spark, path, **k)
     mapping = read(a.mapping).select("smiles", "safe") if getattr(a, "mapping", None) else None
     if a.command == "pair":
-        out = cliffs.mine_pairs(spark.read.parquet(a.input), backend, canonical=not a.no_canonicalize)
+        molecules = spark.read.parquet(a.input)
+        out = cut(cliffs.mine_pairs(molecules, backend, canonical=not a.no_canonicalize))
+        if a.summary:
+            files.write_csv(similarity.pair_counts(out, ["dataset_name", "endpoint"]), a.summary)
+        if a.scores:
+            cliffs.pair_scores(molecules, backend).write.mode("overwrite").parquet(a.scores)
     elif a.command == "attach-safe":
         out = cliffs.attach_fragments(read(a.input), backend, mapping)
     elif a.command == "compare-safe":

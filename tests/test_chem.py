@@ -125,3 +125,18 @@ def test_hands_of_centres():
     for x in [*left, "F[C@@](Cl)(Br)I", "C[C@H]1CCCO1"]:
         assert canonical(canonical(x)) == canonical(x)
     assert "@" not in properties.scaffold_text("C[C@H]1CCCO1")
+
+
+def test_pattern_slicers():
+    """Bonds by pattern, several patterns or a function; round trips as with named slicers, and an error for what is no pattern."""
+    mol = parse("CC(=O)NCc1ccccc1")
+    assert safe.find_cuts(mol, "[#6]-!@[N;H1]") == [(1, 3), (3, 4)] and safe.find_cuts(mol, "C-!@c") == [(4, 5)]
+    assert safe.find_cuts(mol, ["C-!@c", "C=O"]) == [(1, 2), (4, 5)] and safe.find_cuts(mol, "[!R]-[R]") == [(4, 5)]
+    assert safe.find_cuts(mol, lambda m: [(5, 4)]) == [(4, 5)] and len(safe.find_cuts(mol, "c:@c")) == 6
+    for s in ("[#6]-!@[N;H1]", ["C-!@c", "C-N"]):
+        assert canonical(safe.decode(safe.encode("CC(=O)NCc1ccccc1", s))) == canonical("CC(=O)NCc1ccccc1")
+    for bad in ("no-slicer", "[Q]-C", ""):
+        with pytest.raises(safe.SAFEEncodeError):
+            safe.find_cuts(mol, bad)
+    with pytest.raises(safe.SAFEFragmentationError):
+        safe.find_cuts(mol, "Br-C")
