@@ -113,7 +113,8 @@ def leaves(nodes: DataFrame, runs: int) -> DataFrame:
     rows, found = nodes.filter("n > 0").select(roots.alias("path"), "node", "sig"), []
     for level in range(1, DEPTH + 1):
         paths = cut(_split(rows))
-        sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        # written, so that the join's sides are read plainly: a small one is broadcast by its size, a hot path is split as a skewed key
+        sizes = cut(paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
         sized = paths.join(sizes, "path")
         if level == DEPTH:
             found.append(sized)
