@@ -1,7 +1,7 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Each benchmark item is cut into windows of ``WINDOW`` characters, one each ``STEP``, so any run of ``WINDOW + STEP - 1``
-characters of an item holds one whole; a document holds a leak if a stretch of it is within the edit budget ``e`` (8 %
+characters of an item holds one whole, and into wider ones, on which as many edits may lie less evenly; a document holds a leak if a stretch of it is within the edit budget ``e`` (8 %
 of the window's length) of a window. By the q-gram lemma such a stretch shares at least
 ``m - q + 1 - q * e`` of the window's m - q + 1 q-grams, all on diagonals that differ by e at most. So the q-gram hits
 of a text are counted in diagonal bands that overlap by half, bands that reach the bound are kept as regions, and each
@@ -28,6 +28,9 @@ from .common import arrow_map, cut
 
 Q = 10
 WINDOW, STEP = 100, 25
+#: Wider windows of longer items; an item of up to ``REACH`` characters is a window itself. No window is longer.
+WIDE, WIDE_STEP = 160, 80
+REACH = WIDE + WIDE_STEP
 BUDGET = 0.08
 #: Characters of benchmark text that one index may hold; each stands in ``WINDOW / STEP`` windows.
 BLOCK_CHARS = 4_000_000
@@ -88,11 +91,11 @@ class Index:
 
 
 def windows(text: str) -> list[str]:
-    """The text, or overlapping windows of it if it is longer than one; the last ends with the text."""
+    """The text, if it is no longer than one window; else overlapping windows of either width, the last of each ending with the text. A text of up to ``REACH`` characters is its own wide one."""
     if len(text) <= WINDOW:
         return [text] if text else []
-    starts = [*range(0, len(text) - WINDOW, STEP), len(text) - WINDOW]
-    return [text[a : a + WINDOW] for a in starts]
+    each = lambda width, step: [text[a : a + width] for a in (*range(0, len(text) - width, step), len(text) - width)]
+    return (each(WIDE, WIDE_STEP) if len(text) > REACH else [text]) + each(WINDOW, STEP)
 
 
 def build_index(items: list[tuple[int, str]]) -> Index:
@@ -137,14 +140,14 @@ def regions(index: Index, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
     ok = index.gram[where] == h[at]
     at, where = at[ok], where[ok]
     last = np.cumsum(index.first[where + 1] - index.first[where])
-    half, span = half_band(index), (len(code) + WINDOW) // half_band(index) + 3
+    half, span = half_band(index), (len(code) + REACH) // half_band(index) + 3
     rest = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))] * 2
     total = int(last[-1]) if len(last) else 0
     for lo in range(0, total, HITS):
         n = np.arange(lo, min(lo + HITS, total))
         row = np.searchsorted(last, n, "right")
         entry = index.first[where[row] + 1] - (last[row] - n)
-        window, diagonal = index.window[entry].astype(np.int64), at[row] - index.place[entry] + WINDOW
+        window, diagonal = index.window[entry].astype(np.int64), at[row] - index.place[entry] + REACH
         ended = n[-1] + 1 == total
         far = int(at[np.searchsorted(last, n[-1] + 1, "right")]) if not ended else 0  # the position of the next hit
         found_w, found_d = [], []
@@ -153,8 +156,8 @@ def regions(index: Index, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
             both = np.concatenate([rest[shift][0], key])
             key, owner = np.unique(both, return_inverse=True)
             count = np.bincount(owner, weights=np.concatenate([rest[shift][1], first]), minlength=len(key)).astype(np.int64)
-            start = (key % span * 2 - shift) * half - WINDOW
-            open_ = np.zeros(len(key), dtype=bool) if ended else start + 2 * half + WINDOW >= far
+            start = (key % span * 2 - shift) * half - REACH
+            open_ = np.zeros(len(key), dtype=bool) if ended else start + 2 * half + REACH >= far
             rest[shift] = (key[open_], count[open_])
             good = ~open_ & (count >= index.need[key // span])
             found_w.append(key[good] // span)
@@ -235,7 +238,7 @@ def _chunk(index: Index, chunk: list[tuple[int, int, int, np.ndarray, int, int]]
         return
     half = half_band(index)
     sizes = [len(x[3]) for x in chunk]
-    starts = np.concatenate([[0], np.cumsum([-(-(n + WINDOW + Q) // (2 * half)) * 2 * half for n in sizes])])
+    starts = np.concatenate([[0], np.cumsum([-(-(n + REACH + Q) // (2 * half)) * 2 * half for n in sizes])])
     whole = np.full(starts[-1], 0x110000, dtype=np.uint32)
     for x, a in zip(chunk, starts, strict=False):
         whole[a : a + len(x[3])] = x[3]
