@@ -70,6 +70,74 @@ def test_text_helpers(spark):
         T.score_from_distance(F.lit(1), "cubic")
 
 
+def pair_ids(df):
+    return sorted((r["l"]["id"], r["r"]["id"]) for r in df.collect())
+
+
+#: Every rule and mix of rules over columns t, s, b.
+MIXES = [[similarity.EditRule("t")], [similarity.SetRule("s", 5)], [similarity.BitRule("b", 5)], [similarity.EditRule("t"), similarity.SetRule("s", 8)], [similarity.SetRule("s", 5), similarity.BitRule("b", 8)], [similarity.EditRule("t"), similarity.SetRule("s"), similarity.BitRule("b", 7)]]
+
+
+@pytest.mark.parametrize("cell", [similarity.CELL, 2])
+def test_join_with_repeated_rows(spark, monkeypatch, cell):
+    """Rows that are equal in all columns or in the compared ones, on either side or both; with tiny cells every key is heavy."""
+    monkeypatch.setattr(similarity, "CELL", cell)
+    monkeypatch.setattr(similarity.meet, "__defaults__", (cell,))
+    monkeypatch.setattr(similarity.edit_candidates, "__defaults__", (cell,))
+    schema = "id int, g string, t string, s array<string>, b array<bigint>"
+    one, same = ("g", "abcdefghijklmnopqrst", ["a", "b"], [7, 0]), ("g", "abcdefghijklmnopqrsX", ["b", "c"], [7, 1])
+    base = [one, same, ("g", "abcdefghijXlmnopqrst", ["b", "c", "x"], [3, 0]), ("h", *one[1:]), (None, *one[1:]), ("g", None, None, None), ("g", "", [], []), ("g", "short", ["a", None, "a"], [0, 0])]
+    rows = lambda times, at: spark.createDataFrame([(at, *r) if at else (i, *r) for i, r in enumerate(base) for _ in range(times)], schema)
+    repeats = [(rows(2, 0), rows(1, 0)), (rows(1, 0), rows(3, 0)), (rows(2, 5), rows(2, 0))]
+    for k, rules in enumerate(MIXES):
+        left, right = repeats[(k + cell) % 3]
+        want = pair_ids(similarity.brute_force(left, right, ["g"], rules))
+        assert want and pair_ids(similarity.similarity_join(left, right, ["g"], rules)) == want
+
+
+@pytest.mark.parametrize("column", ["t", "s", "b"])
+def test_join_under_skew(spark, monkeypatch, column):
+    """One prefix, one item or one bit that all rows share, in one group that holds nearly all rows."""
+    monkeypatch.setattr(similarity.meet, "__defaults__", (8,))
+    monkeypatch.setattr(similarity.edit_candidates, "__defaults__", (8,))
+    rng = random.Random(11)
+
+    def rows(n, at):
+        out = []
+        for i in range(n):
+            tail = "".join(rng.choice("ABC") for _ in range(rng.choice([4, 10, 11])))
+            items = ["all", *rng.sample([f"w{k}" for k in range(6)], rng.randint(0, 3))]
+            out.append((at + i, "g" if i % 20 else "h", "C" * 24 + tail, items, [1 | 1 << rng.randrange(6), rng.getrandbits(2)]))
+        return spark.createDataFrame(out, "id int, g string, t string, s array<string>, b array<bigint>")
+
+    left, right = rows(90, 0), rows(110, 1000)
+    rules = {"t": [similarity.EditRule("t")], "s": [similarity.SetRule("s", 6)], "b": [similarity.BitRule("b", 6)]}[column]
+    want = pair_ids(similarity.brute_force(left, right, ["g"], rules))
+    assert want and pair_ids(similarity.similarity_join(left, right, ["g"], rules)) == want
+
+
+def test_a_heavy_key_meets_in_cells(spark):
+    """A key with half of all rows is dealt to cells of a bounded size, and each pair of rows meets once."""
+    left = spark.range(400).select("id", F.when(F.col("id") < 200, 0).otherwise(F.col("id")).alias("k"))
+    right = spark.range(300).select(F.col("id").alias("rid"), F.when(F.col("id") < 150, 0).otherwise(F.col("id")).alias("k"))
+    met = similarity.meet(left, right, ["k"], "id", "rid", 16)
+    assert met.count() == met.distinct().count() == left.join(right, "k").count()
+    cells = met.filter("k = 0").groupBy(F.pmod(F.xxhash64("id"), F.lit(13)).alias("i"), F.pmod(F.xxhash64("rid"), F.lit(10)).alias("j")).count().collect()
+    assert len(cells) == 130 and max(r["count"] for r in cells) < 3 * 200 * 150 / 130
+
+
+def test_positions_spare_candidates(spark):
+    """The positional bound and the owner item leave a fraction of the pairs that share an item of their prefixes."""
+    rng = random.Random(4)
+    rows = [(i, "g", sorted({f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randint(8, 20))})) for i in range(300)]
+    df = spark.createDataFrame(rows, "__id long, g string, s array<string>")
+    items = F.col("s")
+    a, b = similarity._prefixes(df, df, ["g"], items, 8)
+    plain = a.join(b.select("g", "__key", F.col("__id").alias("rid")), ["g", "__key"]).count()
+    found = similarity.set_candidates(df, df, ["g"], items, 8)
+    assert found.count() == found.distinct().count() and 3 * found.count() < plain
+
+
 def test_arms_equal_brute_force(spark):
     rng = random.Random(2)
 
@@ -88,7 +156,7 @@ def test_arms_equal_brute_force(spark):
         return spark.createDataFrame(out, "id int, g string, t string, s array<string>, b array<bigint>")
 
     left, right = rows(60, 0), rows(60, 1000)
-    key = lambda df: sorted((r["l"]["id"], r["r"]["id"]) for r in df.collect())
+    key = pair_ids
     for rules in ([similarity.EditRule("t")], [similarity.SetRule("s", 8)], [similarity.BitRule("b", 9)], [similarity.EditRule("t"), similarity.SetRule("s"), similarity.BitRule("b", 7)]):
         want = key(similarity.brute_force(left, right, ["g"], rules))
         assert key(similarity.similarity_join(left, right, ["g"], rules)) == want
