@@ -1,16 +1,17 @@
-"""Robust fences and means that skip missing values, as aggregates."""
+"""Robust fences from exact quantiles, and means that skip missing values."""
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import finite, str_or_empty
 
-
-def quartiles(x: Column) -> Column:
-    """Exact linear quartiles, as an array of two."""
-    return F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))
+#: Relative size of the quantile sketches, and the distinct values of a bracket that may be read one by one.
+ACCURACY, MOST = 10_000, 20_000
 
 
 def number(c: Column) -> Column:
@@ -18,16 +19,120 @@ def number(c: Column) -> Column:
     return finite(c.try_cast("double"))
 
 
+@dataclass
+class _Open:
+    """A quantile that is looked for: its column, the ranks of its two order statistics, and two values that they lie between."""
+
+    column: str
+    share: float
+    low: int = 0
+    high: int = 0
+    weight: float = 0.0
+    lo: float | None = None
+    hi: float | None = None
+    #: values below and up to ``lo``, below and up to ``hi``
+    counts: tuple[int, int, int, int] = (0, 0, 0, 0)
+    found: float | None = None
+
+    def inside(self) -> Column:
+        """Values strictly between the two, or all while they are not known."""
+        x = F.col(self.column)
+        return x.isNotNull() if self.lo is None else (x > F.lit(self.lo)) & (x < F.lit(self.hi))
+
+    def settle(self, at_low: float, at_high: float) -> None:
+        self.found = at_low + (at_high - at_low) * self.weight
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...] = (0.25, 0.75), accuracy: int = ACCURACY, most: int = MOST) -> dict[str, list[float | None]]:
+    """Exact linear quantiles of double columns without NaN, nulls left out; None for a column without values.
+
+    Ranks are selected, nothing is sorted. A sketch of bounded size gives values near each quantile; a second pass counts
+    what lies below them, which tells for certain between which two the wanted ranks stand. More than ``most`` rows
+    strictly between these are narrowed by a sketch of their own; the rest are read. Rows equal to one of the two are
+    counted and never read, so ties are no load. Whatever the number of rows or of distinct values, no task and not the
+    driver holds more than the sketches and ``most`` values a quantile; ``df`` is read three times as a rule.
+    """
+    wanted = {(c, j): _Open(c, s) for c in columns for j, s in enumerate(shares)}
+    missing, known = list(wanted.values()), False
+    while missing:
+        marks = _marks(df, missing, accuracy, known)
+        if not known:
+            wanted = {k: w for k, w in wanted.items() if marks[id(w)]}
+            missing, known = list(wanted.values()), True
+            if not missing:
+                break
+        _bracket(df, missing, marks)
+        for w in missing:
+            if w.lo == w.hi or (w.low < w.counts[1] and w.high < w.counts[1]):
+                w.settle(w.lo, w.lo)
+            elif w.low >= w.counts[2]:
+                w.settle(w.hi, w.hi)
+            elif w.counts[2] == w.counts[1]:
+                w.settle(w.lo, w.hi)
+        _read(df, [w for w in missing if w.found is None and w.counts[2] - w.counts[1] <= most])
+        missing = [w for w in missing if w.found is None]
+    return {c: [w.found if (w := wanted.get((c, j))) else None for j in range(len(shares))] for c in columns}
+
+
+def _marks(df: DataFrame, missing: list[_Open], accuracy: int, known: bool) -> dict[int, list[float]]:
+    """Values near each quantile, the ends and the middle of what it is known to lie within; empty for a column without values.
+
+    The first time this also counts each column and so sets the ranks.
+    """
+    near, asked = 3 / accuracy, []
+    for w in missing:
+        # between ranks: the share itself while the count is unknown, then the ranks within the bracket
+        inside = max(w.counts[2] - w.counts[1], 1)
+        at = [w.share, w.share] if not known else [(w.low - w.counts[1] + 0.5) / inside, (w.high - w.counts[1] + 0.5) / inside]
+        asked.append([min(max(x, 0.0), 1.0) for x in (at[0] - 8 * near, at[0] - near, at[1] + near, at[1] + 8 * near)])
+    values = [F.when(w.inside(), F.col(w.column)) for w in missing]
+    row = df.agg(*[f for i, x in enumerate(values) for f in (F.count(x).alias(f"n{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}"), F.percentile_approx(x, asked[i], accuracy).alias(f"e{i}"))]).first()
+    out = {}
+    for i, w in enumerate(missing):
+        n = row[f"n{i}"]
+        if not known and n:
+            rank = w.share * (n - 1)
+            w.low = math.floor(rank)
+            w.high, w.weight = min(w.low + 1, n - 1), rank - w.low
+        out[id(w)] = sorted({*row[f"e{i}"], row[f"l{i}"], row[f"h{i}"], row[f"l{i}"] / 2 + row[f"h{i}"] / 2, *((w.lo, w.hi) if known else ())}) if n else []
+    return out
+
+
+def _bracket(df: DataFrame, missing: list[_Open], marks: dict[int, list[float]]) -> None:
+    """Narrow each quantile to the closest two of its marks, by exact counts below and up to each."""
+    row = df.agg(*[f for i, w in enumerate(missing) for j, m in enumerate(marks[id(w)]) for f in (F.count_if(F.col(w.column) < F.lit(m)).alias(f"b{i}_{j}"), F.count_if(F.col(w.column) <= F.lit(m)).alias(f"u{i}_{j}"))]).first()
+    for i, w in enumerate(missing):
+        at = marks[id(w)]
+        a = max(j for j in range(len(at)) if row[f"b{i}_{j}"] <= w.low)
+        b = min(j for j in range(len(at)) if row[f"u{i}_{j}"] > w.high)
+        w.lo, w.hi, w.counts = at[a], at[b], (row[f"b{i}_{a}"], row[f"u{i}_{a}"], row[f"b{i}_{b}"], row[f"u{i}_{b}"])
+
+
+def _read(df: DataFrame, ready: list[_Open]) -> None:
+    """Settle quantiles with few rows between their two values by reading these rows' values, counted by value."""
+    if not ready:
+        return
+    each = F.array(*[F.when(w.inside(), F.struct(F.lit(i).alias("i"), F.col(w.column).alias("x"))) for i, w in enumerate(ready)])
+    rows = df.select(F.explode(F.filter(each, lambda e: e.isNotNull())).alias("e")).groupBy("e.i", "e.x").agg(F.count(F.lit(1)).alias("n")).collect()
+    for i, w in enumerate(ready):
+        steps = [(w.lo, w.counts[1] - w.counts[0]), *sorted((r["x"], r["n"]) for r in rows if r["i"] == i), (w.hi, w.counts[3] - w.counts[2])]
+        upto, held = w.counts[0], []
+        for x, n in steps:
+            held += [x] * ((upto <= w.low < upto + n) + (upto <= w.high < upto + n))
+            upto += n
+        w.settle(held[0], held[-1])
+
+
 def upper_fences(df: DataFrame, wanted: dict[str, tuple[Column, float]]) -> DataFrame:
-    """One row with a column for each (values, fallback): q3 + 1.5 iqr, or the fallback with fewer than 4 values or no spread. One pass for all."""
+    """One row with a column for each (values, fallback): q3 + 1.5 iqr, or the fallback with fewer than 4 values or no spread. The quantiles are found at once; ``df`` is read several times."""
     a = df.select(*[number(x).alias(c) for c, (x, _) in wanted.items()])
-    a = a.agg(*[f for c in wanted for f in (quartiles(F.col(c)).alias(f"{c}__q"), F.count(c).alias(f"{c}__n"))])
+    quartiles, counts = exact_quantiles(a, list(wanted)), a.agg(*[F.count(c).alias(c) for c in wanted]).first()
 
-    def fence(c: str, fallback: float) -> Column:
-        q1, q3 = F.get(f"{c}__q", F.lit(0)), F.get(f"{c}__q", F.lit(1))
-        return F.when((F.col(f"{c}__n") < 4) | (q3 - q1 <= 0) | (q3 - q1).isNull(), F.lit(float(fallback))).otherwise(q3 + 1.5 * (q3 - q1)).alias(c)
+    def fence(c: str, fallback: float) -> float:
+        q1, q3 = quartiles[c]
+        return float(fallback) if counts[c] < 4 or q3 <= q1 else q3 + 1.5 * (q3 - q1)
 
-    return a.select(*[fence(c, fallback) for c, (_, fallback) in wanted.items()])
+    return df.sparkSession.range(1).select(*[F.lit(fence(c, fallback)).alias(c) for c, (_, fallback) in wanted.items()])
 
 
 def upper_fence(df: DataFrame, x: Column, fallback: float) -> DataFrame:
@@ -36,10 +141,11 @@ def upper_fence(df: DataFrame, x: Column, fallback: float) -> DataFrame:
 
 
 def two_sided_fences(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, q1, q3, iqr, lower_fence, upper_fence: a row a column from one pass; all null for a column without values."""
-    a = df.agg(*[quartiles(number(F.col(c))).alias(c) for c in columns])
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.get(c, F.lit(0)).alias("q1"), F.get(c, F.lit(1)).alias("q3")) for c in columns]))
-    q = a.select(rows.alias("r")).select("r.*").withColumn("iqr", F.col("q3") - F.col("q1"))
+    """column, q1, q3, iqr, lower_fence, upper_fence: a row a column; all null for a column without values. The quantiles are found at once; ``df`` is read several times."""
+    found = exact_quantiles(df.select(*[number(F.col(c)).alias(c) for c in columns]), columns)
+    number_of = lambda x: F.lit(x).cast("double")
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), number_of(q1).alias("q1"), number_of(q3).alias("q3")) for c, (q1, q3) in found.items()]))
+    q = df.sparkSession.range(1).select(rows.alias("r")).select("r.*").withColumn("iqr", F.col("q3") - F.col("q1"))
     return q.withColumn("lower_fence", F.col("q1") - 1.5 * F.col("iqr")).withColumn("upper_fence", F.col("q3") + 1.5 * F.col("iqr"))
 
 

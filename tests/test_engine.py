@@ -49,6 +49,31 @@ def test_fences(spark, values, want, one):
     assert stats.upper_fence(df, F.col("x"), 27).collect()[0]["fence"] == one
 
 
+@pytest.mark.parametrize("accuracy, most", [(10_000, 20_000), (20, 3)])
+def test_quantiles_of_ties_and_spans(spark, accuracy, most):
+    """Ties at the ranks, one value, two heavy values with the rank between them, wide spans; small sketches must narrow and widen."""
+    import duckdb
+
+    rng = random.Random(1)
+    columns = {"ties": [float(rng.randint(0, 5)) for _ in range(400)], "halves": [0.0] * 301 + [1.0] * 99, "border": [0.0] * 101 + [7.0] * 299, "wide": [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300) for _ in range(400)], "one": [3.5] * 400, "even": [i / 7 for i in range(400)], "none": [None] * 400, "few": [None] * 398 + [1.0, 2.0]}
+    df = spark.createDataFrame(list(zip(*columns.values(), strict=True)), ", ".join(f"{c} double" for c in columns)).repartition(5)
+    got = stats.exact_quantiles(df, list(columns), (0.25, 0.5, 0.75), accuracy, most)
+    for c, values in columns.items():
+        duck = duckdb.execute("SELECT [quantile_cont(x, 0.25), quantile_cont(x, 0.5), quantile_cont(x, 0.75)] FROM (SELECT unnest(?::DOUBLE[]) AS x)", [values]).fetchone()[0]
+        assert got[c] == pytest.approx(duck) if c != "none" else got[c] == [None] * 3
+
+
+def test_quantiles_of_many_distinct_values(spark):
+    """10 M distinct values: the exact ranks, and no plan that gathers all values in one aggregate."""
+    n = 10_000_000
+    df = spark.range(n).select(((F.col("id") * 7919) % 10_000_019).cast("double").alias("x"))
+    values = sorted(i * 7919 % 10_000_019 for i in range(n))
+    got = stats.exact_quantiles(df, ["x"])["x"]
+    for q, p in zip(got, (0.25, 0.75), strict=True):
+        k = int(p * (n - 1))
+        assert q == values[k] + (values[k + 1] - values[k]) * (p * (n - 1) - k)
+
+
 def test_outliers_keep_missing(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate([1.0, 2.0, 3.0, 4.0, 100.0, None, float("nan")])], "i int, x double").withColumn("y", F.lit(None).cast("double"))
     kept, dropped = outliers.split_outliers(df, ["x", "y"])
