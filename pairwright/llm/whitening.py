@@ -11,7 +11,8 @@ projects every row, and the covariance of the projections is measured against th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,33 +36,42 @@ def _factor(rows: np.ndarray) -> np.ndarray:
     return np.vstack([r, np.zeros((rows.shape[1] - len(r), rows.shape[1]))]) if len(r) < rows.shape[1] else r
 
 
+def folded(rows: DataFrame, first: Callable[[Iterator[pa.RecordBatch]], np.ndarray], join: Callable[[np.ndarray, np.ndarray], np.ndarray], empty: np.ndarray) -> np.ndarray:
+    """One array of a fixed size: ``first`` makes one of each partition's batches, and ``join`` joins two of them.
+
+    Partitions' arrays are joined in groups of ``FAN``, and what is left again, so that no task and not the driver holds more than a group.
+    """
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([first(batches).tobytes()], type=pa.binary())], names=["state"])
+
+    def merge(group: pa.Table) -> pa.Table:
+        states = [np.frombuffer(x).reshape(empty.shape) for x in group.column("state").to_pylist()]
+        return pa.table({"part": group.column("part")[:1], "state": pa.array([reduce(join, states, empty).tobytes()], type=pa.binary())})
+
+    states = cut(rows.mapInArrow(one, "state binary").withColumn("part", F.spark_partition_id()))
+    # one state a partition, numbered by it: each pass leaves one of FAN
+    parts = (states.agg(F.max("part")).first()[0] or 0) + 1
+    while parts > 1:
+        states = states.select(F.floor(F.col("part") / FAN).cast("int").alias("part"), "state").groupBy("part").applyInArrow(merge, "part int, state binary")
+        parts = -(-parts // FAN)
+    found = states.select("state").collect()  # one
+    return reduce(join, [np.frombuffer(r["state"]).reshape(empty.shape) for r in found], empty)
+
+
 def triangular_factor(distinct: DataFrame, n: int, sums: list[int]) -> np.ndarray:
     """R of the centred rows of ``distinct`` (x array<bigint>): rows = Q R with orthonormal Q, up to signs."""
     dim, total = len(sums), np.array(sums, dtype=np.int64)
 
-    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compress(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         r = np.zeros((dim, dim))
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 centred = (n * _entries(batch.slice(at, BLOCK)) - total) / n
                 r = _factor(np.vstack([r, centred]))
-        if r.any():
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes()], type=pa.binary())], names=["r"])
-
-    def merge(group: pa.Table) -> pa.Table:
-        r = np.zeros((dim, dim))
-        for one in group.column("r").to_pylist():
-            r = _factor(np.vstack([r, np.frombuffer(one).reshape(dim, dim)]))
-        return pa.table({"part": group.column("part")[:1], "r": pa.array([r.tobytes()], type=pa.binary())})
+        return r
 
-    factors = cut(distinct.select("x").mapInArrow(compress, "r binary").withColumn("part", F.spark_partition_id()))
-    # one factor a partition, numbered by it: each pass leaves one of FAN
-    parts = (factors.agg(F.max("part")).first()[0] or 0) + 1
-    while parts > 1:
-        factors = factors.select(F.floor(F.col("part") / FAN).cast("int").alias("part"), "r").groupBy("part").applyInArrow(merge, "part int, r binary")
-        parts = -(-parts // FAN)
-    found = factors.select("r").collect()  # at most one, dim x dim
-    return np.frombuffer(found[0]["r"]).reshape(dim, dim).copy() if found else np.zeros((dim, dim))
+    return folded(distinct.select("x"), compress, lambda a, b: _factor(np.vstack([a, b])), np.zeros((dim, dim)))
 
 
 def jacobi(r: np.ndarray, sweeps: int = 60) -> tuple[np.ndarray, np.ndarray]:
@@ -166,16 +176,38 @@ def project(rows: DataFrame, model: Whitening, most: int) -> DataFrame:
     return rows.mapInArrow(run, ddl + "deviation bigint, whitened array<double>")
 
 
-def identity_error(white: DataFrame, used: int) -> float | None:
-    """Largest absolute entry of the covariance of ``whitened`` (its first ``used`` entries) minus the identity; None without components.
+def moments(white: np.ndarray) -> np.ndarray:
+    """[n, mean, products of the centred rows] of a block, in one row a dimension: columns n, mean, products."""
+    mean = white.mean(axis=0) if len(white) else np.zeros(white.shape[1])
+    off = white - mean
+    return np.hstack([np.full((white.shape[1], 1), float(len(white))), mean[:, None], off.T @ off])
+
 
-    Covariances are Spark's own population ones, which centre before they multiply and merge partial results.
+def joined_moments(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Moments of two blocks together: their own products, and that of the distance of their means."""
+    n = a[0, 0] + b[0, 0]
+    if not n:
+        return a
+    far = b[:, 1] - a[:, 1]
+    mean = a[:, 1] + far * (b[0, 0] / n)
+    return np.hstack([np.full((len(a), 1), n), mean[:, None], a[:, 2:] + b[:, 2:] + np.outer(far, far) * (a[0, 0] * b[0, 0] / n)])
+
+
+def identity_error(distinct: DataFrame, model: Whitening, used: int) -> float | None:
+    """Largest absolute entry of the covariance of the first ``used`` whitened entries of ``distinct`` minus the identity; None without components.
+
+    The covariance is measured on the projected rows, each block centred by its own mean before it multiplies.
     """
     if not used:
         return None
-    at = [(i, j) for i in range(used) for j in range(i, used)]
-    row = white.agg(*[F.covar_pop(F.col("whitened")[i], F.col("whitened")[j]).alias(f"c{i}_{j}") for i, j in at]).first()
-    return max(abs(row[f"c{i}_{j}"] - (i == j)) for i, j in at)
+    white = project(distinct, model, used)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        blocks = (batch.column("whitened").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, used) for batch in batches)
+        return reduce(joined_moments, map(moments, blocks), np.zeros((used, used + 2)))
+
+    found = folded(white.select("whitened"), measure, joined_moments, np.zeros((used, used + 2)))
+    return float(np.abs(found[:, 2:] / found[0, 0] - np.eye(used)).max())
 
 
 def whiten(vectors: DataFrame, dim: int, scale: int, shift: int, most: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -190,7 +222,7 @@ def whiten(vectors: DataFrame, dim: int, scale: int, shift: int, most: int, id_c
     model = fit(distinct, dim)
     most = min(most, dim)
     used = min(most, model.rank)
-    error = identity_error(project(distinct, model, most), used)
+    error = identity_error(distinct, model, used)
     rows = vectors.filter(usable(F.col(vector_col), dim)).select(F.col(id_col).cast("bigint").alias("id"), whole_numbers(F.col(vector_col), scale, shift).alias("x"))
     shares = F.array(*[F.lit(float(e)) for e in model.explained[:most]])
     out = project(rows, model, most).select("id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
