@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it again: a lineage of one step, and sizes that later joins can trust.
+
+    For loops that join what they wrote before: a checkpoint keeps the plan's estimated size, which each join multiplies.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def arrow_map(df: DataFrame, fn: Callable[..., Iterator[dict] | dict], schema: str, rows: int = 1024) -> DataFrame:
     """``mapInArrow`` over slices of at most ``rows`` rows.
 

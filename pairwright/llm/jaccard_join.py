@@ -10,15 +10,17 @@ turns away among them, and runs are repeated until it is under 1 - ``RECALL``. A
 not split (near copies of one text) is compared block by block; no bucket is cut short.
 
 Within a leaf, members whose MinHash values agree in ``SKETCH`` of positions or more (five standard deviations below
-the threshold) become candidates, kept as spanning edges, never as all pairs. Each component of candidates is then
-brute-forced once on whole shingle sets: exact Jaccard, link counts, and components of exact links. Components over
-``BLOCK`` members are dealt out as pairs of blocks. Documents with equal shingle sets are one node throughout.
+the threshold) become candidates, kept as spanning edges with the number of partners each member saw, never as all
+pairs. A component of candidates whose members saw few partners, as in a chain of texts each a little like the next,
+has its candidate pairs listed (at most ``PAIRS`` rows a member) and verified one by one. A small or dense component is
+brute-forced once, those over ``BLOCK`` members as pairs of blocks. Either way whole shingle sets decide: exact Jaccard, link
+counts, and components of exact links. Documents with equal shingle sets are one node throughout.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from .shingles import POSITIONS, minhash, set_digest, shingle_set
 
 THRESHOLD = (4, 5)
 RECALL = 0.9999
-DEPTH, LIMIT, BLOCK = 3, 256, 256
+DEPTH, LIMIT, BLOCK, PAIRS = 3, 256, 256, 64
 SKETCH = 0.54
 
 
@@ -200,26 +202,57 @@ def _alike(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidate_edges(leaf_rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b: spanning edges of the pairs in each leaf whose MinHash values agree well enough."""
+def _by_leaf(leaf_rows: DataFrame, nodes: DataFrame, each: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]], names: tuple[str, ...]) -> DataFrame:
+    """Columns ``names``, bigint: what ``each`` makes of the members of a leaf (or of two blocks of a large one) and their MinHash values."""
     rows = in_blocks(leaf_rows, "size", "node", LIMIT).select("leaf", "i", "j", "node").join(nodes.select("node", "sig"), "node")
 
-    def each(table: pa.Table, bounds: np.ndarray) -> Iterator[dict]:
+    def run(table: pa.Table, bounds: np.ndarray) -> Iterator[dict]:
         node, sig = np.asarray(table["node"]), _sigs(table["sig"].to_pylist())
-        sizes = np.diff(bounds)
-        two = bounds[:-1][sizes == 2]
-        good = two[(sig[two] == sig[two + 1]).sum(axis=1) >= math.ceil(SKETCH * POSITIONS)]
-        a, b = [node[good]], [node[good + 1]]
-        for lo, hi in zip(bounds[:-1][sizes > 2], bounds[1:][sizes > 2], strict=True):
-            label = _spread(_alike(sig[lo:hi]))
-            own = np.flatnonzero(label != np.arange(hi - lo))
-            a.append(node[lo + own])
-            b.append(node[lo + label[own]])
-        yield {"a": np.concatenate(a), "b": np.concatenate(b)}
-
-    schema = "a bigint, b bigint"
+        made = [each(node[lo:hi], _alike(sig[lo:hi])) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True) if hi - lo > 1]
+        if made:
+            yield {name: np.concatenate(column) for name, column in zip(names, zip(*made, strict=True), strict=True)}
+
+    schema = ", ".join(f"{name} bigint" for name in names)
     dealt = rows.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j", "node")
-    return dealt.mapInArrow(_by_group(("leaf", "i", "j"), each, schema), schema).filter("a <> b").distinct()
+    return dealt.mapInArrow(_by_group(("leaf", "i", "j"), run, schema), schema)
+
+
+def candidate_edges(leaf_rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b, seen: each member that has a candidate in a leaf, the least member it is connected to there (or itself), and the partners seen, summed over leaves."""
+
+    def each(node: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, ...]:
+        seen = same.sum(axis=1) - 1
+        own = np.flatnonzero(seen)
+        return node[own], node[_spread(same)[own]], seen[own]
+
+    return _by_leaf(leaf_rows, nodes, each, ("a", "b", "seen")).groupBy("a", "b").agg(F.sum("seen").alias("seen"))
+
+
+def candidate_pairs(leaf_rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: the pairs that agree well enough in some leaf, each once. For members that see few partners."""
+
+    def each(node: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, ...]:
+        i, j = np.nonzero(np.triu(same, 1))
+        return np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+
+    return _by_leaf(leaf_rows, nodes, each, ("a", "b")).filter("a <> b").distinct()
+
+
+def linked_pairs(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose whole shingle sets are alike."""
+    sets = pairs.join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
+
+    def run(a: list, b: list, ta: list, tb: list) -> dict:
+        ok = [bool(linked([np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)])[0, 1]) for x, y in zip(ta, tb, strict=True)]
+        return {"a": [x for x, k in zip(a, ok, strict=True) if k], "b": [x for x, k in zip(b, ok, strict=True) if k]}
+
+    return arrow_map(sets.select("a", "b", "ta", "tb"), run, "a bigint, b bigint", rows=64)
+
+
+def _thin(edges: DataFrame, comps: DataFrame, sizes: DataFrame) -> DataFrame:
+    """comp of the candidate components over ``BLOCK`` members whose members saw at most ``PAIRS`` partners each, on average."""
+    seen = edges.select(F.col("a").alias("node"), "seen").join(comps, "node").groupBy("comp").agg(F.sum("seen").alias("seen"))
+    return sizes.filter(F.col("size") > BLOCK).join(seen, "comp").filter(F.col("seen") <= PAIRS * F.col("size")).select("comp")
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -308,21 +341,30 @@ def similarity_classes(documents: DataFrame, id_col: str = "doc_id", text_col: s
     digest = [F.col("node").alias("digest"), "check"]
     sets = rows.select(*digest, "doc_id", "th", "n", "sig").groupBy("digest", "check").agg(F.min("doc_id").alias("least"), kept.alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = cut(sets.withColumn("node", F.monotonically_increasing_id()))
-    edges = cut(candidate_edges(leaves(nodes, runs_for(recall)), nodes))
-    comps = connected_components(edges)
-    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    in_leaves = leaves(nodes, runs_for(recall))
+    edges = cut(candidate_edges(in_leaves, nodes))
+    comps = connected_components(edges.filter("a <> b"))
+    sizes = cut(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")))
+    thin = cut(_thin(edges, comps, sizes))
     members = nodes.select("node", "weight", "rep.doc_id", "rep.th").join(comps, "node").join(sizes, "comp")
     texts = base.withColumn("th", F.xxhash64("text"))
     told = members.select("node", "doc_id", "th").join(texts, members["doc_id"].eqNullSafe(texts["doc_id"]) & (members["th"] == texts["th"])).select("node", "text")
     # a member's set is made once and shipped to its blocks; its text goes no further than this
     tokens = cut(shingle_sets(told))
-    dealt = in_blocks(members.select("comp", "size", "node", "weight"), "size", "node", BLOCK).join(tokens, "node")
+    dense = members.select("comp", "size", "node", "weight").join(thin, "comp", "left_anti")
+    dealt = in_blocks(dense, "size", "node", BLOCK).join(tokens, "node")
     found = cut(verify(dealt.select("comp", "i", "j", "blocks", "own", "node", "weight", "tokens")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"), F.min(F.when(F.col("whole"), F.col("root"))).alias("root"))
     wide = found.filter(~F.col("whole"))
     if not wide.isEmpty():
         far = connected_components(wide.select(F.col("node").alias("a"), F.col("root").alias("b")))
         links = links.join(far.select("node", F.col("comp").alias("far")), "node", "left").select("node", "links", F.coalesce("root", "far").alias("root"))
+    if not thin.isEmpty():
+        few = comps.join(thin, "comp", "left_semi").select("node")
+        pairs = cut(linked_pairs(candidate_pairs(in_leaves.join(few, "node", "left_semi"), nodes), tokens))
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        counted = both.join(nodes.select(F.col("node").alias("b"), "weight"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("links"))
+        links = links.unionByName(counted.join(connected_components(pairs), "node").select("node", "links", F.col("comp").alias("root")))
     told = nodes.join(links, "node", "left").select("digest", "check", "least", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
     names = told.groupBy("root").agg(F.min("least").alias("class_id"))
     told = told.join(names, "root").select(F.col("digest").alias("node"), "check", "root", "class_id", (F.col("weight") - 1 + F.col("links")).alias("n_links"))

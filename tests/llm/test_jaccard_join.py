@@ -76,6 +76,26 @@ def test_large_group_in_blocks(spark, monkeypatch):
     assert got(spark, rows) == slow_classes(rows)
 
 
+def chain(rng, n, words=60, step=11):
+    """Texts of which each shares a stretch with the next: alike at some 0.6 to 0.7, never at 0.8."""
+    run = [f"c{rng.randint(0, 10**6)}" for _ in range(words + step * n)]
+    return [" ".join(run[k * step : k * step + words]) for k in range(n)]
+
+
+def test_a_chain_is_verified_by_its_pairs(spark, monkeypatch):
+    """A long component of texts that are not alike at 0.8, with some that are: few pairs are verified, and no link is lost."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 20)
+    rng = random.Random(8)
+    texts = chain(rng, 300)
+    texts += [t + " and more" for t in texts[100:140]] + texts[:3]  # near copies and copies inside the chain
+    rows = list(enumerate(texts))
+    verified = []
+    linked = jaccard_join.linked_pairs
+    monkeypatch.setattr(jaccard_join, "linked_pairs", lambda pairs, tokens: linked(verified.append(pairs.count()) or pairs, tokens))
+    assert got(spark, rows) == slow_classes(rows)
+    assert len(verified) == 1 and verified[0] < 6 * len(rows)
+
+
 def test_documents(spark, data):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     assert got(spark, rows) == slow_classes(rows)
