@@ -42,15 +42,16 @@ BASE = (
     Kind("access", r"AKIA[A-Z0-9]+", 0, 16, "AKIA"),
     Kind("hex", r"[0-9a-f]+", 0, 32),
 )
-#: Public formats of issued credentials.
+#: Public formats of issued credentials. What comes before a pattern's fixed part, and can start anywhere in a run, has a bounded
+#: length, so that a text costs time in proportion to its length: schemes of 31 characters, token headers of 256.
 ADDED = (
     Kind("github", r"gh[pousr]_[A-Za-z0-9]{36,}", holds="gh"),
     Kind("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", holds="xox"),
     Kind("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}", holds="k_live_"),
     Kind("google", r"AIza[A-Za-z0-9_-]{35}", holds="AIza"),
-    Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", holds="eyJ"),
+    Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,256}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", holds="eyJ"),
     Kind("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----", holds="PRIVATE KEY-----"),
-    Kind("url", r"[a-z][a-z0-9+]*://[A-Za-z0-9._-]+:[A-Za-z0-9._%+-]{6,}@", holds="://"),
+    Kind("url", r"[a-z][a-z0-9+]{0,30}://[A-Za-z0-9._-]+:[A-Za-z0-9._%+-]{6,}@", holds="://"),
 )
 KINDS = BASE + ADDED
 #: A value that this many distinct owners hold is a copied example.
@@ -103,27 +104,47 @@ def with_spans(df: DataFrame, text_col: str, out: str = "found", kinds: tuple[Ki
     return df.select(*have, F.concat(*[spans for _, spans in each]).alias(out))
 
 
-def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", kinds: tuple[Kind, ...] = KINDS, copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """doc_id and spans: array of (start, stop, rank, kind, hash, owners, repositories, live), by start and rank, a row per input row.
-
-    A repository is a document here and its owner is ``owner_col``; a null owner counts as one owner named ''. Hashes
-    are reduced to distinct (hash, owner, repository), then (hash, owner), before they meet by hash, so a value that
-    a third of all rows hold is summed where it is read first. A null text is empty and has no spans.
-    """
+def _rows(documents: DataFrame, id_col: str, text_col: str, owner_col: str, kinds: tuple[Kind, ...]) -> DataFrame:
+    """row, doc_id, owner, found of each row, written once with their row numbers: a second reading of a shuffled input could number its rows otherwise."""
     rows = documents.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
         F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"),
         F.monotonically_increasing_id().alias("row"),
     )
-    # written once with their row numbers: a second reading of a shuffled input could number its rows otherwise
-    own = cut(with_spans(rows, "t", "found", kinds).select("row", "doc_id", "owner", "found"))
-    each = own.select("row", "doc_id", "owner", F.explode("found").alias("x"))
-    held = each.select(F.col("x.hash").alias("hash"), "owner", "doc_id").distinct()
-    by_owner = held.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
-    by_hash = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
-    span = F.struct("x.start", "x.rank", "x.stop", "x.kind", "x.hash", "owners", "repositories", (F.col("owners") < copied_owners).alias("live"))
-    told = each.join(by_hash, F.col("x.hash") == F.col("hash")).groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(span)).alias("spans")).select("doc_id", "spans")
+    return cut(with_spans(rows, "t", "found", kinds).select("row", "doc_id", "owner", "found"))
+
+
+def _owned(own: DataFrame) -> DataFrame:
+    each = own.select("doc_id", "owner", F.explode("found.hash").alias("hash")).distinct()
+    by_owner = each.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
+    return by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
+
+
+def ownership(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
+    """hash, owners, repositories of each candidate value of a corpus.
+
+    A repository is a document here and its owner is ``owner_col``; a null owner counts as one owner named '', a null id
+    as one repository. Hashes are reduced to distinct (hash, owner, repository), then (hash, owner), before they meet by
+    hash, so a value that a third of all rows hold is summed where it is read first.
+    """
+    return _owned(_rows(corpus, id_col, text_col, owner_col, kinds))
+
+
+def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", kinds: tuple[Kind, ...] = KINDS, copied_owners: int = COPIED_OWNERS, owned: DataFrame | None = None) -> DataFrame:
+    """doc_id and spans: array of (start, stop, rank, kind, hash, owners, repositories, live), by start and rank, a row per input row.
+
+    Owners are counted in ``documents``, or are those of ``owned`` (an ``ownership`` of the corpus that the documents come
+    from; a value that it lacks has no other owner). A null text is empty and has no spans; a very long one is scanned
+    whole, in time that grows with its length. Repeated rows each give their row and count as one repository; an empty
+    table gives no rows; columns of the input other than the three named are not read, whatever their names.
+    """
+    own = _rows(documents, id_col, text_col, owner_col, kinds)
+    each = own.select("row", "doc_id", F.explode("found").alias("x"))
+    by_hash = (_owned(own) if owned is None else owned).withColumnRenamed("hash", "__hash")
+    owners, repositories = F.coalesce("owners", F.lit(1)).cast("bigint"), F.coalesce("repositories", F.lit(1)).cast("bigint")
+    span = F.struct("x.start", "x.rank", "x.stop", "x.kind", "x.hash", owners.alias("owners"), repositories.alias("repositories"), (owners < copied_owners).alias("live"))
+    told = each.join(by_hash, F.col("x.hash") == F.col("__hash"), "left").groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(span)).alias("spans")).select("doc_id", "spans")
     # rows without a candidate take no part in the join
     none = own.filter(F.size("found") == 0).select("doc_id", F.array().cast(told.schema["spans"].dataType).alias("spans"))
     return told.unionByName(none)
@@ -145,9 +166,12 @@ def digests(scanned: DataFrame) -> DataFrame:
     )
 
 
-def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", kinds: tuple[Kind, ...] = KINDS, copied_owners: int = COPIED_OWNERS, mask: str = "[SECRET]") -> DataFrame:
+def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", kinds: tuple[Kind, ...] = KINDS, copied_owners: int = COPIED_OWNERS, mask: str = "[SECRET]", corpus: DataFrame | None = None) -> DataFrame:
     """The table with each live candidate of its texts replaced by ``mask``; copied examples stay, and so do all rows and columns.
 
+    ``corpus``: the table, with the same columns, whose owners count; without it those of the documents do. Where copies were
+    dropped before, give the table from before, as an example whose copies are gone would look live.
+
     Overlapping spans are replaced as one. A column ``n_chars`` follows the new text where the text changed. Rows
     without a candidate pass as they are; the others meet their spans by (id, hash of the text), equal rows once.
     """
@@ -159,7 +183,8 @@ def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = some.select(F.struct("__id", "__th").alias("__key"), F.col(text_col).alias("__t"), F.col(owner_col).alias("__o"))
     ids = source.withColumn("__row", F.xxhash64("__key"))
     live = F.transform(F.filter("spans", lambda x: x["live"]), lambda x: F.struct(x["start"], x["stop"]))
-    spans = scan(ids, "__row", "__t", "__o", kinds, copied_owners).groupBy(F.col("doc_id").alias("__at")).agg(F.first(live).alias("__spans"))
+    owned = None if corpus is None else ownership(corpus.filter(reduce(lambda a, k: a | k.in_text(text), kinds, F.lit(False))), id_col, text_col, owner_col, kinds)
+    spans = scan(ids, "__row", "__t", "__o", kinds, copied_owners, owned).groupBy(F.col("doc_id").alias("__at")).agg(F.first(live).alias("__spans"))
     joined = some.withColumn("__at", F.xxhash64(F.struct("__id", "__th"))).join(spans, "__at", "left")
     merged = F.aggregate("__spans", F.array().cast("array<struct<start:bigint,stop:bigint>>"), _merge)
     joined = joined.withColumn("__spans", F.coalesce(merged, F.array().cast("array<struct<start:bigint,stop:bigint>>")))

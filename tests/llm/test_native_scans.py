@@ -316,3 +316,25 @@ def test_secret_edges(spark):
 
 def test_registry_names():
     assert all(re.match(r"op\d+_\w+$", k) for k in registry.queries())
+
+
+@pytest.mark.parametrize("run, tail", [("a", " http://x"), ("eyJ", "."), ("0f", "://"), ("a+1", "://")])
+def test_a_long_run_takes_linear_time(spark, run, tail):
+    """A megabyte that could start a match anywhere, and what would end it."""
+    import time
+
+    df = spark.createDataFrame([(1, run * (1_000_000 // len(run)) + tail, "a")], "doc_id bigint, text string, source string")
+    began = time.time()
+    assert secrets.scan(df).count() == 1
+    assert time.time() - began < 20  # a few seconds when the machine is idle; the quadratic forms took hours
+
+
+def test_odd_texts_are_scanned(spark):
+    """Null, empty, repeated and very long texts, null owners and ids, columns with the result's names."""
+    long = "word " * 100_000 + "token=abcdefgh12"
+    rows = [(1, None, "a"), (2, "", None), (3, long, "b"), (3, long, "b"), (None, "token=abcdefgh12", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumns({c: F.lit(1) for c in ("spans", "row", "found", "hash", "owners", "live")})
+    got = sorted(((r["doc_id"], [(x["start"], x["stop"], x["owners"], x["repositories"], x["live"]) for x in r["spans"]]) for r in secrets.scan(df).collect()), key=repr)
+    span = lambda at: [(at, at + 16, 2, 2, True)]
+    assert got == sorted([(1, []), (2, []), (3, span(500_000)), (3, span(500_000)), (None, span(0))], key=repr)
+    assert secrets.ownership(df.limit(0)).count() == 0

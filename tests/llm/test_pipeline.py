@@ -13,12 +13,12 @@ from pairwright.llm import decontaminate, registry, secrets, toxicity
 pipeline = pytest.importorskip("corpus_pipeline")
 
 
-def masked(texts):
-    """Live base spans masked, from plain regular expressions and counts of owners: {(id): (source, text)}."""
+def masked(texts, corpus):
+    """Live base spans masked, from plain regular expressions and counts of owners in the whole corpus: {(id): (source, text)}."""
     import re
 
     found, owners = {}, {}
-    for d, (source, t) in texts.items():
+    for d, (source, t) in corpus.items():
         spans = [(m.start(), m.end(), m[2]) for m in ASSIGN.finditer(t) if len(m[2]) >= 8]
         spans += [(m.start(), m.end(), m[0]) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
         spans += [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
@@ -49,7 +49,7 @@ def test_stages(spark, data):
     left = {d: left[d] for d, c, _ in slow_classes([(d, t) for d, (_, t) in left.items()]) if d == c}
     bench = [decontaminate.normal(r["text"]) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
     clean = {d: x for d, x in left.items() if not any(b in decontaminate.normal(x[1]) for b in bench)}
-    texts = masked(clean)
+    texts = masked(clean, rows)
     codec = reference(registry.RANKS)
     got = {r["doc_id"]: r for r in pipeline.run(spark, data).collect()}
     assert set(got) == set(texts)
@@ -68,6 +68,15 @@ def test_redaction(spark):
     assert secrets.redact(df.limit(0)).count() == 0
 
 
+def test_owners_of_dropped_copies_count(spark):
+    """A value of three owners in the corpus stays though one document is left; one of a single owner is masked; one that the corpus lacks as well."""
+    schema = "doc_id bigint, text string, source string, n_chars bigint"
+    corpus = spark.createDataFrame([(k, "token=copied-example", s, 20) for k, s in enumerate("abc")] + [(9, "token=only-here-once", "a", 20)], schema)
+    left = spark.createDataFrame([(0, "token=copied-example", "a", 20), (9, "token=only-here-once", "a", 20), (10, "token=new-and-unseen", "b", 20)], schema)
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(left, corpus=corpus).collect()} == {0: "token=copied-example", 9: "[SECRET]", 10: "[SECRET]"}
+    assert {r["text"] for r in secrets.redact(left).collect()} == {"[SECRET]"}
+
+
 def test_edges_pass_through(spark, data, tmp_path):
     """Nulls, repeated rows, empty and long texts, an empty table, and columns with the operators' own names."""
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, node string"
