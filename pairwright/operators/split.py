@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fragment_count, str_or_empty
+from ..schemas import with_row_index
 
 
 def group_sizes(df: DataFrame, group: str, index: str, within: list[str] | None = None) -> DataFrame:
@@ -20,7 +22,8 @@ def grouped_split(df: DataFrame, group: str, index: str, tenths_test: int = 1, w
 
     Taking groups by (size, first index) while they fit is a prefix sum over groups: sizes never fall, so after the
     first that doesn't fit none does. Groups of one size are one row of that sum first, and only the size at which
-    the sum crosses the limit is looked at group by group; so no task orders all groups.
+    the sum crosses the limit is looked at group by group, numbered over range partitions; so no task orders all groups
+    even where nearly all of them have one size.
     """
     keys = within or []
     sizes = group_sizes(df, group, index, within)
@@ -34,8 +37,10 @@ def grouped_split(df: DataFrame, group: str, index: str, tenths_test: int = 1, w
     ahead = ahead.select(*keys, "size", "k", F.least(fits, F.col("k")).alias("take"))
     placed = sizes.join(F.broadcast(ahead), [*keys, "size"])  # one row for each size of group
     whole = placed.filter((F.col("take") == F.col("k")) | (F.col("take") == 0)).select(*keys, group, (F.col("take") > 0).alias("__test"))
-    within_size = Window.partitionBy(*keys, "size").orderBy("first_idx")
-    some = placed.filter((F.col("take") > 0) & (F.col("take") < F.col("k"))).withColumn("__r", F.row_number().over(within_size)).select(*keys, group, (F.col("__r") <= F.col("take")).alias("__test"))
+    # the one size of a key at which only some groups fit: numbered by ranges, as it may hold nearly all groups
+    some = with_row_index(placed.filter((F.col("take") > 0) & (F.col("take") < F.col("k"))).select(*keys, group, "first_idx", "take"), [*keys, "first_idx"], "__r")
+    first = some.groupBy(*keys).agg(F.min("__r").alias("__0")) if keys else some.agg(F.min("__r").alias("__0"))
+    some = (some.join(first, keys) if keys else some.crossJoin(F.broadcast(first))).select(*keys, group, (F.col("__r") - F.col("__0") < F.col("take")).alias("__test"))
     return df.join(whole.unionByName(some), [*keys, group], "left").withColumn(out, F.when(F.coalesce("__test", F.lit(False)), "test").otherwise("train")).drop("__test")
 
 
@@ -71,19 +76,49 @@ def first_rows(df: DataFrame, n: int, index: str = "row_idx") -> DataFrame:
     return df.filter(F.col(index) < n) if n else df
 
 
-def seeded_shuffle(df: DataFrame, seed: int, index: str = "id", driver_rows: int = 5_000_000) -> DataFrame:
-    """Rows renumbered 0..n-1 by a seeded permutation of their index.
+#: Rounds of the permutation, the prime that its round function counts by, and the steps a walk back into range may take.
+ROUNDS, PRIME, WALK = 6, (1 << 31) - 1, 64
 
-    Up to ``driver_rows`` rows the permutation is that of Python's Mersenne Twister shuffle, made on the driver and
-    joined by position; beyond that, rows are numbered in the order of a seeded hash of the index.
+
+def round_keys(seed: int) -> list[tuple[int, int]]:
+    """(shift, factor) of each round, from the seed alone."""
+    rng = random.Random(seed)
+    return [(rng.randrange(PRIME), rng.randrange(1, PRIME)) for _ in range(ROUNDS)]
+
+
+def permuted(index: Column, n: int, seed: int) -> Column:
+    """The place of row ``index`` of 0..n-1 in a seeded permutation, which each row computes alone.
+
+    A keyed Feistel network over pairs below a = ceil(sqrt(n)) permutes 0..a*a-1; a value of n or more is put through
+    again until it falls below n, which keeps it a permutation of 0..n-1. Of n values at most 2 sqrt(n) + 1 are out of
+    range, so a walk of more than ``WALK`` steps is all but impossible; it raises. n may be up to 2**61.
+    """
+    side = math.isqrt(n - 1) + 1 if n > 1 else 1
+    whole = lambda c: c.cast("bigint")
+
+    def network(v: Column) -> Column:
+        state = F.struct(whole(F.call_function("div", v, F.lit(side))).alias("l"), whole(v % side).alias("r"))
+        keys = F.array(*[F.struct(F.lit(s).cast("bigint").alias("s"), F.lit(f).cast("bigint").alias("f")) for s, f in round_keys(seed)])
+
+        def turn(x: Column, key: Column) -> Column:
+            shifted = (x["r"] + key["s"]) % PRIME
+            mixed = (shifted * shifted % PRIME) * key["f"] % PRIME
+            return F.struct(x["r"].alias("l"), whole((x["l"] + mixed) % side).alias("r"))
+
+        done = F.aggregate(keys, state, turn)
+        return done["l"] * side + done["r"]
+
+    steps = min(side * side - n, WALK)
+    walked = network(whole(index))
+    if steps:
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), walked, lambda v, _: F.when(v >= n, network(v)).otherwise(v))
+    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("the walk did not end")).cast("bigint"))
+
+
+def seeded_shuffle(df: DataFrame, seed: int, index: str = "id") -> DataFrame:
+    """Rows renumbered by a seeded permutation of their index, which must run from 0 without gaps.
+
+    Each row computes its place: nothing is sorted, joined or sent to the driver, and the same rule holds at every size.
+    The order is not that of Python's own shuffle with this seed.
     """
-    from ..schemas import with_row_index
-
-    n = df.count()
-    if n > driver_rows:
-        hashed = df.withColumn("__h", F.xxhash64(F.lit(seed), F.col(index)))
-        return with_row_index(hashed.withColumnRenamed(index, "__i"), ["__h", "__i"], index).drop("__h", "__i").select(df.columns)
-    order = list(range(n))
-    random.Random(seed).shuffle(order)
-    places = df.sparkSession.createDataFrame([(old, new) for new, old in enumerate(order)], "__old bigint, __new bigint")
-    return df.join(places, F.col(index) == F.col("__old")).withColumn(index, F.col("__new")).drop("__old", "__new")
+    return df.withColumn(index, permuted(F.col(index), max(df.count(), 1), seed))

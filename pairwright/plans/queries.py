@@ -198,6 +198,36 @@ def pair_by_bitmap_tanimoto(spark: SparkSession, d: str) -> DataFrame:
     return pairs.filter("l.vec_id < r.vec_id").select(F.col("l.vec_id").alias("l_id"), F.col("r.vec_id").alias("r_id"))
 
 
+def _bitmaps(spark: SparkSession, d: str) -> DataFrame:
+    """vec_id and the signs of an embedding as two words of 32 bits."""
+    word = lambda at: F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("bigint"), lambda n, i: n + F.when(F.get("embedding", i + at) > 0, F.pow(F.lit(2), i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    return table(spark, d, "embeddings").select("vec_id", F.array(word(0), word(32)).alias("bits"))
+
+
+_BIT_PARTS = f"bits AS (SELECT vec_id, {_BITS.format(0)} AS x, {_BITS.format(32)} AS y FROM embeddings), parts AS (SELECT * FROM part LEFT JOIN bits ON p_partkey = vec_id)"
+_BIT_RULE = "coalesce(bit_count(a.x | b.x) + bit_count(a.y | b.y) > 0 AND 10 * (bit_count(a.x & b.x)::BIGINT + bit_count(a.y & b.y)) >= 5 * (bit_count(a.x | b.x)::BIGINT + bit_count(a.y | b.y)), FALSE)"
+
+
+@query(f"WITH {_BIT_PARTS} SELECT a.p_partkey AS l_key, b.p_partkey AS r_key FROM parts a JOIN parts b ON a.p_brand = b.p_brand AND a.p_size <= 25 AND b.p_size > 25 WHERE ({_EDIT}) OR ({_SET}) OR {_BIT_RULE}")
+def pair_by_three_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Edit distance, token sets and bitmaps at once; most parts have no bitmap, which matches nothing."""
+    parts = table(spark, d, "part").select("p_partkey", "p_brand", "p_name", "p_size", F.array_distinct(F.split("p_name", " ")).alias("words"))
+    parts = parts.join(_bitmaps(spark, d), F.col("p_partkey") == F.col("vec_id"), "left").drop("vec_id")
+    rules = [similarity.EditRule("p_name"), similarity.SetRule("words", 5), similarity.BitRule("bits", 5)]
+    return _keys(similarity.similarity_join(parts.filter("p_size <= 25"), parts.filter("p_size > 25"), ["p_brand"], rules))
+
+
+_KIND = "len(list_intersect(string_split(a.p_type, ' '), string_split(b.p_type, ' ')))"
+
+
+@query(f"SELECT a.p_brand AS p_brand, a.p_type AS l_type, b.p_type AS r_type, count(*) AS n_pairs FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size <= 25 AND b.p_size > 25 WHERE 10 * {_KIND} >= 5 * (len(list_distinct(string_split(a.p_type, ' '))) + len(list_distinct(string_split(b.p_type, ' '))) - {_KIND}) OR 10 * levenshtein(a.p_type, b.p_type) <= greatest(length(a.p_type), length(b.p_type)) GROUP BY ALL")
+def pairs_of_repeated_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows without a key, of which many are equal on either side: each pair of rows counts."""
+    rows = table(spark, d, "part").select("p_brand", "p_type", "p_size", F.split("p_type", " ").alias("words"))
+    pairs = similarity.similarity_join(rows.filter("p_size <= 25").drop("p_size"), rows.filter("p_size > 25").drop("p_size"), ["p_brand"], [similarity.SetRule("words", 5), similarity.EditRule("p_type")])
+    return pairs.groupBy(F.col("l.p_brand").alias("p_brand"), F.col("l.p_type").alias("l_type"), F.col("r.p_type").alias("r_type")).agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
 @query("SELECT lang, count(*) FILTER (WHERE toxic = 1) AS n_toxic, count(*) FILTER (WHERE toxic = 0) AS n_clean FROM documents JOIN labels USING (doc_id) GROUP BY lang HAVING count(DISTINCT toxic) = 2 AND lang <> 'es'")
 def manifest_groups(spark: SparkSession, d: str) -> DataFrame:
     """Groups with both labels, one group name excluded."""
@@ -645,6 +675,32 @@ def split_with_orphans(spark: SparkSession, d: str) -> DataFrame:
     return split.grouped_split(rows, "o_custkey", "o_orderkey").select("o_orderkey", "split")
 
 
+_SHUFFLE_SEED = 11
+
+
+def _permutation_sql() -> str:
+    """The rounds of the permutation, nested, and a walk that goes on while the place is out of range."""
+
+    def network(source: str, v: str) -> str:
+        out = f"(SELECT o_orderkey, n, a, {v} // a AS l, {v} % a AS r FROM {source})"
+        for s, f in split.round_keys(_SHUFFLE_SEED):
+            once = f"((r + {s}) % {split.PRIME})"
+            out = f"(SELECT o_orderkey, n, a, r AS l, (l + ({once} * {once} % {split.PRIME}) * {f}::BIGINT % {split.PRIME}) % a AS r FROM {out})"
+        return f"SELECT o_orderkey, n, a, l * a + r AS v FROM {out}"
+
+    return f"""WITH RECURSIVE numbered AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders),
+sizes AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM orders),
+walk AS ({network("(SELECT * FROM numbered, sizes)", "i")} UNION ALL {network("(SELECT * FROM walk WHERE v >= n)", "v")})
+SELECT o_orderkey, v AS place FROM walk WHERE v < n"""
+
+
+@query(_permutation_sql())
+def seeded_permutation(spark: SparkSession, d: str) -> DataFrame:
+    """Each order's place in a seeded shuffle of the table by key."""
+    orders = with_row_index(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], "place")
+    return split.seeded_shuffle(orders, _SHUFFLE_SEED, "place").select("o_orderkey", "place")
+
+
 @query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'task1' ELSE 'task2' END AS task, row_number() OVER (PARTITION BY c_mktsegment = 'BUILDING' ORDER BY c_custkey) - 1 AS id FROM customer")
 def record_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids from 0 within each task and step, in source order."""

@@ -220,12 +220,29 @@ def test_fixture_split_and_shuffle(spark):
     rows = [(0, "g1"), (3, "g2"), (1, "g3"), (2, "g3"), *[(i, "g4") for i in range(4, 10)], *[(i, None) for i in range(10, 20)]]
     got = split.grouped_split(spark.createDataFrame(rows, "i int, g string"), "g", "i").filter("split = 'test'").collect()
     assert {r["g"] for r in got} == {"g1", "g2"}
-    df = spark.createDataFrame([(i, f"r{i}") for i in range(20)], "id bigint, v string")
-    order = list(range(20))
-    random.Random(5).shuffle(order)
-    assert [r["v"] for r in split.seeded_shuffle(df, 5).orderBy("id").collect()] == [f"r{i}" for i in order]
-    hashed = split.seeded_shuffle(df, 5, driver_rows=3)
-    assert sorted(r["id"] for r in hashed.collect()) == list(range(20))
+
+
+def test_shuffle_is_a_permutation_at_every_size(spark):
+    for n in (1, 2, 3, 5, 17, 100, 101, 1000, 20_011):
+        df = spark.range(n).select("id", F.concat(F.lit("r"), "id").alias("v"))
+        one, again, other = ([r["id"] for r in split.seeded_shuffle(df, seed).orderBy("v").collect()] for seed in (5, 5, 6))
+        assert sorted(one) == list(range(n)) and one == again
+        assert n < 100 or one != other
+    # neighbours are torn apart: the mean distance of two in a row is near a third of the range
+    place = {r["v"]: r["id"] for r in split.seeded_shuffle(df, 5).collect()}
+    assert 0.3 < sum(abs(place[f"r{i}"] - place[f"r{i + 1}"]) for i in range(n - 1)) / (n - 1) / n < 0.37
+    assert split.seeded_shuffle(df.limit(0), 5).count() == 0
+
+
+def test_split_where_all_groups_have_one_size(spark):
+    """Many groups of one row: the first tenth by index, and no window over all of them in the plan."""
+    df = spark.range(30_000).select(F.col("id").alias("i"), (F.col("id") % 3).alias("part"), F.concat(F.lit("g"), "id").alias("g"))
+    out = split.grouped_split(df, "g", "i")
+    assert [r[0] for r in out.filter("split = 'test'").agg(F.max("i")).collect()] == [2999] and out.filter("split = 'test'").count() == 3000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "first_idx ASC" not in plan
+    within = split.grouped_split(df, "g", "i", within=["part"]).filter("split = 'test'").groupBy("part").agg(F.count("*").alias("n"), F.max("i").alias("m")).collect()
+    assert sorted(tuple(r) for r in within) == [(0, 1000, 2997), (1, 1000, 2998), (2, 1000, 2999)]
 
 
 def test_lookups(spark):
