@@ -140,6 +140,29 @@ def upper_fence(df: DataFrame, x: Column, fallback: float) -> DataFrame:
     return upper_fences(df, {"fence": (x, fallback)})
 
 
+def weighted_upper_fence(weights: DataFrame, fallback: float) -> float:
+    """``upper_fence`` of values x that occur w times each, given by distinct x.
+
+    For values such as lengths, whose distinct number is at most the root of twice the characters they count; only
+    their sums go to the driver.
+    """
+    rows = sorted((float(r["x"]), r["w"]) for r in weights.select("x", "w").collect())
+    n = sum(w for _, w in rows)
+    if n < 4:
+        return float(fallback)
+
+    def at(share: float) -> float:
+        rank = share * (n - 1)
+        low, upto, held = math.floor(rank), 0, []
+        for x, w in rows:
+            held += [x] * ((upto <= low < upto + w) + (upto <= low + 1 < upto + w))
+            upto += w
+        return held[0] + (held[-1] - held[0]) * (rank - low)
+
+    q1, q3 = at(0.25), at(0.75)
+    return float(fallback) if q3 <= q1 else q3 + 1.5 * (q3 - q1)
+
+
 def two_sided_fences(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, q1, q3, iqr, lower_fence, upper_fence: a row a column; all null for a column without values. The quantiles are found at once; ``df`` is read several times."""
     found = exact_quantiles(df.select(*[number(F.col(c)).alias(c) for c in columns]), columns)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions.text import diff_json, fragment_diff, fragment_set
 from ..schemas import COMPARED_COLUMNS, cut, project, require_columns
+from .similarity import meet
 
 MAX_LENGTH, MAX_COUNT = 28, 4
 
@@ -54,9 +55,9 @@ def exclusive_fragments() -> Column:
     return F.concat(fragment_set(F.col("only_toxic_safe_fragments")), fragment_set(F.col("only_nontoxic_safe_fragments")))
 
 
-def exclusive_lengths(df: DataFrame) -> Column:
-    """Lengths of the exclusive fragments of both sides: the column ``only_lengths`` of pairs made by ``common_pairs``, or from the texts."""
-    return F.col("only_lengths") if "only_lengths" in df.columns else F.transform(exclusive_fragments(), F.length)
+def exclusive_lengths() -> Column:
+    """Lengths of the exclusive fragments of both sides."""
+    return F.transform(exclusive_fragments(), F.length)
 
 
 def fragment_facts(docs: DataFrame, text: str) -> DataFrame:
@@ -65,36 +66,81 @@ def fragment_facts(docs: DataFrame, text: str) -> DataFrame:
     return cut(docs.select(*[c for c in docs.columns if c != text], items.alias("items")))
 
 
+def _met(toxic: DataFrame, nontoxic: DataFrame, group: list[str], key: str, least: int = 0) -> DataFrame:
+    """(toxic_id, nontoxic_id) for each fragment longer than ``least`` that a pair has in common.
+
+    Sides meet by (group, fragment hash, length); a fragment that many documents hold is dealt to a grid of cells.
+    """
+    sides = [side.select(*group, F.col(key).alias(name), F.explode(F.filter("items", lambda x: x["n"] > least)).alias("item")).select(*group, name, "item.h", "item.n") for side, name in ((toxic, "toxic_id"), (nontoxic, "nontoxic_id"))]
+    return meet(sides[0], sides[1], [*group, "h", "n"], "toxic_id", "nontoxic_id").select("toxic_id", "nontoxic_id")
+
+
 def common_pairs(toxic: DataFrame, nontoxic: DataFrame, group: list[str], key: str) -> DataFrame:
-    """toxic_id, nontoxic_id, the group, n_common_safe, n_only_toxic_safe, n_only_nontoxic_safe, only_lengths of all pairs of one group with a fragment in common.
+    """toxic_id, nontoxic_id, the group, n_common_safe, n_only_toxic_safe, n_only_nontoxic_safe of all pairs of one group with a fragment in common.
 
-    Both sides are ``fragment_facts``. They meet by (group, fragment hash), which collects what a pair has in common,
-    so the comparison costs the join alone: hashes and lengths travel, never texts.
+    Both sides are ``fragment_facts``. What a pair has in common is a count that is summed before and after the shuffle;
+    no fragment travels with a pair, and what is exclusive follows from the sides' sizes.
     """
-    sides = [side.select(*group, F.col(key).alias(name), F.explode("items").alias("item")) for side, name in ((toxic, "toxic_id"), (nontoxic, "nontoxic_id"))]
-    met = sides[0].join(sides[1], [*group, "item"]).groupBy("toxic_id", "nontoxic_id").agg(F.collect_list("item").alias("common"))
-    a, b = toxic.select(F.col(key).alias("toxic_id"), *group, F.col("items").alias("a")), nontoxic.select(F.col(key).alias("nontoxic_id"), F.col("items").alias("b"))
+    met = _met(toxic, nontoxic, group, key).groupBy("toxic_id", "nontoxic_id").agg(F.count(F.lit(1)).cast("int").alias("n_common_safe"))
+    a = toxic.select(F.col(key).alias("toxic_id"), *group, F.size("items").alias("__a"))
+    b = nontoxic.select(F.col(key).alias("nontoxic_id"), F.size("items").alias("__b"))
     pairs = met.join(a, "toxic_id").join(b, "nontoxic_id")
-    only = F.concat(F.array_except("a", "common"), F.array_except("b", "common"))
-    n = F.size("common")
-    return pairs.select("toxic_id", "nontoxic_id", *group, n.alias("n_common_safe"), (F.size("a") - n).alias("n_only_toxic_safe"), (F.size("b") - n).alias("n_only_nontoxic_safe"), F.transform(only, lambda x: x["n"]).alias("only_lengths"))
+    return pairs.select("toxic_id", "nontoxic_id", *group, "n_common_safe", (F.col("__a") - F.col("n_common_safe")).alias("n_only_toxic_safe"), (F.col("__b") - F.col("n_common_safe")).alias("n_only_nontoxic_safe"))
+
+
+def length_weights(pairs: DataFrame, toxic: DataFrame, nontoxic: DataFrame, group: list[str], key: str) -> DataFrame:
+    """x, w: each length and the number of exclusive fragments of that length over ``pairs``, all pairs that ``common_pairs`` gives.
+
+    Counted without going through the pairs' fragments: each document's lengths once for each pair that it is in, less
+    two for each fragment that a pair has in common, of which a fragment held by i toxic and j other documents makes i x j.
+    """
+    sides = []
+    for side, name in ((toxic, "toxic_id"), (nontoxic, "nontoxic_id")):
+        times = pairs.groupBy(F.col(name).alias(key)).agg(F.count(F.lit(1)).alias("t"))
+        sides.append(side.select(key, F.explode("items.n").alias("x")).groupBy(key, "x").agg(F.count(F.lit(1)).alias("c")).join(times, key).select("x", (F.col("c") * F.col("t")).alias("w")))
+    held = [side.select(*group, F.explode("items").alias("i")).groupBy(*group, "i").agg(F.count(F.lit(1)).alias(c)) for side, c in ((toxic, "ca"), (nontoxic, "cb"))]
+    shared = held[0].join(held[1], [*group, "i"]).select(F.col("i.n").alias("x"), (-2 * F.col("ca") * F.col("cb")).alias("w"))
+    return sides[0].unionByName(sides[1]).unionByName(shared).groupBy("x").agg(F.sum("w").alias("w")).filter("w > 0")
+
+
+def without_long_pairs(pairs: DataFrame, toxic: DataFrame, nontoxic: DataFrame, group: list[str], key: str, most: float) -> DataFrame:
+    """The rows of ``pairs`` without an exclusive fragment of more than ``most`` characters.
+
+    A pair has none if each side's long fragments are as many as the long ones in common; only these few meet again.
+    """
+    met = _met(toxic, nontoxic, group, key, most).groupBy("toxic_id", "nontoxic_id").agg(F.count(F.lit(1)).alias("__c"))
+    long = lambda side, name, out: side.select(F.col(key).alias(name), F.size(F.filter("items", lambda x: x["n"] > most)).alias(out)).filter(F.col(out) > 0)
+    out = pairs.join(long(toxic, "toxic_id", "__a"), "toxic_id", "left").join(long(nontoxic, "nontoxic_id", "__b"), "nontoxic_id", "left").join(met, ["toxic_id", "nontoxic_id"], "left")
+    none = F.lit(0)
+    same = (F.coalesce("__a", none) == F.coalesce("__c", none)) & (F.coalesce("__b", none) == F.coalesce("__c", none))
+    return out.filter(same).drop("__a", "__b", "__c")
+
+
+def tukey_length_pairs(pairs: DataFrame, toxic: DataFrame, nontoxic: DataFrame, group: list[str], key: str, fallback: int = MAX_LENGTH) -> DataFrame:
+    """Core pairs of ``pairs`` without an exclusive fragment longer than the upper fence of all exclusive lengths, with that ``fence``.
+
+    ``pairs`` is the written result of ``common_pairs`` on the same sides. A pair whose sides are equal has no exclusive
+    fragment, so the lengths of all pairs are those of the core pairs.
+    """
+    fence = stats.weighted_upper_fence(length_weights(pairs, toxic, nontoxic, group, key), fallback - 1)
+    return without_long_pairs(conserved_core(pairs), toxic, nontoxic, group, key, fence).withColumn("fence", F.lit(fence))
 
 
 def fixed_thresholds(df: DataFrame, length: int = MAX_LENGTH, count: int = MAX_COUNT) -> DataFrame:
     """Without pairs that have an exclusive fragment of ``length`` characters or more, or more than ``count`` on a side."""
-    long = F.exists(exclusive_lengths(df), lambda n: n >= length)
+    long = F.exists(exclusive_lengths(), lambda n: n >= length)
     return df.filter(~long & (F.col("n_only_toxic_safe") <= count) & (F.col("n_only_nontoxic_safe") <= count))
 
 
 def token_lengths(df: DataFrame) -> DataFrame:
     """x: lengths of all exclusive fragments of all rows and both sides."""
-    return df.select(F.explode(exclusive_lengths(df)).alias("x"))
+    return df.select(F.explode(exclusive_lengths()).alias("x"))
 
 
 def tukey_length(df: DataFrame, fallback: int = MAX_LENGTH, keep_fence: bool = False) -> DataFrame:
     """Without pairs that have an exclusive fragment longer than the upper fence of all lengths. The rows are read twice: ``cut`` them first."""
     fence = stats.upper_fence(token_lengths(df), F.col("x"), fallback - 1)
-    out = df.crossJoin(F.broadcast(fence)).filter(~F.exists(exclusive_lengths(df), lambda n: n > F.col("fence")))  # one row
+    out = df.crossJoin(F.broadcast(fence)).filter(~F.exists(exclusive_lengths(), lambda n: n > F.col("fence")))  # one row
     return out if keep_fence else out.drop("fence")
 
 

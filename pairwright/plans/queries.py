@@ -84,12 +84,21 @@ def compared(spark: SparkSession, d: str) -> DataFrame:
     return fragments.compare(labelled_pairs(spark, d))
 
 
-def counted(spark: SparkSession, d: str) -> DataFrame:
-    """The same pairs with counts and lengths alone, for filters that need no text."""
+def facts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Fragment hashes and lengths of toxic and of other documents, written once; nothing after it reads a text."""
     labels = table(spark, d, "labels").select("doc_id", "toxic")
-    facts = fragments.fragment_facts(table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "lang", "text").join(labels, "doc_id"), "text")
-    pairs = fragments.common_pairs(facts.filter("toxic = 1"), facts.filter("toxic = 0"), ["lang"], "doc_id")
-    return pairs.withColumnsRenamed({"toxic_id": "toxic_smiles", "nontoxic_id": "nontoxic_smiles"})
+    both = fragments.fragment_facts(table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "lang", "text").join(labels, "doc_id"), "text")
+    return both.filter("toxic = 1"), both.filter("toxic = 0")
+
+
+def counted(sides: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """The same pairs with counts alone, for filters that need no text."""
+    return fragments.common_pairs(*sides, ["lang"], "doc_id")
+
+
+def without_long(spark: SparkSession, d: str) -> DataFrame:
+    sides = facts(spark, d)
+    return fragments.tukey_length_pairs(cut(counted(sides)), *sides, ["lang"], "doc_id")
 
 
 def with_texts(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
@@ -97,7 +106,7 @@ def with_texts(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
     docs = table(spark, d, "documents")
     left = docs.select(F.col("doc_id").alias("toxic_smiles"), F.col("text").alias("toxic_safe"))
     right = docs.select(F.col("doc_id").alias("nontoxic_smiles"), F.col("text").alias("nontoxic_safe"))
-    out = pairs.select(F.lit("documents").alias("dataset_name"), F.col("lang").alias("endpoint"), "toxic_smiles", "nontoxic_smiles").join(left, "toxic_smiles").join(right, "nontoxic_smiles")
+    out = pairs.select(F.lit("documents").alias("dataset_name"), F.col("lang").alias("endpoint"), F.col("toxic_id").alias("toxic_smiles"), F.col("nontoxic_id").alias("nontoxic_smiles")).join(left, "toxic_smiles").join(right, "nontoxic_smiles")
     return out.withColumns({c: F.col(c).cast("string") for c in ("toxic_smiles", "nontoxic_smiles")})
 
 
@@ -123,7 +132,7 @@ def fragment_diff_json(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH " + _FRAGS + "SELECT toxic_id, clean_id FROM core")
 def conserved_core(spark: SparkSession, d: str) -> DataFrame:
-    return fragments.conserved_core(counted(spark, d)).select(*_ids())
+    return fragments.conserved_core(counted(facts(spark, d))).select("toxic_id", F.col("nontoxic_id").alias("clean_id"))
 
 
 @query("WITH " + _FRAGS + "SELECT toxic_id, clean_id FROM core WHERE len(list_filter(list_concat(only_a, only_b), lambda x: length(x) >= 300)) = 0 AND len(only_a) <= 40 AND len(only_b) <= 40")
@@ -138,13 +147,12 @@ _LENGTH = ", lens AS (SELECT length(unnest(list_concat(only_a, only_b))) AS x FR
 
 @query("WITH " + _FRAGS + _LENGTH + " SELECT toxic_id, clean_id, fence FROM kept, long")
 def filter_tukey_length(spark: SparkSession, d: str) -> DataFrame:
-    core = cut(fragments.conserved_core(counted(spark, d)))
-    return fragments.tukey_length(core, keep_fence=True).select(*_ids(), "fence")
+    return without_long(spark, d).select("toxic_id", F.col("nontoxic_id").alias("clean_id"), "fence")
 
 
 @query("WITH " + _FRAGS + _LENGTH + ", ca AS " + _FENCE.replace("{F}", "4.0::DOUBLE").replace("{S}", "(SELECT len(only_a) AS x FROM kept)") + ", cb AS " + _FENCE.replace("{F}", "4.0::DOUBLE").replace("{S}", "(SELECT len(only_b) AS x FROM kept)") + " SELECT toxic_id, clean_id FROM kept, ca, cb WHERE len(only_a) <= ca.fence AND len(only_b) <= cb.fence")
 def filter_tukey_counts(spark: SparkSession, d: str) -> DataFrame:
-    return fragments.filter_pairs(counted(spark, d)).select(*_ids())
+    return fragments.tukey_counts(cut(without_long(spark, d))).select("toxic_id", F.col("nontoxic_id").alias("clean_id"))
 
 
 @query("WITH " + _FRAGS + "SELECT toxic_id, clean_id, CASE WHEN len(only_a) = 1 THEN 'single_step' ELSE 'multi_step' END AS step_one, CASE WHEN len(only_a) = 1 AND len(only_b) = 1 THEN 'single_step' ELSE 'multi_step' END AS step_two FROM pairs")
@@ -356,7 +364,7 @@ def group_split_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def qa_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Filtered pairs with row numbers, named after an endpoint of the Tox21 panel."""
-    kept = fragments.compare(with_texts(spark, d, fragments.filter_pairs(counted(spark, d))))
+    kept = fragments.compare(with_texts(spark, d, fragments.tukey_counts(cut(without_long(spark, d)))))
     return with_row_index(kept.withColumn("endpoint", F.lit("tox21_NR-AR")), ["toxic_smiles", "nontoxic_smiles"])
 
 

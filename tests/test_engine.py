@@ -274,14 +274,25 @@ def test_filters_by_counts_and_by_texts(spark):
     rng = random.Random(8)
     docs = spark.createDataFrame([(i, rng.choice("xy"), i % 3 == 0, ".".join(rng.choice("abcdefgh") * rng.choice((1, 1, 1, 2, 9)) for _ in range(rng.randint(1, 7)))) for i in range(60)], "id bigint, g string, bad boolean, text string")
     facts = fragments.fragment_facts(docs, "text")
-    short = fragments.common_pairs(facts.filter("bad"), facts.filter("NOT bad"), ["g"], "id")
+    sides = (facts.filter("bad"), facts.filter("NOT bad"), ["g"], "id")
+    short = fragments.common_pairs(*sides)
     a, b = docs.filter("bad").select("g", F.col("id").alias("toxic_id"), F.col("text").alias("toxic_safe")), docs.filter("NOT bad").select("g", F.col("id").alias("nontoxic_id"), F.col("text").alias("nontoxic_safe"))
     texts = a.join(b, "g").select(F.lit("d").alias("dataset_name"), F.col("g").alias("endpoint"), F.col("toxic_id").cast("string").alias("toxic_smiles"), F.col("nontoxic_id").cast("string").alias("nontoxic_smiles"), "toxic_safe", "nontoxic_safe")
     long = fragments.compare(texts)
     ids = lambda df: sorted((int(r[0]), int(r[1])) for r in df.collect())
-    for f in (fragments.conserved_core, lambda d: fragments.filter_pairs(d), lambda d: fragments.filter_pairs(d, fixed=True, length=3, count=2), lambda d: fragments.tukey_length(fragments.conserved_core(d))):
-        want = ids(f(long).select("toxic_smiles", "nontoxic_smiles"))
-        assert ids(f(short).select("toxic_id", "nontoxic_id")) == want and want
+    core = fragments.conserved_core
+    fixed = lambda d: d.filter("n_only_toxic_safe <= 2 AND n_only_nontoxic_safe <= 2")
+    same = (
+        (core, core),
+        (fragments.filter_pairs, lambda d: fragments.tukey_counts(fragments.tukey_length_pairs(d, *sides))),
+        (lambda d: fragments.filter_pairs(d, fixed=True, length=3, count=2), lambda d: fixed(fragments.without_long_pairs(core(d), *sides, 2))),
+        (lambda d: fragments.tukey_length(core(d)), lambda d: fragments.tukey_length_pairs(d, *sides)),
+    )
+    for by_text, by_count in same:
+        want = ids(by_text(long).select("toxic_smiles", "nontoxic_smiles"))
+        assert ids(by_count(short).select("toxic_id", "nontoxic_id")) == want and want
+    weights = {r["x"]: r["w"] for r in fragments.length_weights(short, *sides).collect()}
+    assert weights == {r["x"]: r["n"] for r in fragments.token_lengths(core(long)).groupBy("x").agg(F.count("*").alias("n")).collect()}
 
 
 def test_texts_against_python(spark):
