@@ -30,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
     add("split", *io, ("--smiles-col", {}))
     routes = [(f"--{x}-input", {}) for x in ("train", "test", "unseen")]
     add("qa", *io, ("--tasks", {"default": "task1,task2,task3"}), ("--no-desc", {"action": "store_true"}), ("--seed", {"type": int}), ("--split", {"choices": ("train", "test", "all")}), ("--unseen", {"action": "store_true"}), ("--qa-set", {}), *routes)
-    numbers = [("--num-samples", {"type": int, "default": 0}), ("--batch-size", {"type": int, "default": 8}), ("--retries", {"type": int, "default": 3}), ("--sleep", {"type": float, "default": 0.25}), ("--temperature", {"type": float, "default": 0.7})]
+    numbers = [("--num-samples", {"type": int, "default": 0}), ("--batch-size", {"type": int, "default": 8}), ("--retries", {"type": int, "default": 3}), ("--sleep", {"type": float, "default": 0.25}), ("--temperature", {"type": float, "default": 0.7}), ("--callers", {"type": int, "default": 8}), ("--rate", {"type": float, "default": 0.0}), ("--keep-every", {"type": int, "default": 512})]
     add("infer", *io, ("--model", {"required": True}), ("--client", {"required": True, "help": "module:function that makes a client"}), ("--task", {"required": True}), ("--step", {"default": "single"}), ("--rows", {}), ("--reset", {"action": "store_true"}), *numbers)
     add("evaluate", *io, ("--task", {"required": True}), ("--step", {"default": "single"}), ("--rows", {}))
     return p
@@ -106,17 +106,19 @@ RECORDS = "model string, task string, step string, id bigint, dataset_name strin
 
 
 def _infer(spark: SparkSession, a: argparse.Namespace, backend, rows: DataFrame | None) -> DataFrame:
-    """Answers of the questions that the output has no answer to yet, added to it; ``--reset`` starts anew."""
+    """Answers of the questions that the output has no answer to yet, added to it batch by batch; ``--reset`` starts anew. Gives the added records."""
     module, _, name = a.client.partition(":")
     factory = getattr(importlib.import_module(module), name)
     questions = files.read_jsonl(spark, a.input, "id bigint, question string, answer string, dataset_name string, endpoint string, source_index bigint")
-    before = files.read_jsonl(spark, a.output, RECORDS, allow_missing=True)
-    have = 0 if a.reset else before.count()
-    options = inference.Options(a.retries, a.sleep, a.batch_size, a.temperature)
-    out = inference.run_inference(questions, factory, a.model, a.task, files.normal_step(a.step), before if have else None, a.num_samples, options, backend, rows)
-    out = cut(out)  # answers are asked for once, before the output that they are added to changes
-    files.write_jsonl(out, a.output, mode=files.append_or_reset(have, a.reset, have > 0))
-    return out
+    before = cut(files.read_jsonl(spark, a.output, RECORDS, allow_missing=True))
+    before = before.limit(0) if a.reset else before
+    have = before.count()
+    options = inference.Options(a.retries, a.sleep, a.batch_size, a.temperature, a.callers, a.rate or None, a.keep_every)
+    modes = iter([files.append_or_reset(have, a.reset, have > 0)])
+    batches = inference.answer_in_batches(questions, lambda out: files.write_jsonl(out, a.output, mode=next(modes, "append")), factory, a.model, a.task, files.normal_step(a.step), before if have else None, a.num_samples, options, backend, rows)
+    if not batches:
+        return before.limit(0)
+    return files.read_jsonl(spark, a.output, RECORDS).join(before.select("id"), "id", "left_anti")
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -1,7 +1,8 @@
 """Model calls over question records: batches, retries, resume, and records of predictions.
 
-The client is a factory that each task calls for itself, so nothing that holds a connection is shipped. Tests and
-offline runs use ``ReplayClient``.
+The client is a factory that each task calls for itself, so nothing that holds a connection is shipped. Answers cost
+money, so they are kept as they come: ``answer_in_batches`` hands over each batch before it asks the next, and a run
+that is started again asks only what has no answer yet.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import exact_match, extract_answer
 from ..operators.lookup import resume
+from ..schemas import checkpoint_folder, cut, with_row_index
 from . import scoring
 
 _STEPWISE = ("answer", "step1_only_toxic_safe_fragments", "step1_reasoning", "step2_only_nontoxic_safe_fragments", "step2_reasoning", "step3_reasoning")
@@ -46,28 +49,36 @@ class Options:
     sleep: float = 0.25
     batch_size: int = 8
     temperature: float = 0.7
-
-
-class ReplayClient:
-    """Replies known beforehand; raises for others."""
-
-    def __init__(self, replies: dict[str, str]):
-        self.replies = replies
-
-    def complete(self, system: str, user: str, schema: dict | None, temperature: float) -> str:
-        return self.replies[user]
-
-
-def call(client, system: str, user: str, schema: dict, options: Options, pause: Callable[[float], None] = time.sleep) -> str:
-    """The reply, first with the schema and then without it; waits longer before each retry; ERROR text in the end."""
-    last: Exception | None = None
-    for k in range(options.retries):
-        for s in (schema, None):
-            try:
-                return client.complete(system, user, s, options.temperature)
-            except Exception as e:  # noqa: BLE001  any failure of a remote call is retried
-                last = e
+    #: tasks that ask at the same time, calls a second of all of them together (none: no limit), and questions whose answers are kept at once
+    callers: int = 8
+    rate: float | None = None
+    keep_every: int = 512
+
+    @property
+    def pause(self) -> float:
+        """Seconds that a task waits after each of its batches."""
+        return max(self.sleep, self.batch_size * self.callers / self.rate) if self.rate else self.sleep
+
+
+def call(client, system: str, user: str, schema: dict | None, options: Options, pause: Callable[[float], None] = time.sleep) -> str:
+    """The reply, or ERROR text after the last retry; each wait is longer than the one before.
+
+    A client that does not know the argument ``schema`` is asked without it; any other failure is only retried, as
+    asking in another form would be paid for twice.
+    """
+    last, k = None, 0
+    while k < options.retries:
+        try:
+            return client.complete(system, user, temperature=options.temperature, **({} if schema is None else {"schema": schema}))
+        except TypeError as e:
+            if schema is not None and "schema" in str(e):
+                schema = None
+                continue
+            last = e
+        except Exception as e:  # noqa: BLE001  any failure of a remote call is retried
+            last = e
         pause(options.sleep * (k + 1))
+        k += 1
     return f"ERROR: {last}"
 
 
@@ -83,7 +94,7 @@ def infer(questions: DataFrame, client_factory: Callable[[], object], task: str,
                 for at in range(0, len(frame), options.batch_size):
                     part = frame["question"].iloc[at : at + options.batch_size]
                     raw += pool.map(lambda q: call(client, system, q, schema, options), part)
-                    time.sleep(options.sleep)
+                    time.sleep(options.pause)
                 yield frame.assign(raw=raw)
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in questions.schema)
@@ -103,3 +114,21 @@ def run_inference(questions: DataFrame, client_factory: Callable[[], object], mo
     own = questions.filter(F.col("id") < limit) if limit else questions
     own = resume(own, done) if done is not None else own
     return scoring.score_predictions(prediction_records(infer(own, client_factory, task, options), model, task, step), task, step, backend, rows)
+
+
+def answer_in_batches(questions: DataFrame, write: Callable[[DataFrame], None], client_factory: Callable[[], object], model: str, task: str, step: str, done: DataFrame | None = None, limit: int = 0, options: Options = Options(), backend=None, rows: DataFrame | None = None) -> int:
+    """Ask what ``done`` has no answer to, ``options.keep_every`` questions at a time in the order of ids; the number of batches.
+
+    ``write`` gets the scored records of a batch once, and the next batch is asked after it returns, so a run that is
+    lost loses the batch in flight at most: started again with what was written as ``done``, it asks no other question
+    twice. Open questions are written to the shared folder by batch first, so each job reads its own batch alone.
+    """
+    own = questions.filter(F.col("id") < limit) if limit else questions
+    own = with_row_index(resume(own, done) if done is not None else own, ["id"], "__at")
+    folder = f"{checkpoint_folder(questions.sparkSession)}/questions-{uuid4().hex}"
+    own.withColumn("__batch", F.floor(F.col("__at") / options.keep_every)).drop("__at").write.partitionBy("__batch").parquet(folder)
+    batches = -(-own.count() // options.keep_every)
+    for k in range(batches):
+        part = questions.sparkSession.read.schema(questions.schema).parquet(f"{folder}/__batch={k}").repartition(options.callers, "id")
+        write(cut(run_inference(part, client_factory, model, task, step, options=options, backend=backend, rows=rows)))
+    return batches

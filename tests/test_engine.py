@@ -365,6 +365,71 @@ def test_descriptions(spark):
         descriptions.require_descriptions(descriptions.with_description(spark.createDataFrame([("zzz", "q")], "dataset_name string, endpoint string"))).collect()
 
 
+def _replay_client():
+    """A class made in a function travels to the workers by value; they can't import this module."""
+
+    class Client:
+        """Replies known beforehand, asked questions noted in a file; raises for others, and ends the task at a question of its own."""
+
+        def __init__(self, replies, log=None, fatal=None):
+            self.replies, self.log, self.fatal = replies, log, fatal
+
+        def complete(self, system, user, schema=None, temperature=0.0):
+            if user == self.fatal:
+                raise SystemExit("the machine is gone")
+            if self.log:
+                with open(self.log, "a") as f:
+                    f.write(user + "\n")
+            return self.replies[user]
+
+    return Client
+
+
+ReplayClient = _replay_client()
+
+
+def test_a_lost_run_keeps_its_answers(spark, tmp_path):
+    """A run that dies in its third batch and is started again: no question of a kept batch is asked twice, and all are answered."""
+    n, log, folder = 40, str(tmp_path / "log"), str(tmp_path / "out")
+    ask = spark.createDataFrame([(i, f"q{i}", '{"answer": "O5"}', "d", "e", i) for i in range(n)], "id bigint, question string, answer string, dataset_name string, endpoint string, source_index bigint")
+    replies = {f"q{i}": '{"answer": "O5"}' for i in range(n)}
+    options = inference.Options(retries=1, sleep=0.0, batch_size=2, callers=2, keep_every=8)
+    write = lambda out: out.write.mode("append").json(folder)
+    Client = ReplayClient
+    run = lambda client, done=None: inference.answer_in_batches(ask, write, client, "m", "task1", "single_step", done, options=options)
+    with pytest.raises(Exception):
+        run(lambda: Client(replies, log, "q19"))
+    kept = spark.read.json(folder)
+    assert sorted(r["id"] for r in kept.collect()) == list(range(16))
+    assert run(lambda: Client(replies, log), kept) == 3
+    assert sorted(r["id"] for r in spark.read.json(folder).collect()) == list(range(n))
+    asked = open(log).read().split()
+    assert set(asked) == set(replies) and all(asked.count(f"q{i}") == 1 for i in [*range(16), *range(24, n)])
+    assert run(lambda: Client(replies, log), spark.read.json(folder)) == 0
+
+
+def test_a_call_is_paid_for_once():
+    """Only a client without the schema argument is asked in another form; other failures are retried as they are."""
+    seen, waits = [], []
+
+    class Plain:
+        def complete(self, system, user, temperature):
+            seen.append("plain")
+            return "yes"
+
+    class Failing:
+        def complete(self, system, user, schema=None, temperature=0.0):
+            seen.append(schema)
+            raise TypeError("other") if len(seen) < 3 else RuntimeError("down")
+
+    options = inference.Options(retries=3, sleep=1.0)
+    assert inference.call(Plain(), "s", "u", {"a": 1}, options, waits.append) == "yes" and seen == ["plain"] and not waits
+    seen.clear()
+    assert inference.call(Failing(), "s", "u", {"a": 1}, options, waits.append) == "ERROR: down"
+    assert seen == [{"a": 1}] * 3 and waits == [1.0, 2.0, 3.0]
+    assert inference.Options(batch_size=8, callers=4, rate=16.0).pause == 2.0 and inference.Options(rate=None).pause == 0.25
+
+
 def test_questions_inference_and_summary(spark):
     rows = [(0, "ames", "", "CCO", "CCN", "C5.O5", "C5.N5", "O5", "N5"), (1, "", "", "a", "b", "c", "d", "e", "f"), (2, "ames", "", "CCCO", "CCCN", "C5.O5", "C5.N5", "O5", "N5.F")]
     pairs = spark.createDataFrame(rows, "row_idx bigint, dataset_name string, endpoint string, toxic_smiles string, nontoxic_smiles string, toxic_safe string, nontoxic_safe string, only_toxic_safe_fragments string, only_nontoxic_safe_fragments string")
@@ -375,14 +440,14 @@ def test_questions_inference_and_summary(spark):
     assert qa.skipped(pairs).collect()[0]["n_skipped"] == 1
     ask = qa.build_task(pairs, "task1").withColumn("id", F.col("source_index"))
     replies = {r["question"]: '{"answer": "O5"}' for r in ask.collect()}
-    options = inference.Options(retries=1, sleep=0.0)
-    got = inference.run_inference(ask, lambda: inference.ReplayClient(replies), "m", "task1", "single_step", options=options)
+    options, Client = inference.Options(retries=1, sleep=0.0), ReplayClient
+    got = inference.run_inference(ask, lambda: Client(replies), "m", "task1", "single_step", options=options)
     s = scoring.summarize(got, scoring.metric_keys("task1", "single_step")).collect()[0]
     assert (s["total"], s["correct"], s["fragment_EM"], s["fragment_EM_Acc"]) == (2, 2, 1.0, 100.0)
-    failed = inference.run_inference(ask, lambda: inference.ReplayClient({}), "m", "task1", "multi_step", options=options).collect()
+    failed = inference.run_inference(ask, lambda: Client({}), "m", "task1", "multi_step", options=options).collect()
     assert all(r["pred"] is None and r["raw"].startswith("ERROR:") and r["fragment_F1"] == 0 for r in failed)
     done = spark.createDataFrame([(0, "O5", "x")], "id bigint, pred string, raw string")
-    assert [r["id"] for r in inference.run_inference(ask, lambda: inference.ReplayClient(replies), "m", "task1", "single_step", done=done, options=options).collect()] == [2]
+    assert [r["id"] for r in inference.run_inference(ask, lambda: Client(replies), "m", "task1", "single_step", done=done, options=options).collect()] == [2]
     with pytest.raises(ValueError):
         scoring.metric_keys("task9", "single_step")
 
