@@ -1,17 +1,17 @@
 """Document fingerprints by Order MinHash, with DataFrame functions only.
 
 A text's k-mers are runs of ``K`` words, and equal k-mers of a text are told apart by their occurrence number. Each of
-the ``M`` components of a signature has ``L`` = 2 random orders of its own, hashed independently of all others; under
-each the minimal numbered k-mer is selected, the two are kept in the order in which they stand in the text, and that
-tuple is hashed. Two texts agree in a component if the same k-mers are minimal and also stand in the same order, so
+the ``M`` components of a signature has a random order of its own, hashed independently of all others; the ``L`` = 2
+least numbered k-mers of that order are selected, kept in the order in which they stand in the text, and that
+tuple is hashed. Two texts agree in a component if the same k-mers are least and also stand in the same order, so
 likeness falls both with the share of k-mers lost and with k-mers moved.
 
 K-mers are rows, so that hashes, minima and occurrence numbers are compiled code over primitive columns that can spill,
 and a text's length is bounded by nothing but a row's. Order j ranks numbered k-mers by level first, the number of hash words in a row whose bit
 j is set, and then by a hash. So all orders of a k-mer can be tested at once, and of a long text only the k-mers on
 the levels that its size asks for, ``PASS`` or more of an order's on average, reach the minima; every order is the
-same for all texts. That none passes, and the component is blank, has a chance below 1e-13 for an order, and none at
-all for texts of fewer than 2 * ``PASS`` k-mers.
+same for all texts. That fewer than two pass has a chance below 1e-12 for an order, and none at all for texts of fewer than
+2 * ``PASS`` k-mers; a component then holds one k-mer twice, as in a text of one k-mer, or is blank.
 """
 
 from __future__ import annotations
@@ -39,14 +39,16 @@ def _kmers(words: Column) -> Column:
     return F.arrays_zip(words.alias("a"), F.slice(words, F.lit(2), F.size(words)).alias("b"), F.slice(words, F.lit(3), F.size(words)).alias("c"))
 
 
-def _signature(found: Column, value: str, place: str) -> Column:
-    """The components of minima (j, value, place) in the order of j, as text."""
+def _signature(found: Column, side: str) -> Column:
+    """The components of the least k-mers (v, pos) of one side of ``found`` (j, t, e), as text."""
 
     def component(c: Column) -> Column:
-        a, b = F.get(found, c * 2), F.get(found, c * 2 + 1)
-        first, last = F.when(a[place] <= b[place], a[value]).otherwise(b[value]), F.when(a[place] <= b[place], b[value]).otherwise(a[value])
-        hashed = F.xxhash64(F.when(a[place] <= b[place], 0).otherwise(1), first, last).bitwiseAND(F.lit((1 << 4 * DIGITS) - 1))
-        return F.when(a[value].isNull() | b[value].isNull(), F.lit(BLANK)).otherwise(F.lpad(F.lower(F.hex(hashed)), DIGITS, "0"))
+        least = F.get(found, c)[side]
+        a = F.get(least, F.lit(0))
+        b = F.coalesce(F.get(least, F.lit(1)), a)
+        ahead = a["pos"] <= b["pos"]
+        hashed = F.xxhash64(F.when(ahead, 0).otherwise(1), F.when(ahead, a["v"]).otherwise(b["v"]), F.when(ahead, b["v"]).otherwise(a["v"])).bitwiseAND(F.lit((1 << 4 * DIGITS) - 1))
+        return F.when(a.isNull(), F.lit(BLANK)).otherwise(F.lpad(F.lower(F.hex(hashed)), DIGITS, "0"))
 
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(M - 1)), component), "")
 
@@ -78,8 +80,8 @@ def signatures(rows: DataFrame, place: list[str], row: str, text: str, edited_te
     mask = F.lit(-1).cast("bigint")  # the orders in which a k-mer passes the levels that the text's size asks for
     for level in range(LEVELS):
         mask = mask.bitwiseAND(F.when(F.col("n") >= PASS << (level + 1), F.xxhash64("x", F.lit(level))).otherwise(F.lit(-1).cast("bigint")))
-    df = df.withColumn("mask", mask).filter((F.col("side") == 2) | (F.col("mask") != 0))
-    orders = F.when(F.col("side") == 2, F.array(F.lit(-1))).otherwise(F.array(*[F.lit(j) for j in range(M * L)]))
+    df = df.withColumn("mask", mask.bitwiseAND(F.lit((1 << M) - 1))).filter((F.col("side") == 2) | (F.col("mask") != 0))
+    orders = F.when(F.col("side") == 2, F.array(F.lit(-1))).otherwise(F.array(*[F.lit(j) for j in range(M)]))
     df = df.withColumn("j", F.explode(orders)).filter((F.col("j") < 0) | (F.getbit("mask", F.greatest(F.col("j"), F.lit(0))) == 1))
     failed = lambda level: F.getbit(F.xxhash64("x", F.lit(level)), F.greatest(F.col("j"), F.lit(0))) == 0
     reached = F.when(failed(0), 0)
@@ -87,14 +89,14 @@ def signatures(rows: DataFrame, place: list[str], row: str, text: str, edited_te
         reached = reached.when(failed(level), level)
     # a rank is a positive long: levels that are not reached, then the order's own hash
     df = df.withColumn("v", F.shiftleft((LEVELS - reached.otherwise(LEVELS)).cast("bigint"), 58).bitwiseOR(F.shiftrightunsigned(F.xxhash64("x", F.col("j") + LEVELS), 6)))
-    vt, ve = F.when(F.col("in_t"), F.col("v")), F.when(F.col("in_e"), F.col("v"))
-    least = df.groupBy(*key, meta, "j").agg(F.min(vt).alias("vt"), F.min_by("pos", vt).alias("pt"), F.min(ve).alias("ve"), F.min_by("pos", ve).alias("pe"))
-    # the row of ``meta`` sorts first; an order in which no k-mer passes has no row, so minima are looked up by their order
-    entry = F.struct("j", "vt", "pt", "ve", "pe")
+    two = lambda side: F.slice(F.array_sort(F.collect_list(F.when(F.col(side), F.struct("v", "pos")))), 1, L)
+    least = df.groupBy(*key, meta, "j").agg(two("in_t").alias("t"), two("in_e").alias("e"))
+    # the row of ``meta`` sorts first; an order in which no k-mer passes has no row, so components are looked up by their order
+    entry = F.struct("j", "t", "e")
     out = least.groupBy(*key).agg(F.first(meta, ignorenulls=True).alias(meta), F.sort_array(F.collect_list(F.when(F.col("j") >= 0, entry))).alias("some"))
-    found = F.when(F.size("some") == M * L, F.col("some")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(M * L - 1)), lambda j: F.get(F.filter("some", lambda x: x["j"] == j), F.lit(0))))
+    found = F.when(F.size("some") == M, F.col("some")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(M - 1)), lambda j: F.get(F.filter("some", lambda x: x["j"] == j), F.lit(0))))
     out = out.withColumn("found", found)
-    return out.select(*key, meta, _signature(F.col("found"), "vt", "pt").alias("fp"), _signature(F.col("found"), "ve", "pe").alias("efp"))
+    return out.select(*key, meta, _signature(F.col("found"), "t").alias("fp"), _signature(F.col("found"), "e").alias("efp"))
 
 
 def with_fingerprint(df: DataFrame, text_col: str, out: str, parts: int = 4096) -> DataFrame:

@@ -135,18 +135,18 @@ def spark_hash(*values):
 
 
 def slow_ranks(text):
-    """(rank, position) of the minimal numbered k-mer under each order; every k-mer is ranked under every order."""
-    words, seen, best = text.split(), {}, {}
+    """(rank, position) of the numbered k-mers by rank, for each order; every k-mer is ranked under every order."""
+    words, seen, ranks = text.split(), {}, {}
     for pos in range(max(1, len(words) - order_minhash.K + 1) if words else 0):
         h = spark_hash(*(words[pos : pos + 3] + [None] * 3)[:3])
         seen[h] = seen.get(h, 0) + 1
         x = spark_hash((h, 8), (seen[h], 8))
         bits = [spark_hash((x, 8), (level, 4)) for level in range(order_minhash.LEVELS)]
-        for j in range(order_minhash.M * order_minhash.L):
+        for j in range(order_minhash.M):
             level = next((k for k, w in enumerate(bits) if not w >> j & 1), order_minhash.LEVELS)
             rank = order_minhash.LEVELS - level << 58 | spark_hash((x, 8), (j + order_minhash.LEVELS, 4)) >> 6
-            best[j] = min(best.get(j, (rank, pos)), (rank, pos))
-    return best
+            ranks.setdefault(j, []).append((rank, pos))
+    return {j: sorted(r) for j, r in ranks.items()}
 
 
 def slow_fingerprint(text):
@@ -155,7 +155,7 @@ def slow_fingerprint(text):
         if not best:
             out.append(order_minhash.BLANK)
             continue
-        (a, pa), (b, pb) = best[2 * c], best[2 * c + 1]
+        (a, pa), (b, pb) = (best[c] * 2)[:2] if len(best[c]) == 1 else best[c][:2]
         told = spark_hash((0, 4), (a, 8), (b, 8)) if pa <= pb else spark_hash((1, 4), (b, 8), (a, 8))
         out.append(f"{told & (1 << 4 * order_minhash.DIGITS) - 1:0{order_minhash.DIGITS}x}")
     return "".join(out)
