@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..chem.base import describe
 from ..functions.text import bitmap_tanimoto, edit_similarity, str_or_empty
-from ..operators import fragments, outliers, similarity
+from ..operators import fragments, outliers, similarity, tiles
 from ..operators.lookup import distinct_keys, encode_missing
 from ..schemas import DESCRIPTORS, FINAL_COLUMNS, cut, project
 from ..sources.files import manifest_groups
@@ -59,23 +61,21 @@ def finalize(pairs: DataFrame, backend) -> DataFrame:
     return project(pairs, FINAL_COLUMNS)
 
 
-def pair_scores(molecules: DataFrame, backend, left: str = "toxic", right: str = "nontoxic") -> DataFrame:
-    """dataset_name, endpoint, i, j, scaffold_similarity, circular_similarity, edit_similarity: every pair of a group's two sides, for audit.
+#: The scores of a pair, of rows with smiles, circular_fp and scaffold_fp.
+SCORES: dict[str, Callable[[Column, Column], Column]] = {
+    "scaffold_similarity": lambda a, b: bitmap_tanimoto(a["scaffold_fp"], b["scaffold_fp"]),
+    "circular_similarity": lambda a, b: bitmap_tanimoto(a["circular_fp"], b["circular_fp"]),
+    "edit_similarity": lambda a, b: edit_similarity(a["smiles"], b["smiles"]),
+}
+
+
+def pair_scores(molecules: DataFrame, backend, left: str = "toxic", right: str = "nontoxic", done: DataFrame | None = None) -> DataFrame:
+    """Tiles (see ``tiles.score_tiles``) of dataset_name, endpoint: scaffold_similarity, circular_similarity, edit_similarity of every pair of a group's two sides, for audit.
 
-    Rows (dataset, endpoint, label, smiles, idx), i and j being idx. The result is a group's whole matrix by nature,
-    so it is for groups whose product the caller wants to see; ``mine_pairs`` makes none. A score is null where a
-    side doesn't parse or both fingerprints are empty.
+    Rows (dataset, endpoint, label, smiles, idx), i and j being idx. The result is a group's whole matrix by nature;
+    ``mine_pairs`` makes none. A score is null where a side doesn't parse or both fingerprints are empty.
     """
     facts = cut(describe(molecules.select(F.coalesce("smiles", F.lit("")).alias("__x")).distinct(), "__x", backend).select("__x", "circular_fp", "scaffold_fp"))
     rows = molecules.join(facts, F.coalesce("smiles", F.lit("")) == F.col("__x")).select(F.col("dataset").alias("dataset_name"), "endpoint", "label", "idx", "smiles", "circular_fp", "scaffold_fp")
-    side = lambda name: rows.filter(F.col("label") == name).drop("label").select("dataset_name", "endpoint", F.struct("idx", "smiles", "circular_fp", "scaffold_fp").alias(f"__{name}"))
-    a, b = F.col(f"__{left}"), F.col(f"__{right}")
-    return side(left).join(side(right), ["dataset_name", "endpoint"]).select(
-        "dataset_name",
-        "endpoint",
-        a["idx"].alias("i"),
-        b["idx"].alias("j"),
-        bitmap_tanimoto(a["scaffold_fp"], b["scaffold_fp"]).alias("scaffold_similarity"),
-        bitmap_tanimoto(a["circular_fp"], b["circular_fp"]).alias("circular_similarity"),
-        edit_similarity(a["smiles"], b["smiles"]).alias("edit_similarity"),
-    )
+    side = lambda name: rows.filter(F.col("label") == name).drop("label")
+    return tiles.score_tiles(side(left), side(right), ["dataset_name", "endpoint"], "idx", SCORES, done=done)

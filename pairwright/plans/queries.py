@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions import text as T
-from ..operators import fragments, lookup, outliers, similarity, split
+from ..operators import fragments, lookup, outliers, similarity, split, tiles
 from ..schemas import cut, with_row_index
 from ..sources import files
 from . import qa, scoring
@@ -236,6 +236,18 @@ def pairs_of_repeated_rows(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy(F.col("l.p_brand").alias("p_brand"), F.col("l.p_type").alias("l_type"), F.col("r.p_type").alias("r_type")).agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
+@query("WITH p AS (SELECT p_partkey, p_type, p_name, p_size, row_number() OVER (PARTITION BY p_type, p_size <= 25 ORDER BY p_partkey) - 1 AS i FROM part), s AS (SELECT a.p_type, a.i, b.i AS j, 1 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name), 1) AS x FROM p a JOIN p b ON a.p_type = b.p_type AND a.p_size <= 25 AND b.p_size > 25) SELECT p_type, i, count(*) AS n_pairs, max(x) AS most, min(x) AS least, arg_min(j, (-x, j)) AS nearest FROM s GROUP BY p_type, i")
+def pair_score_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """The whole score matrix of each type as packed tiles, read back by rows: each part's nearest one and its range of scores."""
+    from pyspark.sql import Window
+
+    parts = table(spark, d, "part").select("p_type", "p_name", (F.col("p_size") <= 25).alias("small"), "p_partkey")
+    parts = parts.withColumn("i", F.row_number().over(Window.partitionBy("p_type", "small").orderBy("p_partkey")) - 1).drop("p_partkey")
+    made = tiles.score_tiles(parts.filter("small").drop("small"), parts.filter("NOT small").drop("small"), ["p_type"], "i", {"x": lambda a, b: T.edit_similarity(a["p_name"], b["p_name"])})
+    cells = tiles.pairs_of(made, ["p_type"], ["x"])
+    return cells.groupBy("p_type", "i").agg(F.count(F.lit(1)).alias("n_pairs"), F.max("x").alias("most"), F.min("x").alias("least"), F.min_by("j", F.struct(-F.col("x"), "j")).alias("nearest"))
+
+
 @query("SELECT lang, count(*) FILTER (WHERE toxic = 1) AS n_toxic, count(*) FILTER (WHERE toxic = 0) AS n_clean FROM documents JOIN labels USING (doc_id) GROUP BY lang HAVING count(DISTINCT toxic) = 2 AND lang <> 'es'")
 def manifest_groups(spark: SparkSession, d: str) -> DataFrame:
     """Groups with both labels, one group name excluded."""

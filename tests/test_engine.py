@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairwright import schemas
 from pairwright.functions import stats
 from pairwright.functions import text as T
-from pairwright.operators import fragments, lookup, outliers, similarity, split
+from pairwright.operators import fragments, lookup, outliers, similarity, split, tiles
 from pairwright.plans import cliffs, descriptions, inference, qa, scoring
 from pairwright.sources import files
 
@@ -342,11 +342,29 @@ def test_query_without_sql_against_python(spark, data):
     assert all(got[k] == pytest.approx(x) for k, x in want.items())
 
 
+def test_tiles_hold_each_pair_once(spark):
+    """Round trip to (i, j), bounded tiles, tiles that are there already, rows without index or group, an empty side."""
+    side = lambda n, at: [("g", i, f"{at}{i}") for i in range(n)] + [("h", 3, f"{at}h"), (None, 1, "x"), ("g", None, "x")]
+    frame = lambda rows: spark.createDataFrame(rows, "g string, k int, t string")
+    left, right, score = frame(side(23, "a")), frame(side(14, "b")), {"both": lambda a, b: F.concat(a["t"], b["t"]), "same": lambda a, b: a["k"] == b["k"]}
+    made = tiles.score_tiles(left, right, ["g"], "k", score, edge=5)
+    rows = made.collect()
+    assert len(rows) == 5 * 3 + 1 and max(len(r["both"]) for r in rows) == 25
+    got = {(r["g"], r["i"], r["j"]): (r["both"], r["same"]) for r in tiles.pairs_of(made, ["g"], list(score)).collect()}
+    want = {("g", i, j): (f"a{i}b{j}", i == j) for i in range(23) for j in range(14)} | {("h", 3, 3): ("ahbh", True)}
+    assert got == want
+    done = made.filter("tile_i < 2").select("g", "tile_i", "tile_j")
+    rest = tiles.score_tiles(left, right, ["g"], "k", score, edge=5, done=done)
+    assert sorted((r["g"], r["tile_i"], r["tile_j"]) for r in rest.collect()) == sorted((r["g"], r["tile_i"], r["tile_j"]) for r in rows if r["tile_i"] >= 2)
+    assert tiles.score_tiles(left.limit(0), right, ["g"], "k", score).count() == 0
+
+
 def test_pair_scores_and_missing(spark):
     from pairwright.chem.base import PureBackend
 
     rows = [("d", "e", "toxic", 0, "CCO"), ("d", "e", "toxic", 1, "c1ccccc1"), ("d", "e", "nontoxic", 0, "CCO"), ("d", "e", "nontoxic", 1, "C(")]
-    got = {(r["i"], r["j"]): r for r in cliffs.pair_scores(spark.createDataFrame(rows, "dataset string, endpoint string, label string, idx int, smiles string"), PureBackend()).collect()}
+    made = cliffs.pair_scores(spark.createDataFrame(rows, "dataset string, endpoint string, label string, idx int, smiles string"), PureBackend())
+    got = {(r["i"], r["j"]): r for r in tiles.pairs_of(made, ["dataset_name", "endpoint"], list(cliffs.SCORES)).collect()}
     assert set(got) == {(0, 0), (0, 1), (1, 0), (1, 1)}
     assert got[0, 0]["circular_similarity"] == 1 and got[0, 0]["edit_similarity"] == 1 and got[0, 0]["scaffold_similarity"] is None and got[0, 1]["circular_similarity"] is None
     df = spark.createDataFrame([("a", 1.0), (" ", float("nan")), (None, None)], "x string, y double")
