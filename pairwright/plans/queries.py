@@ -660,6 +660,16 @@ def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return files.read_jsonl(spark, f"{path}/*", "doc_id bigint, text string, code string").select("doc_id", F.col("code").alias("lang"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+@query("SELECT doc_id, lang, source, n_chars FROM documents")
+def replaced_sink(spark: SparkSession, d: str) -> DataFrame:
+    """A set of records that is replaced by one made from itself and the rest; readers see the set in force."""
+    folder, schema = _folder(spark), "doc_id bigint, lang string, source string, n_chars bigint"
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
+    files.replace_jsonl(docs.filter("n_chars > 1000"), folder)
+    files.replace_jsonl(files.read_current(spark, folder, schema).unionByName(docs.filter("n_chars <= 1000 OR n_chars IS NULL")), folder)
+    return files.read_current(spark, folder, schema)
+
+
 @query("SELECT r_regionkey::VARCHAR AS r_regionkey, r_name, NULL::VARCHAR AS n_name FROM region UNION ALL SELECT NULL, NULL, n_name FROM nation")
 def shard_glob(spark: SparkSession, d: str) -> DataFrame:
     """CSV shards that a glob finds, joined by column name."""

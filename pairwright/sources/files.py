@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from uuid import uuid4
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +61,50 @@ def write_jsonl(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mo
     df.write.mode(mode).option("ignoreNullFields", "false").partitionBy(*partition_by).json(path)
 
 
+#: File of a replaceable folder that names the set in force.
+CURRENT = "CURRENT"
+
+
+def stage_jsonl(df: DataFrame, folder: str, partition_by: tuple[str, ...] = ()) -> str:
+    """Write a new set beside those that ``folder`` holds; its name. Readers go on seeing the set in force."""
+    name = f"set-{uuid4().hex}"
+    write_jsonl(df, f"{folder}/{name}", partition_by)
+    return name
+
+
+def switch_to(spark: SparkSession, folder: str, name: str) -> None:
+    """Put a staged set in force by one rename of the file that names it, so that readers see the old or the new set and never a mixture.
+
+    Earlier sets stay, as a reader may still be at them; remove their folders when none is.
+    """
+    fs_of, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    staged, target = fs_of.Path(f"{folder}/.{CURRENT}-{name}"), fs_of.Path(f"{folder}/{CURRENT}")
+    store = target.getFileSystem(conf)
+    out = store.create(staged, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    overwrite = getattr(fs_of, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(overwrite, 1)
+    how[0] = overwrite.OVERWRITE
+    fs_of.FileContext.getFileContext(store.getUri(), conf).rename(staged, target, how)
+
+
+def replace_jsonl(df: DataFrame, folder: str, partition_by: tuple[str, ...] = ()) -> None:
+    """Replace what ``read_current`` gives. A run that fails before the end leaves the old set in force; ``df`` may read it."""
+    switch_to(df.sparkSession, folder, stage_jsonl(df, folder, partition_by))
+
+
+def read_current(spark: SparkSession, folder: str, schema: str | T.StructType, skip_bad: bool = True, allow_missing: bool = False) -> DataFrame:
+    """The set in force; without one an error, or no rows if that is allowed."""
+    try:
+        name = spark.read.text(f"{folder}/{CURRENT}").first()["value"]  # one line
+    except AnalysisException:
+        if not allow_missing:
+            raise
+        return spark.createDataFrame([], schema)
+    return read_jsonl(spark, f"{folder}/{name}", schema, skip_bad)
+
+
 def append_or_reset(done_ids: int, reset: bool, exists: bool) -> str:
     """Write mode of a resumable sink."""
     return "overwrite" if reset or not exists or not done_ids else "append"

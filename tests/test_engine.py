@@ -342,6 +342,29 @@ def test_query_without_sql_against_python(spark, data):
     assert all(got[k] == pytest.approx(x) for k, x in want.items())
 
 
+def test_a_set_is_replaced_in_one_step(spark, tmp_path, monkeypatch):
+    """Readers see the old set until the switch, also when the writer fails before it or between its two steps; a set may be made from the one in force."""
+    folder, schema = str(tmp_path / "sink"), "id bigint, v string"
+    frame = lambda *rows: spark.createDataFrame(list(rows), schema)
+    now = lambda: sorted(tuple(r) for r in files.read_current(spark, folder, schema, allow_missing=True).collect())
+    assert now() == []
+    with pytest.raises(Exception, match="CURRENT"):
+        files.read_current(spark, folder, schema)
+    files.replace_jsonl(frame((1, "a"), (2, None)), folder)
+    assert now() == [(1, "a"), (2, None)]
+    with pytest.raises(Exception):
+        files.replace_jsonl(frame((3, "c")).withColumn("v", F.raise_error(F.lit("lost"))), folder)
+    assert now() == [(1, "a"), (2, None)]
+    staged = files.stage_jsonl(frame((4, "d")), folder)  # the writer ends here
+    assert now() == [(1, "a"), (2, None)]
+    files.switch_to(spark, folder, staged)
+    assert now() == [(4, "d")]
+    files.replace_jsonl(files.read_current(spark, folder, schema).unionByName(frame((5, "e"))), folder)
+    assert now() == [(4, "d"), (5, "e")]
+    files.replace_jsonl(frame().limit(0), folder)
+    assert now() == []
+
+
 def test_tiles_hold_each_pair_once(spark):
     """Round trip to (i, j), bounded tiles, tiles that are there already, rows without index or group, an empty side."""
     side = lambda n, at: [("g", i, f"{at}{i}") for i in range(n)] + [("h", 3, f"{at}h"), (None, 1, "x"), ("g", None, "x")]
