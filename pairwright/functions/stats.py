@@ -80,21 +80,30 @@ def _marks(df: DataFrame, missing: list[_Open], accuracy: int, known: bool) -> d
     The first time this also counts each column and so sets the ranks.
     """
     near, asked = 3 / accuracy, []
+    # the quantiles of one column share a sketch while they look at the same rows
+    sketches: dict[tuple[str, float | None, float | None], list[_Open]] = {}
     for w in missing:
         # between ranks: the share itself while the count is unknown, then the ranks within the bracket
         inside = max(w.counts[2] - w.counts[1], 1)
-        at = [w.share, w.share] if not known else [(w.low - w.counts[1] + 0.5) / inside, (w.high - w.counts[1] + 0.5) / inside]
-        asked.append([min(max(x, 0.0), 1.0) for x in (at[0] - 8 * near, at[0] - near, at[1] + near, at[1] + 8 * near)])
-    values = [F.when(w.inside(), F.col(w.column)) for w in missing]
-    row = df.agg(*[f for i, x in enumerate(values) for f in (F.count(x).alias(f"n{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}"), F.percentile_approx(x, asked[i], accuracy).alias(f"e{i}"))]).first()
-    out = {}
-    for i, w in enumerate(missing):
-        n = row[f"n{i}"]
-        if not known and n:
-            rank = w.share * (n - 1)
-            w.low = math.floor(rank)
-            w.high, w.weight = min(w.low + 1, n - 1), rank - w.low
-        out[id(w)] = sorted({*row[f"e{i}"], row[f"l{i}"], row[f"h{i}"], row[f"l{i}"] / 2 + row[f"h{i}"] / 2, *((w.lo, w.hi) if known else ())}) if n else []
+        at = (w.low - w.counts[1] + 0.5) / inside, (w.high - w.counts[1] + 0.5) / inside
+        edges = (at[0] - 8 * near, at[0] - near, at[1] + near, at[1] + 8 * near) if known else (w.share - near, w.share + near)
+        asked.append([min(max(x, 0.0), 1.0) for x in edges])
+        sketches.setdefault((w.column, w.lo, w.hi), []).append(w)
+    number_of = {id(w): i for i, w in enumerate(missing)}
+    aggregates = []
+    for k, ws in enumerate(sketches.values()):
+        x = F.when(ws[0].inside(), F.col(ws[0].column))
+        aggregates += [F.count(x).alias(f"n{k}"), F.min(x).alias(f"l{k}"), F.max(x).alias(f"h{k}"), F.percentile_approx(x, [e for w in ws for e in asked[number_of[id(w)]]], accuracy).alias(f"e{k}")]
+    row, out = df.agg(*aggregates).first(), {}
+    for k, ws in enumerate(sketches.values()):
+        n, least, most, found = (row[f"{c}{k}"] for c in "nlhe")
+        for w in ws:
+            mine, found = (found or [])[: len(asked[number_of[id(w)]])], (found or [])[len(asked[number_of[id(w)]]) :]
+            if not known and n:
+                rank = w.share * (n - 1)
+                w.low = math.floor(rank)
+                w.high, w.weight = min(w.low + 1, n - 1), rank - w.low
+            out[id(w)] = sorted({*mine, least, most, *((w.lo, w.hi, least / 2 + most / 2) if known else ())}) if n else []
     return out
 
 
