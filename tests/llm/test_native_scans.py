@@ -243,6 +243,20 @@ def test_likeness(spark):
     assert like[0, 2] < 0.95 and like[0, 11] > 0.9
 
 
+def test_least_kmers_without_a_row_for_each_order(spark):
+    """No row is collected for an order, and a text whose rows fill many batches has the signature of brute force."""
+    long = " ".join(f"w{i * i % 977}" for i in range(700))
+    df = docs(spark, [long, "a b c d", long + " x", ""]).select("doc_id", "text").repartition(1)
+    made = order_minhash.with_fingerprint(df, "text", "fp")
+    assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        got = {r["doc_id"]: r["fp"] for r in made.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {r["doc_id"]: slow_fingerprint(r["text"]) for r in df.collect()}
+
+
 def test_fingerprint_edges(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "x"), (2, None), (3, "")], "doc_id bigint, text string").withColumn("t", F.lit(1)).withColumn("fp", F.lit(2))
     out = order_minhash.fingerprints(df).collect()
