@@ -295,6 +295,36 @@ def test_filters_by_counts_and_by_texts(spark):
     assert weights == {r["x"]: r["n"] for r in fragments.token_lengths(core(long)).groupBy("x").agg(F.count("*").alias("n")).collect()}
 
 
+@pytest.mark.parametrize("block, wide, slice_", [(2, 4096, 4_000_000), (3, 0, 4_000_000), (2048, 4096, 5)])
+def test_pairs_made_in_cells(spark, monkeypatch, block, wide, slice_):
+    """Pairs of blocks give the rows of the texts' own comparison, and no pair is shuffled behind them."""
+    from pairwright.operators import cells
+
+    monkeypatch.setattr(cells.dealt, "__defaults__", (block,))
+    monkeypatch.setattr(cells, "WIDE", wide)
+    monkeypatch.setattr(cells, "SLICE", slice_)
+    texts = ["a.bb.ccc", "a.bb", " a . dd\"\t.é\x01", "ccc.eeee", "", "zz", "bb.ccc.ffffff", "a", "a.a..bb"]
+    docs = spark.createDataFrame([(i, ("x", "y", None)[i % 11 % 3], t, i % 2) for i, t in enumerate(texts * 3)], "id bigint, g string, t string, toxic int")
+    left, right = docs.filter("toxic = 1"), docs.filter("toxic = 0")
+    facts = fragments.fragment_facts(left, "t"), fragments.fragment_facts(right, "t")
+    rows = left.alias("l").join(right.alias("r"), F.col("l.g") == F.col("r.g")).select(F.lit("documents").alias("dataset_name"), F.col("l.g").alias("endpoint"), F.col("l.id").cast("string").alias("toxic_smiles"), F.col("r.id").cast("string").alias("nontoxic_smiles"), F.col("l.t").alias("toxic_safe"), F.col("r.t").alias("nontoxic_safe"))
+    want = fragments.compare(rows).filter("n_common_safe > 0")
+    columns = want.columns
+    key = lambda df: sorted(tuple(r) for r in df.select(*columns).collect())
+    made = fragments.compare_in_cells((left, right), facts, "g", "id", "t", columns)
+    assert key(want) and key(made) == key(want) and "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    digests = fragments.compare_in_cells((left, right), facts, "g", "id", "t", columns, digests=True)
+    told = ("common_safe_fragments", "only_toxic_safe_fragments", "only_nontoxic_safe_fragments", "toxic_safe_fragments", "nontoxic_safe_fragments", "unique_safe")
+    assert key(digests) == key(want.withColumns({c: F.sha2(c, 256) for c in told}))
+    short = fragments.fixed_thresholds(fragments.conserved_core(want), 3, 2)
+    assert key(fragments.compare_in_cells((left, right), facts, "g", "id", "t", columns, most=2, counts=(2, 2), core=True)) == key(short)
+    columns = ["toxic_id", "nontoxic_id", "n_common_safe", "n_only_toxic_safe", "n_only_nontoxic_safe"]
+    ids = lambda df: df.withColumns({c: F.col(c.replace("_id", "_smiles")).cast("bigint") for c in columns[:2]})
+    counts = fragments.counted_pairs(*facts, ["g"], "id")
+    assert key(counts) == key(ids(want)) and "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert key(fragments.counted_pairs(*facts, ["g"], "id", 2)) == key(ids(fragments.fixed_thresholds(want, 3, 99)))
+
+
 def test_texts_against_python(spark):
     """Quoting and edit means on any text, against Python."""
     odd = ["a'b\\", "tab\tline\r\nend", "\x00\x1f\x7f\x85\xa0é漢🙂", "zero\u200bwidth \u2028 sep", "'\"", "", "plain"]
