@@ -295,6 +295,26 @@ def test_filters_by_counts_and_by_texts(spark):
     assert weights == {r["x"]: r["n"] for r in fragments.token_lengths(core(long)).groupBy("x").agg(F.count("*").alias("n")).collect()}
 
 
+def test_repeated_rows_are_counted_and_spread_last(spark, monkeypatch):
+    """Rows of few values: pairs are counted on the values, and made in many tasks behind the last shuffle, in packs."""
+    from pairwright.operators import cells
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice("xy"), [rng.getrandbits(6) for _ in range(2)] if i % 9 else None, rng.choice(["abcdefghijk", "abcdefghijx", "zz"])) for i in range(240)]
+    df = spark.createDataFrame([(*r[:2], r[2] and [r[2][0] - 32, r[2][1]], r[3]) for r in rows], "id bigint, g string, b array<bigint>, t string")
+    left, right = df.filter("id % 2 = 0"), df.filter("id % 2 = 1")
+    for rules in ([similarity.BitRule("b", 5), similarity.EditRule("t")], [similarity.BitRule("b", 3)]):
+        want = sorted((r["l"]["id"], r["r"]["id"]) for r in similarity.brute_force(left, right, ["g"], rules).collect())
+        counted = similarity.counted_join(left.drop("id"), right.drop("id"), ["g"], rules)
+        assert want and counted.agg(F.sum("n")).first()[0] == len(want) and counted.count() < len(want) or len(rules) == 1
+        monkeypatch.setattr(similarity, "PACK", 3)
+        monkeypatch.setattr(similarity, "TASK", 500)
+        monkeypatch.setattr(cells.dealt, "__defaults__", (7,))
+        made = similarity.similarity_join(left, right, ["g"], rules)
+        assert made.rdd.getNumPartitions() == 1 + len(want) // 500
+        assert sorted((r["l"]["id"], r["r"]["id"]) for r in made.collect()) == want
+
+
 @pytest.mark.parametrize("block, wide, slice_", [(2, 4096, 4_000_000), (3, 0, 4_000_000), (2048, 4096, 5)])
 def test_pairs_made_in_cells(spark, monkeypatch, block, wide, slice_):
     """Pairs of blocks give the rows of the texts' own comparison, and no pair is shuffled behind them."""
