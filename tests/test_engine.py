@@ -295,6 +295,16 @@ def test_filters_by_counts_and_by_texts(spark):
     assert weights == {r["x"]: r["n"] for r in fragments.token_lengths(core(long)).groupBy("x").agg(F.count("*").alias("n")).collect()}
 
 
+def test_grams_of_neighbours(spark):
+    """Grams of whole characters, joined from neighbours: no substring counts its way from the start of the text."""
+    texts = ["", "a", "ab", "a b c", "é🙂x🙂🙂 y", "\u0301ab", "xyz" * 5000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *[T.char_ngrams(F.col("t"), n).alias(f"g{n}") for n in (1, 2, 3)])
+    assert "substring" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+    for r in df.collect():
+        s = r["t"].replace(" ", "")
+        assert [r[f"g{n}"] for n in (1, 2, 3)] == [[s[i : i + n] for i in range(len(s) - n + 1)] for n in (1, 2, 3)]
+
+
 def test_repeated_rows_are_counted_and_spread_last(spark, monkeypatch):
     """Rows of few values: pairs are counted on the values, and made in many tasks behind the last shuffle, in packs."""
     from pairwright.operators import cells
