@@ -16,9 +16,11 @@ checked on reading.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from itertools import chain
 from typing import NamedTuple
 from uuid import uuid4
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 from .bpe import byte_alphabet
 from .common import arrow_map
 
-#: Words and token pairs that a worker remembers; when full a memory starts anew, which costs time and changes nothing else.
+#: Words, and token pairs, that a worker remembers. Full pairs start anew; of the words, those met since the memory was half full stay.
+#: What is forgotten costs time and changes nothing else.
 CACHE = 400_000
 #: Characters of the texts whose words share a trie. A longer text makes a trie of its own.
 SLICE = 1 << 20
@@ -75,6 +78,28 @@ def read_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(list(tokens.values()), merges, letters, cuts[0]["pattern"]["Regex"], {m["content"]: m["id"] for m in markers}, mark)
 
 
+def _ascii_pattern(pattern: str) -> regex.Pattern | re.Pattern:
+    """``pattern`` for texts of ASCII alone: by the standard library, which is twice as fast, with the classes that it lacks spelt out.
+
+    A pattern that holds any other class, or groups, stays with the ``regex`` module.
+    """
+    plain = pattern.replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}")
+    parts = plain.split("|")
+    spelt = {c: "".join(f"\\x{i:02x}" for i in range(128) if regex.match(c, chr(i))) for c in (r"\p{L}", r"\p{N}", r"\s")}
+
+    def own(part: str) -> str | None:
+        classes = regex.fullmatch(r"(\[\^?(?:\\p\{[LN]\}|\\s)+\]|\\p\{[LN]\})(\+?)", part)
+        if not classes:
+            return part if regex.fullmatch(r"['A-Za-z]+", part) else None
+        within = classes[1].strip("[]")
+        for c, letters in spelt.items():
+            within = within.replace(c, letters)
+        return f"[{within}]{classes[2]}"
+
+    made = [own(p) for p in parts]
+    return regex.compile(pattern) if None in made else re.compile("|".join(made))
+
+
 class Words:
     """Words of texts as the vocabulary's file has them: NFC, lower case letter by letter, matches of the pattern.
 
@@ -87,6 +112,7 @@ class Words:
 
         self.pattern, self.nfc = vocabulary.pattern, unicodedata.normalize
         self.find = regex.compile(vocabulary.pattern).findall
+        self.find_ascii = _ascii_pattern(vocabulary.pattern).findall
         self.markers = vocabulary.markers
         self.at_markers = regex.compile("(" + "|".join(regex.escape(m) for m in sorted(vocabulary.markers, key=len, reverse=True)) + ")").split if vocabulary.markers else lambda t: [t]
         self.category, self.assigned = unicodedata.category, set()
@@ -99,7 +125,7 @@ class Words:
 
     def _plain(self, text: str) -> list[str]:
         if text.isascii():
-            return self.find(text.lower())
+            return self.find_ascii(text.lower())
         if self._unknown(text):
             return self._by_library(text)
         return self.find(self.nfc("NFC", text).replace("Σ", "σ").lower())  # no final sigma: letters are lowered one by one
@@ -136,7 +162,12 @@ class TrieBPE:
         self.width = {i: len(t.removesuffix(END)) for i, t in spelt.items()}
         self.widest = max(map(len, self.by_text))
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.steps: dict[tuple[int, str], int] = {}
+        self.told, self.read = [f" {i}" for i in range(len(self.tokens))], [f" {t}" for t in self.tokens]
+        self.marked = [{i: texts[i] for i in vocabulary.markers.values()} for texts in (self.told, self.read)]
+        # a word's ids in decimal and its tokens' texts, each behind a blank: what digests are made of, and nothing that a collector must walk
+        self.known: list[dict[str | int, str]] = [dict(m) for m in self.marked]
+        self.before: list[dict[str | int, str]] = [{}, {}]
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """(token, rank at which it is merged away) of the tokens that stand at one border of ``token`` while it is built."""
@@ -174,9 +205,16 @@ class TrieBPE:
 
     def trie(self, words: list[str]) -> dict:
         """Trie of words spelt in letters, the last with its mark. A branch that holds one word is that word, spelt."""
+        return self._trie(map(self._spelt, words))
+
+    def _spelt(self, word: str) -> str:
+        return (word if word.isascii() and word.isalpha() else "".join(map(self.letters.__getitem__, word.encode()))) + END
+
+    @staticmethod
+    def _trie(words: Iterable[str]) -> dict:
         root: dict = {}
-        for w in words:
-            spelt, node, at = "".join(map(self.letters.__getitem__, w.encode())) + END, root, 0
+        for spelt in words:
+            node, at = root, 0
             while True:
                 symbol = spelt[at] if at < len(spelt) - 2 else spelt[at:]
                 have = node.get(symbol)
@@ -193,30 +231,45 @@ class TrieBPE:
     def walk(self, root: dict) -> Iterator[tuple[str, tuple[int, ...]]]:
         """(spelt word, ids) of each word of a trie, depth first. ``last`` is the state of the nodes on the way down."""
         last: list[int] = []
-        by_text, width, widest, pairs = self.by_text, self.width, self.widest, self.pairs
+        by_text, width, widest, pairs, steps = self.by_text, self.width, self.widest, self.pairs, self.steps
 
-        def step(prefix: str) -> None:
+        def step(text: str, at: int, to: int) -> None:
+            """Take the letter ``text[at:to]``, with its mark if it has one, which the text before it led to."""
             depth = len(last) + 1
-            for k in range(max(0, len(prefix) - widest), len(prefix)):
-                token = by_text.get(prefix[k:])
+            way = (last[-1] if last else -1, text[at:to])
+            token = steps.get(way)
+            if token is not None:  # what followed this state before; it ends the prefix, so it is the one if it fits
+                before = depth - width[token]
+                if not before or pairs.get(pair := (last[before - 1], token)) or (pair not in pairs and self.fits(*pair)):
+                    last.append(token)
+                    return
+            # one suffix fits, in whatever order they are tried; seldom is it much longer than the last token
+            first = max(0, to - widest)
+            near = max(first, to - len(way[1]) - (width[last[-1]] + 1 if last else 0))
+            for k in chain(range(near, to), range(near - 1, first - 1, -1)):
+                token = by_text.get(text[k:to])
                 if token is not None:
                     before = depth - width[token]
-                    if not before or (pairs.get(pair) if (pair := (last[before - 1], token)) in pairs else self.fits(*pair)):
+                    if not before or self.fits(last[before - 1], token):
+                        if not last or width[token] <= width[last[-1]] + 1:
+                            if len(steps) >= CACHE:
+                                steps.clear()
+                            steps[way] = token
                         last.append(token)
                         return
-            raise ValueError(f"the vocabulary has no token that ends {prefix[-1:]!r}")
+            raise ValueError(f"the vocabulary has no token that ends {text[at:to]!r}")
 
         stack: list[tuple[int, str, dict | str]] = [(0, s, child) for s, child in root.items()]
         while stack:
             depth, prefix, child = stack.pop()
             del last[depth:]
-            step(prefix)
+            step(prefix, depth and len(prefix) - 1 - (prefix[-1] == END), len(prefix))
             if isinstance(child, dict):
                 stack.extend((depth + 1, (prefix + s)[-widest:], c) for s, c in child.items())
                 continue
             for at in range(depth + 1, len(child) - 1):
                 to = at + 1 if at < len(child) - 2 else at + 2  # the last letter comes with its mark
-                step(child[max(0, to - widest) : to])
+                step(child, at, to)
             ids, at = [], len(last)
             while at:
                 ids.append(last[at - 1])
@@ -225,29 +278,50 @@ class TrieBPE:
 
     def learn(self, words: set[str]) -> None:
         """Encode words by one trie and remember them."""
-        spelt = {"".join(map(self.letters.__getitem__, w.encode())) + END: w for w in words}
-        self.known.update((spelt[s], ids) for s, ids in self.walk(self.trie(list(words))))
-
-    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
-        """Ids of each whole text, in order; the texts of a slice share a trie."""
+        spelt = {self._spelt(w): w for w in words}
+        (told, read), (each_told, each_read) = self.known, (self.told, self.read)
+        collects = gc.isenabled()
+        gc.disable()  # a trie is many small dicts and no cycle
+        try:
+            for s, ids in self.walk(self._trie(spelt)):
+                word = spelt[s]
+                told[word] = "".join([each_told[i] for i in ids])
+                read[word] = "".join([each_read[i] for i in ids])
+        finally:
+            if collects:
+                gc.enable()
+
+    def _recall(self, met: set[str | int]) -> None:
+        """Put the words of a slice into ``known``: from the half of the memory before it, or anew."""
+        new = met.difference(self.known[0])
+        if len(self.known[0]) + len(new) > CACHE // 2:
+            self.before, self.known = self.known, [dict(m) for m in self.marked]
+            new = met.difference(self.known[0])
+        kept = new.intersection(self.before[0])
+        for now, before in zip(self.known, self.before, strict=True):
+            now.update((w, before[w]) for w in kept)
+        if len(new) > len(kept):
+            self.learn(new - kept)
+
+    def digestible(self, texts: list[str]) -> Iterator[tuple[str, str]]:
+        """Ids in decimal and token texts of each whole text, in order, each behind a blank; the texts of a slice share a trie."""
         at = 0
         while at < len(texts):
             size, to = 0, at
             while to < len(texts) and (to == at or size + len(texts[to]) <= SLICE):
                 size, to = size + len(texts[to]), to + 1
             found = [self.words.of(t) for t in texts[at:to]]
-            # words only: a marker stands as its id
-            new = {w for f in found for w in f if not isinstance(w, int)}.difference(self.known)
-            if len(self.known) + len(new) > CACHE:
-                self.known.clear()
-                new = {w for f in found for w in f if not isinstance(w, int)}
-            if new:
-                self.learn(new)
-            known = self.known
+            self._recall(set().union(*found))
+            told, read = (known.__getitem__ for known in self.known)
             for f in found:
-                yield list(chain.from_iterable((w,) if isinstance(w, int) else known[w] for w in f))
+                yield "".join(map(told, f)), "".join(map(read, f))
             at = to
 
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids of each whole text, in order."""
+        for told, _ in self.digestible(texts):
+            yield list(map(int, told.split()))
+
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder: token texts joined by blanks, markers among them."""
         return " ".join(map(self.tokens.__getitem__, ids))
@@ -299,6 +373,7 @@ def decode_documents(df: DataFrame, path: str, id_col: str = "doc_id", ids_col:
 def round_trip_digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (decimal ids joined by a blank), decoded_sha256: encode, decode the ids, digest both in one pass.
 
+    Ids are written out and decoded once for each word that a worker learns, as a text's digests are those of its words' strings in a row.
     Nulls, empty and long texts, repeated rows and further columns are as in ``encode_documents``.
     """
     shared = Shared(df.sparkSession, path)
@@ -306,10 +381,10 @@ def round_trip_digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col
     def run(keys: list, texts: list) -> Iterator[dict]:
         codec = shared.codec()
         n, digests, decoded = [], [], []
-        for ids in codec.encode_all([t or "" for t in texts]):
-            n.append(len(ids))
-            digests.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-            decoded.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
+        for told, read in codec.digestible([t or "" for t in texts]):
+            n.append(told.count(" "))
+            digests.append(hashlib.sha256(told[1:].encode()).hexdigest())
+            decoded.append(hashlib.sha256(read[1:].encode()).hexdigest())
         yield {id_col: keys, "n_tokens": n, "ids_sha256": digests, "decoded_sha256": decoded}
 
     return arrow_map(_pair(df, id_col, text_col), run, f"{id_col} bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", rows=512)

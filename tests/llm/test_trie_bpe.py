@@ -66,6 +66,20 @@ def test_full_memories_change_nothing(codec, monkeypatch):
     assert list(fresh.encode_all(texts)) == want
 
 
+def test_words_in_use_outlive_a_full_memory(monkeypatch):
+    """A word that each slice holds is encoded once, however often the memory fills with words that come once; ids are written out with it."""
+    monkeypatch.setattr(trie_bpe, "CACHE", 40)
+    monkeypatch.setattr(trie_bpe, "SLICE", 60)
+    fresh, learnt = trie_bpe.TrieBPE(trie_bpe.read_vocabulary(registry.WORDS)), []
+    learn = fresh.learn
+    monkeypatch.setattr(fresh, "learn", lambda words: (learnt.extend(words), learn(words)))
+    texts = ["".join(f" {chr(97 + i % 26)}{chr(97 + i // 26)}{c}x" for c in "bcdefg") + " common" for i in range(200)]
+    want = [[i for w in t.split() for i in next(fresh.encode_all([w]))] for t in texts]
+    learnt.clear()
+    assert list(fresh.encode_all(texts)) == want
+    assert len(learnt) > 1000 and learnt.count("common") <= 1
+
+
 def test_other_vocabularies_are_refused(tmp_path):
     with pytest.raises(ValueError):
         trie_bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
