@@ -1,4 +1,4 @@
-"""Document fingerprints by Order MinHash.
+"""Document fingerprints by Order MinHash, with DataFrame functions only.
 
 A text's k-mers are runs of ``K`` words, and equal k-mers of a text are told apart by their occurrence number. Each of
 the ``M`` components of a signature has a random order of its own, hashed independently of all others; the ``L`` = 2
@@ -6,8 +6,8 @@ least numbered k-mers of that order are selected, kept in the order in which the
 tuple is hashed. Two texts agree in a component if the same k-mers are least and also stand in the same order, so
 likeness falls both with the share of k-mers lost and with k-mers moved.
 
-K-mers are rows, so that hashes and occurrence numbers are compiled code over primitive columns that can spill; the minima
-of a text are taken from its rows as they stand together, with no row for each order. Order j ranks numbered k-mers by level first, the number of hash words in a row whose bit
+K-mers are rows, and those that pass are rows for each order, so that hashes, occurrence numbers and minima are compiled
+code over primitive columns that can spill: rows are counted by rank, and nothing of a text is collected. Order j ranks numbered k-mers by level first, the number of hash words in a row whose bit
 j is set, and then by a hash. So all orders of a k-mer can be tested at once, and of a long text only the k-mers on
 the levels that its size asks for, ``PASS`` or more of an order's on average, reach the minima; every order is the
 same for all texts. That fewer than two pass has a chance below 1e-12 for an order, and none at all for texts of fewer than
@@ -16,13 +16,8 @@ same for all texts. That fewer than two pass has a chance below 1e-12 for an ord
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 K, M, L, DIGITS = 3, 32, 2, 8
 #: K-mers of a text that pass the levels of an order: at least this many on average, if the text has them.
@@ -44,113 +39,12 @@ def _kmers(words: Column) -> Column:
     return F.arrays_zip(words.alias("a"), F.slice(words, F.lit(2), F.size(words)).alias("b"), F.slice(words, F.lit(3), F.size(words)).alias("c"))
 
 
-_PRIMES = tuple(np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-_NONE = np.uint64((1 << 64) - 1)
-
-
-def _turn(x: np.ndarray, n: int) -> np.ndarray:
-    return x << np.uint64(n) | x >> np.uint64(64 - n)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(33)) * _PRIMES[1]
-    x = (x ^ x >> np.uint64(29)) * _PRIMES[2]
-    return x ^ x >> np.uint64(32)
-
-
-def _hash_int(value: np.ndarray | int, seed: np.ndarray) -> np.ndarray:
-    """``xxhash64`` of an int, as the function of that name chains it."""
-    x = seed + _PRIMES[4] + np.uint64(4) ^ np.asarray(value, dtype=np.uint64) * _PRIMES[0]
-    return _mixed(_turn(x, 23) * _PRIMES[1] + _PRIMES[2])
-
-
-def _hash_long(value: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """``xxhash64`` of a long."""
-    x = seed + _PRIMES[4] + np.uint64(8) ^ _turn(value * _PRIMES[1], 31) * _PRIMES[0]
-    return _mixed(_turn(x, 27) * _PRIMES[0] + _PRIMES[3])
-
-
-def _components(doc: np.ndarray, rank: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts that have a k-mer of an order, and the component of their two least ones. Rows come text by text."""
-    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    each = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(doc)]))
-
-    def least(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        low = np.minimum.reduceat(ranks, first)
-        at = ranks == low[each]
-        return low, np.minimum.reduceat(np.where(at, pos, np.iinfo(pos.dtype).max), first), at
-
-    a, at_a, is_a = least(rank)
-    b, at_b, _ = least(np.where(is_a, _NONE, rank))
-    b, at_b = np.where(b == _NONE, a, b), np.where(b == _NONE, at_a, at_b)
-    ahead = at_a <= at_b
-    seed = _hash_int(np.where(ahead, 0, 1), np.full(len(a), 42, dtype=np.uint64))
-    return doc[first], _hash_long(np.where(ahead, b, a), _hash_long(np.where(ahead, a, b), seed))
-
-
-def _signed(rows: pa.Table, keep: list[str]) -> pa.RecordBatch:
-    """``keep``, fp, efp of the texts whose rows these are."""
-    row, side, mask = (rows[c].to_numpy() for c in ("row", "side", "mask"))
-    doc = np.cumsum(np.r_[0, row[1:] != row[:-1]])
-    own = np.flatnonzero(side == 2)
-    kmer = np.flatnonzero(side < 2)
-    x, pos, doc, mask = rows["x"].to_numpy()[kmer].astype(np.int64).view(np.uint64), rows["pos"].to_numpy()[kmer], doc[kmer], mask[kmer]
-    sides = [rows[c].to_numpy()[kmer] for c in ("in_t", "in_e")]
-    seed = _hash_long(x, np.full(len(x), 42, dtype=np.uint64))
-    passed, levels = np.full(len(x), _NONE), []
-    for level in range(LEVELS):
-        passed = passed & _hash_int(level, seed)
-        levels.append((passed & np.uint64((1 << M) - 1)).astype(np.uint32))
-        if not levels[-1].any():
-            break
-    made = np.zeros((2, len(own), M), dtype=">u4")
-    for j in range(M):
-        at = np.flatnonzero(mask >> j & 1)
-        reached = sum((level[at] >> np.uint32(j) & np.uint32(1)).astype(np.uint64) for level in levels) + np.zeros(len(at), dtype=np.uint64)
-        # a rank is a positive long: levels that are not reached, then the order's own hash
-        rank = np.uint64(LEVELS) - reached << np.uint64(58) | _hash_int(j + LEVELS, seed[at]) >> np.uint64(6)
-        for k, held in enumerate(sides):
-            if len(some := np.flatnonzero(held[at])):
-                who, told = _components(doc[at][some], rank[some], pos[at][some])
-                made[k, who, j] = told & np.uint64((1 << 4 * DIGITS) - 1)
-    texts = [pa.array([line.tobytes().hex() for line in lines], type=pa.string()) for lines in made]
-    kept = rows.select(keep).take(pa.array(own)).combine_chunks()
-    batches = kept.to_batches() or [pa.RecordBatch.from_pylist([], schema=kept.schema)]
-    return pa.RecordBatch.from_arrays([*batches[0].columns, *texts], names=[*keep, "fp", "efp"])
-
-
-def _by_text(keep: list[str]):
-    """The rows of each text at once, however many batches hold them; rows come text by text, one of them on side 2."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            row = batch["row"].to_numpy()
-            ends = np.flatnonzero(row[1:] != row[:-1]) + 1
-            if held and held[-1]["row"][0].as_py() != row[0]:
-                at = 0
-            elif len(ends):
-                at = int(ends[0])
-            else:
-                held.append(batch)
-                continue
-            last = int(ends[-1]) if len(ends) else 0
-            if at == 0:
-                yield _signed(pa.Table.from_batches(held).combine_chunks(), keep)
-                held = [batch]
-                if not len(ends):
-                    continue
-            else:
-                held.append(batch)
-            held[-1] = batch.slice(0, last)
-            yield _signed(pa.Table.from_batches(held).combine_chunks(), keep)
-            held = [batch.slice(last)]
-        if held:
-            yield _signed(pa.Table.from_batches(held).combine_chunks(), keep)
-
-    return run
+def _component(a: Column, pos_a: Column, b: Column, pos_b: Column) -> Column:
+    """Number of one component, of the two least ranks and where they stand; null without a k-mer, one k-mer stands twice."""
+    behind = F.coalesce(pos_b < pos_a, F.lit(False))
+    b = F.coalesce(b, a)
+    hashed = F.xxhash64(F.when(behind, 1).otherwise(0), F.when(behind, b).otherwise(a), F.when(behind, a).otherwise(b)).bitwiseAND(F.lit((1 << 4 * DIGITS) - 1))
+    return F.when(a.isNotNull(), hashed)
 
 
 def signatures(rows: DataFrame, place: list[str], row: str, text: str, edited_text: str, shared: str, meta: str) -> DataFrame:
@@ -181,11 +75,24 @@ def signatures(rows: DataFrame, place: list[str], row: str, text: str, edited_te
     for level in range(LEVELS):
         mask = mask.bitwiseAND(F.when(F.col("n") >= PASS << (level + 1), F.xxhash64("x", F.lit(level))).otherwise(F.lit(-1).cast("bigint")))
     df = df.withColumn("mask", mask.bitwiseAND(F.lit((1 << M) - 1))).filter((F.col("side") == 2) | (F.col("mask") != 0))
-    # rows of a text stand together, as the window left them, so its two least k-mers of each order are found in passing and no row is made an order
-    keep = [*key, meta]
-    sorted_ = df.select(*keep, F.col(row).alias("row"), "side", "pos", "in_t", "in_e", "x", "mask").sortWithinPartitions(*key)
-    schema = StructType([*(df.schema[c] for c in keep), StructField("fp", StringType()), StructField("efp", StringType())])
-    return sorted_.mapInArrow(_by_text(keep), schema)
+    orders = F.when(F.col("side") == 2, F.array(F.lit(-1))).otherwise(F.array(*[F.lit(j) for j in range(M)]))
+    df = df.withColumn("j", F.explode(orders)).filter((F.col("j") < 0) | (F.getbit("mask", F.greatest(F.col("j"), F.lit(0))) == 1))
+    failed = lambda level: F.getbit(F.xxhash64("x", F.lit(level)), F.greatest(F.col("j"), F.lit(0))) == 0
+    reached = F.when(failed(0), 0)
+    for level in range(1, LEVELS):
+        reached = reached.when(failed(level), level)
+    # a rank is a positive long: levels that are not reached, then the order's own hash
+    df = df.withColumn("v", F.shiftleft((LEVELS - reached.otherwise(LEVELS)).cast("bigint"), 58).bitwiseOR(F.shiftrightunsigned(F.xxhash64("x", F.col("j") + LEVELS), 6)))
+    # one number for text and order comes first, by which a sort tells most rows apart
+    df = df.select(*key, meta, "j", "pos", "in_t", "in_e", "v", (F.col(row) * (M + 1) + F.col("j")).alias("g"))
+    by_rank = Window.partitionBy("g", *place).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.select(*key, meta, "j", "pos", "v", *[F.when(F.col(f"in_{s}"), F.sum(F.col(f"in_{s}").cast("int")).over(by_rank)).alias(f"at_{s}") for s in "te"])
+    df = df.filter((F.col("j") < 0) | (F.col("at_t") <= L) | (F.col("at_e") <= L))
+    least = df.groupBy(*key, meta, "j").agg(*[F.max(F.when(F.col(f"at_{s}") == n, F.col(c))).alias(f"{c}_{s}{n}") for s in "te" for n in (1, L) for c in ("v", "pos")])
+    made = least.select(*key, meta, "j", *[_component(*[F.col(f"{c}_{s}{n}") for n in (1, L) for c in ("v", "pos")]).alias(s) for s in "te"])
+    each = made.groupBy(*key).agg(F.first(meta, ignorenulls=True).alias(meta), *[F.max(F.when(F.col("j") == j, F.col(s))).alias(f"{s}{j}") for s in "te" for j in range(M)])
+    digits = lambda c: F.coalesce(F.lpad(F.lower(F.hex(c)), DIGITS, "0"), F.lit(BLANK))
+    return each.select(*key, meta, *[F.concat(*[digits(F.col(f"{s}{j}")) for j in range(M)]).alias(name) for s, name in (("t", "fp"), ("e", "efp"))])
 
 
 def with_fingerprint(df: DataFrame, text_col: str, out: str, parts: int = 4096) -> DataFrame:

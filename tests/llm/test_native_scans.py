@@ -257,6 +257,11 @@ def test_least_kmers_without_a_row_for_each_order(spark):
     assert got == {r["doc_id"]: slow_fingerprint(r["text"]) for r in df.collect()}
 
 
+def test_fingerprints_run_no_python(spark, data):
+    plan = registry.op6_fingerprint(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in ("MapInArrow", "MapInPandas", "ArrowEvalPython", "BatchEvalPython") if x in plan]
+
+
 def test_fingerprint_edges(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "x"), (2, None), (3, "")], "doc_id bigint, text string").withColumn("t", F.lit(1)).withColumn("fp", F.lit(2))
     out = order_minhash.fingerprints(df).collect()
