@@ -15,19 +15,33 @@ from pairwright.llm import bpe, decontaminate, jaccard_join, secrets, toxicity
 from pairwright.llm.common import shared_folder, table
 
 
+#: Rows of an Arrow batch, at most. The texts of a batch stand in the executor's and its Python worker's memory at once, more than once over.
+BATCH_ROWS = 1024
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    """Hold the session to ``BATCH_ROWS``; a smaller bound stays. Stages run when they are written, so the bound stays set."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model of the corpus's labels doesn't reject."""
+    _bound_batches(spark)
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies, the one with the least id."""
+    _bound_batches(spark)
     return jaccard_join.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
+    _bound_batches(spark)
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -38,6 +52,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of the texts that are left."""
+    _bound_batches(spark)
     return bpe.round_trip_digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

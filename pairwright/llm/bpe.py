@@ -18,7 +18,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, remembered
 
 #: Pre-tokens that a worker keeps; when full the cache starts anew, which costs time and changes nothing else.
 CACHE = 400_000
@@ -125,14 +125,7 @@ class Shared:
         self.key, self.tokens, self.pattern = uuid4().hex, spark.sparkContext.broadcast(read_ranks(path)), pattern
 
     def codec(self) -> ByteBPE:
-        if self.key not in _CODECS:
-            _CODECS.clear()
-            _CODECS[self.key] = ByteBPE(self.tokens.value, self.pattern)
-        return _CODECS[self.key]
-
-
-#: The codec that this worker has built last.
-_CODECS: dict[str, ByteBPE] = {}
+        return remembered(self.key, lambda: ByteBPE(self.tokens.value, self.pattern))
 
 
 def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

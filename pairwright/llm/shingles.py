@@ -8,6 +8,8 @@ import re
 import numpy as np
 import xxhash
 
+from .common import remembered
+
 WORDS = 5
 POSITIONS = 64
 
@@ -17,20 +19,19 @@ _MIX = _RNG.integers(1, 1 << 63, size=64, dtype=np.uint64) * np.uint64(2) + np.u
 _MUL = _RNG.integers(1, 1 << 63, size=POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, size=POSITIONS, dtype=np.uint64)
 
-#: Hashes of words that a worker keeps; when full it starts anew.
-_KNOWN: dict[str, int] = {}
+#: Words whose hashes a worker keeps; when full it starts anew.
 _KNOWN_MOST = 500_000
 
 
 def word_hashes(text: str) -> np.ndarray:
     """64-bit hash of each word: runs of letters, digits and underscores, in lower case."""
-    words = _WORD(text.lower())
-    if new := set(words).difference(_KNOWN):
-        if len(_KNOWN) + len(new) > _KNOWN_MOST:
-            _KNOWN.clear()
+    words, known = _WORD(text.lower()), remembered("shingles", dict)
+    if new := set(words).difference(known):
+        if len(known) + len(new) > _KNOWN_MOST:
+            known.clear()
             new = set(words)
-        _KNOWN.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-    return np.fromiter(map(_KNOWN.__getitem__, words), dtype=np.uint64, count=len(words))
+        known.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
+    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def shingle_set(text: str, size: int = WORDS) -> np.ndarray:

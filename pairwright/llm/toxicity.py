@@ -366,7 +366,8 @@ def keep_clean(documents: DataFrame, model: Model, text_col: str = "text", thres
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(score(batch.column(at).to_pylist()) < threshold))
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                yield part.filter(pa.array(score(part.column(at).to_pylist()) < threshold))
 
     return documents.mapInArrow(run, documents.schema)

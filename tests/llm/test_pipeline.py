@@ -2,13 +2,15 @@
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_bpe import reference
 from test_jaccard_join import slow_classes
 from test_native_scans import ASSIGN
 
-from pairwright.llm import decontaminate, registry, secrets, toxicity
+from pairwright.llm import bpe, common, decontaminate, registry, secrets, shingles, toxicity
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -91,3 +93,48 @@ def test_edges_pass_through(spark, data, tmp_path):
         assert docs.count() == (4 if n else 0)
         coded = pipeline.STAGES[-1][1](spark, docs, data).collect()
         assert sorted(r["decoded_sha256"] for r in coded) == sorted(hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in docs.collect())
+
+
+def test_a_worker_remembers_one_operator(spark):
+    """What shingles remembered goes when a codec is built, and the other way round; results stay."""
+    sets = [list(shingles.shingle_set(t)) for t in ("a b c d e f", "a b")]
+    shared = bpe.Shared(spark, registry.RANKS, registry.public_tokenizers.PATTERN)
+    codec = shared.codec()
+    assert shared.codec() is codec and [*common._REMEMBERED] == [shared.key]
+    assert [list(shingles.shingle_set(t)) for t in ("a b c d e f", "a b")] == sets
+    assert [*common._REMEMBERED] == ["shingles"]
+
+
+def test_texts_are_scored_in_slices(spark, monkeypatch):
+    """However many rows a batch has, a few hundred texts are taken out of it at a time, and each gets its own score."""
+
+    def scorer(_, model):
+        def score(texts):
+            if len(texts) > 512:
+                raise ValueError(f"{len(texts)} texts at once")
+            return np.array([0.9 if t is None or t.endswith("7") else 0.1 for t in texts])
+
+        return score
+
+    monkeypatch.setattr(toxicity, "_scorer", scorer)
+    rows = [(k, None if k == 600 else f"text {k}") for k in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    assert sorted(r["doc_id"] for r in toxicity.keep_clean(df, None).collect()) == [k for k in range(2000) if k % 10 != 7 and k != 600]
+
+
+def test_batches_of_the_stages_are_bounded(spark, data):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], type=pa.int64())], names=["n"])
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(key)
+    try:
+        pipeline.encode(spark, spark.read.parquet(f"{data}/documents.parquet"), data)
+        got = [r["n"] for r in spark.range(0, 3000, 1, 1).mapInArrow(sizes, "n bigint").collect()]
+        assert sum(got) == 3000 and max(got) <= 1024
+        spark.conf.set(key, "97")
+        pipeline.encode(spark, spark.read.parquet(f"{data}/documents.parquet"), data)
+        assert spark.conf.get(key) == "97"
+    finally:
+        spark.conf.unset(key)
