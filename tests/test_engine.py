@@ -355,6 +355,40 @@ def test_pairs_made_in_cells(spark, monkeypatch, block, wide, slice_):
     assert key(fragments.counted_pairs(*facts, ["g"], "id", 2)) == key(ids(fragments.fixed_thresholds(want, 3, 99)))
 
 
+@pytest.mark.parametrize("held", [1 << 25, 3000])
+def test_a_cell_makes_each_half_once(monkeypatch, held):
+    """Pairs with the same fragments in common share what is made for either text; a memo that forgets changes no row."""
+    import hashlib
+    import json
+    from collections import Counter
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from pairwright.operators import cells
+
+    begun = []
+    monkeypatch.setattr(cells, "hashlib", SimpleNamespace(sha256=lambda *x: begun.append(1) or hashlib.sha256(*x)))
+    monkeypatch.setattr(cells, "HELD", held, raising=False)
+    rng = random.Random(9)
+    sides = [[".".join([rng.choice(["hot", "hot.warm"]), *[f'{who}"{i}{k}' for k in range(rng.randint(0, 5))]]) for i in range(60)] for who in "ab"]
+    sides = [[*x, *x[:7], "hot", "hot"] for x in sides]
+    tables = [pa.table({"id": list(range(at, at + len(x))), "text": x, "endpoint": ["g"] * len(x)}) for at, x in zip((0, 1000), sides, strict=True)]
+    columns = ["unique_safe", "common_safe_fragments", "only_toxic_safe_fragments", "only_nontoxic_safe_fragments"]
+    cell = cells.text_cell(["toxic_smiles", "nontoxic_smiles", *columns], True, None, None, False)
+    plain = lambda x: x.to_pylist() if isinstance(x, pa.Array) else x
+    made = Counter(r for out in cell(*tables) for r in zip(*[plain(out[c]) for c in ("toxic_smiles", "nontoxic_smiles", *columns)], strict=True))
+
+    def row(i, j):
+        a, b = (set(t.split(".")) for t in (sides[0][i], sides[1][j]))
+        items = [{"fragment": x, "reason": why} for xs, why in ((a - b, "only_toxic"), (b - a, "only_nontoxic")) for x in sorted(xs)]
+        texts = [json.dumps(items, separators=(",", ":")), *[".".join(sorted(x)) for x in (a & b, a - b, b - a)]]
+        return (str(i), str(1000 + j), *[hashlib.sha256(t.encode()).hexdigest() for t in texts])
+
+    assert made == Counter(row(i, j) for i in range(69) for j in range(69))
+    assert held < 1 << 25 or len(begun) < 69 * 69 / 5
+
+
 def test_texts_against_python(spark):
     """Quoting and edit means on any text, against Python."""
     odd = ["a'b\\", "tab\tline\r\nend", "\x00\x1f\x7f\x85\xa0é漢🙂", "zero\u200bwidth \u2028 sep", "'\"", "", "plain"]
